@@ -167,7 +167,7 @@ def weight_diagnostics(df: DataFrame, part: str, grp: str, w: str) -> DataFrame:
 
 def cohort_summary(df: DataFrame, grp: str, y: str, w: str) -> DataFrame:
     """Overall (grp null) and per group: n, events, weight, weighted event rate, effective size, status."""
-    out = df.groupingSets([[], [df[grp]]], df[grp]).agg(
+    out = df.rollup(grp).agg(
         F.count("*").alias("n"), F.sum(y).alias("events"), F.sum(w).alias("weight"), ratio(F.sum(F.col(w) * F.col(y)), F.sum(w)).alias("event_rate"), kish(F.col(w)).alias("ess")
     )
     status = F.when(F.col("events") == 0, "NO_EVENT").when(F.col("events") == F.col("n"), "ALL_EVENTS").otherwise("VALID")
