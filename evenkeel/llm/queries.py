@@ -142,11 +142,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
     "op2_decontaminate": """
-WITH s AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), w -> w <> '') AS w FROM benchmark),
+WITH s AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
 i AS (SELECT DISTINCT item_id, array_to_string(w[j:j + 4], ' ') AS gram
       FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS j FROM s)),
 z AS (SELECT item_id, count(*) AS size FROM i GROUP BY item_id),
-d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), w -> w <> '') AS w FROM documents),
+d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(w[j:j + 4], ' ') AS gram
       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS j FROM d)),
 h AS (SELECT doc_id, item_id FROM g JOIN i USING (gram) JOIN z USING (item_id)
@@ -163,7 +163,7 @@ WITH p AS (
 c AS (
   SELECT page_id, host, path, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '(\\.html)?/*$', '')
          || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END AS canon
-  FROM (SELECT *, list_filter(string_split(q, '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)')) AS kept FROM p)),
+  FROM (SELECT *, list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)')) AS kept FROM p)),
 b AS (SELECT DISTINCT canon FROM c WHERE list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in LISTED_LABELS)}])),
 r AS (SELECT c.*, b.canon IS NOT NULL AS listed, CASE {_RULES} END AS hit FROM c LEFT JOIN b USING (canon))
 SELECT page_id, host, path, regexp_replace(hit, ':.*', '') AS rule,
