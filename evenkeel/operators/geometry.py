@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_attr, ratio, unpivot
+from ..sources.package import ship
 
 ORIGIN = "origin"
 
@@ -237,6 +238,7 @@ def embed(table: DataFrame, keys: list[str], dims: int | None = 2, most_dims: in
         rows = [(*out.values(), f, float(np.linalg.norm(x[at[f]])), dim, stress, x[at[f]].tolist()) for f in names[:-1]]
         return pd.DataFrame(rows, columns=[*keys, "feature", "dphi", "dim", "stress", "coord"])
 
+    ship(table.sparkSession)
     kinds = ", ".join(f"{k} {table.schema[k].dataType.simpleString()}" for k in keys)
     return table.groupBy(*keys).applyInPandas(run, f"{kinds}, feature string, dphi double, dim int, stress double, coord array<double>")
 
