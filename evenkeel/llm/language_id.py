@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.package import ship
 from .ragged import slices
 
 BITS = 16
@@ -149,6 +150,7 @@ def detect_languages(
     empty table, or no language given).  A null id is not held out.  Only the text is read to predict;
     ``sample_docs`` bounds the labelled documents learned from, per language.
     """
+    ship(docs.sparkSession)
     langs, logp = fit(docs, id_col, text_col, lang_col, sample_docs)
     model = docs.sparkSession.sparkContext.broadcast((langs, logp))  # 2**BITS floats a language
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.package import ship
 from .ragged import gather, long_list, slices
 
 MARK = "▁"
@@ -267,6 +268,7 @@ def decode_ids(v: Vocabulary, flat: np.ndarray, lens: np.ndarray) -> list[str]:
 
 
 def _with_model(docs: DataFrame, path: str):
+    ship(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))  # bounded by the vocabulary
 
 

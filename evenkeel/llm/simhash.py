@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.package import ship
 from .ragged import slices
 from .scratch import materialize
 
@@ -57,6 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, n) for t in b.column(1).to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["d", "fp"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(run, f"d {kind}, fp long")
 
@@ -131,6 +133,7 @@ def near_edges(fps: DataFrame, most: int = 3, chunk: int = CHUNK) -> DataFrame:
         if len(rest):
             yield edges(rest)
 
+    ship(fps.sparkSession)
     return rows.mapInArrow(link, "a long, b long").distinct()
 
 

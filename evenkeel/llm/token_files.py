@@ -27,6 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.package import ship
 from .ragged import gather, slices
 from .scratch import materialize, scratch_path
 
@@ -196,6 +197,7 @@ def write_token_files(
     twice leaves one whole file.
     """
     spark = docs.sparkSession
+    ship(spark)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.repartitionByRange(files, "d").sortWithinPartitions("d", "t").withColumn("part", F.spark_partition_id())
@@ -231,6 +233,7 @@ def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> Da
 
     ``start`` counts the ids of all documents before it, over all files in order.  Checksums are verified.
     """
+    ship(manifest.sparkSession)
     # One row per file.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0)))
