@@ -1,0 +1 @@
+"""Column helpers and driver scalars."""

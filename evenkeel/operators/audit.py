@@ -158,7 +158,7 @@ def eligibility_summary(df: DataFrame, year: str, y_ok: Column, a_ok: Column, w:
 
 def weight_diagnostics(df: DataFrame, part: str, grp: str, w: str) -> DataFrame:
     """(part, grp) and (part): n, sum, min, median, max, distinct and non-positive weights; grp null is the part."""
-    out = df.groupingSets([[df[part]], [df[part], df[grp]]], df[part], df[grp]).agg(
+    out = df.groupingSets([[part], [part, grp]], part, grp).agg(
         F.count("*").alias("n"), F.sum(w).alias("w_sum"), F.min(w).alias("w_min"), F.percentile(w, 0.5).alias("w_median"), F.max(w).alias("w_max"),
         F.count_distinct(w).alias("w_distinct"), F.count_if(F.col(w) <= 0).alias("w_nonpositive"),
     )

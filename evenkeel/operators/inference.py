@@ -2,33 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from ..functions.special import t_ppf
+from ..sources.package import ship
 
 DESIGN = ["stratum", "psu"]
 
 
-def rate_flags(groups: list[str], y: str, grp: str) -> Column:
-    """array<struct<rate, flag>>: TPR, FPR, and SR, TPR and FPR of each group."""
-    pos, neg = F.col(y) == 1, F.col(y) == 0
-    parts = [("TPR", pos), ("FPR", neg)]
-    parts += [(f"SR:{g}", F.col(grp) == g) for g in groups]
-    parts += [(f"TPR:{g}", (F.col(grp) == g) & pos) for g in groups]
-    parts += [(f"FPR:{g}", (F.col(grp) == g) & neg) for g in groups]
-    return F.array(*[F.struct(F.lit(n).alias("rate"), F.coalesce(c, F.lit(False)).cast("double").alias("flag")) for n, c in parts])
+def rate_cells(groups: list[str], y: str, grp: str) -> Column:
+    """array<rate> of the rates whose denominator a (group, outcome) cell belongs to."""
+    pos = F.col(y) == 1
+    known = F.col(grp).isin(groups)
+    own = lambda kind: F.concat(F.lit(f"{kind}:"), F.col(grp))
+    parts = [F.when(pos, "TPR").otherwise("FPR"), F.when(known, own("SR")), F.when(known, F.when(pos, own("TPR")).otherwise(own("FPR")))]
+    return F.filter(F.array(*parts), lambda r: r.isNotNull())
+
+
+def rate_names(groups: list[str]) -> list[str]:
+    return ["TPR", "FPR", *[f"{k}:{g}" for k in ("SR", "TPR", "FPR") for g in groups]]
 
 
 def psu_totals(df: DataFrame, groups: list[str], models: dict[str, Column], in_domain: Column, y: str = "y", grp: str = "seg", w: str = "w") -> DataFrame:
-    """(model, stratum, psu, rate) num, den: every PSU of the design, 0 outside the domain."""
-    qs = F.array(*[F.struct(F.lit(m).alias("model"), q.cast("double").alias("q")) for m, q in models.items()])
+    """(model, stratum, psu, rate) num, den: every PSU of the design, 0 outside the domain.
+
+    One scan: rows are summed into (PSU, group, outcome) cells with a column per model, and only the cells
+    are spread over rates and models.
+    """
     weight = F.when(in_domain, F.col(w)).otherwise(0.0)
-    base = df.select(*DESIGN, weight.alias("_w"), qs.alias("_q"), rate_flags(groups, y, grp).alias("_f"))
-    # The partial sums of a map task are (PSU, rate, model) cells, however many rows it reads.
-    long = base.select(*DESIGN, "_w", "_f", F.inline("_q")).select(*DESIGN, "model", "_w", "q", F.inline("_f"))
-    return long.groupBy("model", *DESIGN, "rate").agg(F.sum(F.col("_w") * F.col("q") * F.col("flag")).alias("num"), F.sum(F.col("_w") * F.col("flag")).alias("den"))
+    qs = {f"_q{i}": q.cast("double") for i, q in enumerate(models.values())}
+    base = df.select(*DESIGN, F.col(grp).cast("string").alias("_g"), F.col(y).alias("_y"), weight.alias("_w"), *[q.alias(n) for n, q in qs.items()])
+    cells = base.groupBy(*DESIGN, "_g", "_y").agg(F.sum("_w").alias("_w"), *[F.sum(F.col("_w") * F.col(n)).alias(n) for n in qs])
+    per = cells.select(*DESIGN, "_w", *qs, F.explode(rate_cells(groups, "_y", "_g")).alias("rate"))
+    per = per.groupBy(*DESIGN, "rate").agg(F.sum("_w").alias("_w"), *[F.sum(n).alias(n) for n in qs])
+    # a PSU without a row of some cell still counts, with zeros
+    grid = cells.select(*DESIGN).distinct().select(*DESIGN, F.explode(F.array(*[F.lit(r) for r in rate_names(groups)])).alias("rate"))
+    wide = grid.join(per, [*DESIGN, "rate"], "left")
+    zero = F.lit(0.0)
+    nums = F.array(*[F.struct(F.lit(m).alias("model"), F.coalesce(n, zero).alias("num")) for m, n in zip(models, qs, strict=True)])
+    out = wide.select(*DESIGN, "rate", F.coalesce("_w", zero).alias("den"), F.inline(nums))
+    return out.select("model", *DESIGN, "rate", "num", "den")
 
 
 def rates(totals: DataFrame) -> DataFrame:
@@ -132,11 +151,64 @@ def bootstrap_factors(design: DataFrame, replicates: int, seed: int = 0) -> Data
     return out.select("replicate", *DESIGN, (F.col("n") / (F.col("n") - 1) * F.col("c")).alias("factor"))
 
 
-def bootstrap_metrics(totals: DataFrame, factors: DataFrame) -> DataFrame:
+#: Numbers of a dense table of PSU totals that go to every executor, 8 bytes each.
+MATRIX_CELLS = 16_000_000
+
+
+def bootstrap_metrics(totals: DataFrame, factors: DataFrame, cells: int = MATRIX_CELLS) -> DataFrame:
     """(replicate, model) ba, dp, eo: factors times PSU totals, a distributed matrix product.
 
-    What is replicated are PSU totals, never rows.
+    What is replicated are PSU totals, never rows.  Their size is checked: up to ``cells`` numbers are sent
+    to the executors as a matrix, which each block of replicates multiplies; beyond that it is a join.
     """
+    size = totals.agg(F.count_distinct(*DESIGN).alias("p"), F.count_distinct("model", "rate").alias("c")).first()
+    if 2 * size.p * size.c <= cells:
+        return _matrix_metrics(totals, factors)
+    return _joined_metrics(totals, factors)
+
+
+def _matrix_metrics(totals: DataFrame, factors: DataFrame) -> DataFrame:
+    spark = totals.sparkSession
+    ship(spark)
+    table = totals.toPandas()
+    psus = {k: i for i, k in enumerate(sorted(set(zip(table.stratum, table.psu, strict=True))))}
+    models, names = sorted(set(table.model)), sorted(set(table.rate))
+    num, den = np.zeros((2, len(psus), len(models), len(names)))
+    at = ([psus[k] for k in zip(table.stratum, table.psu, strict=True)], table.model.map({m: i for i, m in enumerate(models)}).to_numpy(), table.rate.map({r: i for i, r in enumerate(names)}).to_numpy())
+    num[at], den[at] = table.num.to_numpy(), table.den.to_numpy()
+    shared = spark.sparkContext.broadcast((psus, models, names, num.reshape(len(psus), -1), den.reshape(len(psus), -1)))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        psus, models, names, num, den = shared.value
+        kind = np.array([r.split(":")[0] if ":" in r else "" for r in names])
+        rest = pd.DataFrame()
+        for part in [*parts, None]:
+            if part is not None:
+                rest = pd.concat([rest, part])
+            if not len(rest):
+                continue
+            open_ = -1 if part is None else rest.replicate.iloc[-1]  # the last replicate may go on
+            block, rest = rest[rest.replicate != open_], rest[rest.replicate == open_]
+            ids = block.replicate.unique()
+            if not len(ids):
+                continue
+            f = np.zeros((len(ids), len(psus)))
+            f[pd.Index(ids).get_indexer(block.replicate), [psus[k] for k in zip(block.stratum, block.psu, strict=True)]] = block.factor
+            with np.errstate(invalid="ignore", divide="ignore"):
+                v = ((f @ num) / (f @ den)).reshape(len(ids), len(models), len(names))
+            gap = {k: v[:, :, kind == k].max(2) - v[:, :, kind == k].min(2) for k in ("SR", "TPR", "FPR")}
+            ba = (v[:, :, names.index("TPR")] + 1 - v[:, :, names.index("FPR")]) / 2
+            yield pd.DataFrame(
+                {"replicate": np.repeat(ids, len(models)), "model": models * len(ids), "ba": ba.ravel(), "dp": gap["SR"].ravel(), "eo": np.maximum(gap["TPR"], gap["FPR"]).ravel()}
+            )
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = factors.repartition(n, "replicate").sortWithinPartitions("replicate")
+    out = dealt.mapInPandas(run, "replicate int, model string, ba double, dp double, eo double")
+    return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("ba", "dp", "eo")})
+
+
+def _joined_metrics(totals: DataFrame, factors: DataFrame) -> DataFrame:
     # a row a PSU and model, with all its rates: the join makes replicates x PSUs x models rows
     wide = totals.groupBy("model", *DESIGN).agg(F.collect_list(F.struct("rate", "num", "den")).alias("r"))
     long = factors.join(wide, DESIGN).select("replicate", "model", "factor", F.inline("r"))
@@ -145,9 +217,11 @@ def bootstrap_metrics(totals: DataFrame, factors: DataFrame) -> DataFrame:
     per = per.withColumn("kind", F.when(F.col("rate").contains(":"), kind))
     gap = {k: F.max(F.when(F.col("kind") == k, F.col("v"))) - F.min(F.when(F.col("kind") == k, F.col("v"))) for k in ("SR", "TPR", "FPR")}
     one = {r: F.max(F.when(F.col("rate") == r, F.col("v"))) for r in ("TPR", "FPR")}
-    return per.groupBy("replicate", "model").agg(
-        ((one["TPR"] + 1 - one["FPR"]) / 2).alias("ba"), gap["SR"].alias("dp"), F.greatest(gap["TPR"], gap["FPR"]).alias("eo")
+    whole = F.count("v") == F.count("*")
+    out = per.groupBy("replicate", "model").agg(
+        ((one["TPR"] + 1 - one["FPR"]) / 2).alias("ba"), F.when(whole, gap["SR"]).alias("dp"), F.when(whole, F.greatest(gap["TPR"], gap["FPR"])).alias("eo")
     )
+    return out.select(F.col("replicate").cast("int").alias("replicate"), "model", "ba", "dp", "eo")
 
 
 def bootstrap_inference(replicates: DataFrame, points: DataFrame, metrics: list[str], total: int, df: int, alpha: float = 0.05) -> DataFrame:

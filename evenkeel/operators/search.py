@@ -1,11 +1,19 @@
-"""Searches: drivers over sufficient statistics, never over rows."""
+"""Searches: drivers over sufficient statistics, never over rows.
+
+A search step works on the cell table (category counts) and on moments; rows are scanned once for the
+statistics of all candidates, and once more to apply the accepted state.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from . import geometry as G
+from .transforms import power, rebin_r1
 
 
 def info_loss_gate(before: DataFrame, after: DataFrame, phi: float) -> DataFrame:
@@ -13,3 +21,105 @@ def info_loss_gate(before: DataFrame, after: DataFrame, phi: float) -> DataFrame
     both = before.withColumnRenamed("nmi", "nmi_before").join(after.withColumnRenamed("nmi", "nmi_after"), "feature")
     loss = ratio(F.col("nmi_before") - F.col("nmi_after"), F.col("nmi_before"))
     return both.withColumn("accepted", loss <= phi)
+
+
+def adaptive_phi(phi: float, before: float, after: float, progress: float = 0.10, cut: float = 0.05) -> float:
+    """``phi`` lowered by ``cut`` when the relative progress is under ``progress``."""
+    return phi * (1 - cut) if before <= 0 or (before - after) / before < progress else phi
+
+
+def merge_cells(cell: DataFrame, feature: str, mapping: dict[str, str]) -> DataFrame:
+    """The cell table after a merge: sums of cells, no row is read again."""
+    c = F.col("category")
+    for old, new in mapping.items():
+        c = F.when((F.col("feature") == feature) & (F.col("category") == old), F.lit(new)).otherwise(c)
+    keys = [k for k in cell.columns if k not in ("n", "sw", "category")]
+    return cell.withColumn("category", c).groupBy(*keys, "category").agg(F.sum("n").alias("n"), F.sum("sw").alias("sw"))
+
+
+def _worst(g: DataFrame, keys: list[str]) -> float:
+    row = g.groupBy(*keys).agg(F.max("g").alias("g")).agg(F.max("g").alias("g")).first()
+    return float(row.g or 0.0)
+
+
+def search_categorical(cell: DataFrame, feature: str, epsilon: float, measure: Callable[[DataFrame], float] | None = None, most: int = 10) -> tuple[dict | str, list[tuple]]:
+    """Merge the extreme pair until the measure is under ``epsilon``: the mapping, or "dropped", and the steps.
+
+    The measure is the worst divergence of the feature unless another is given.  ``cell`` holds a row per
+    attribute, group, feature and category, and is small.
+    """
+    measure = measure or (lambda c: _worst(G.div_cat(c), ["attr"]))
+    own = cell.filter(F.col("feature") == feature)
+    mapping: dict[str, str] = {}
+    value = measure(own)
+    steps: list[tuple] = [(0, "start", "", value)]
+    for i in range(1, most + 1):
+        if value < epsilon:
+            return mapping, steps
+        best = rebin_r1(own, 1).orderBy(F.desc("gap"), "attr", "grp_a", "grp_b").first()
+        if best is None or own.select("category").distinct().count() <= 2:
+            return "dropped", [*steps, (i, "drop", feature, 0.0)]
+        mapping = {k: best.dst if v == best.src else v for k, v in mapping.items()} | {best.src: best.dst}
+        own = merge_cells(own, feature, {best.src: best.dst})
+        value = measure(own)
+        steps.append((i, "merge", f"{best.src}->{best.dst}", value))
+    return (mapping if value < epsilon else "dropped"), steps
+
+
+def power_moments(df: DataFrame, attrs: list[str], feature: str, powers: list[float]) -> DataFrame:
+    """(attr, grp, feature) moments of every candidate power in one scan; the power is in the feature's name."""
+    names = {f"_p{i}": f"{feature}^{p:g}" for i, p in enumerate(powers)}
+    x = F.col(feature).cast("double")
+    got = G.moments(df.select(*attrs, *[power(x, float(p)).alias(n) for n, p in zip(names, powers, strict=True)]), attrs, list(names))
+    name = F.element_at(F.create_map(*[F.lit(v) for kv in names.items() for v in kv]), F.col("feature"))
+    return got.withColumn("feature", name)
+
+
+def search_numerical(df: DataFrame, attrs: list[str], feature: str, powers: list[float], epsilon: float) -> DataFrame:
+    """(power, g, accepted): the worst divergence at each power; the first in stream order under ``epsilon`` is accepted."""
+    g = G.div_num(power_moments(df, attrs, feature, powers)).groupBy("feature").agg(F.max("g").alias("g"))
+    order = df.sparkSession.createDataFrame([(i, f"{feature}^{p:g}", float(p)) for i, p in enumerate(powers)], "i int, feature string, power double")
+    out = order.join(g, "feature")
+    first = out.agg(F.min(F.when(F.col("g") < epsilon, F.col("i"))).alias("first"))
+    return out.crossJoin(F.broadcast(first)).select("i", "power", "g", F.coalesce(F.col("i") == F.col("first"), F.lit(False)).alias("accepted"))  # one row
+
+
+def mitigate(df: DataFrame, attrs: list[str], cats: list[str], nums: list[str], powers: list[float], share: float = 0.8, steps: int = 3) -> list[tuple]:
+    """Greedy mitigation: (step, feature, kind, detail, worst before, worst after) of the accepted steps.
+
+    Each step takes the feature of the largest distance to the origin, searches a merge or a power for it
+    on the statistics, and records it; a feature is taken once, and a search that fails drops it.
+    """
+    cell, moment = G.cells(df, attrs, cats).cache(), G.moments(df, attrs, nums).cache()
+    done: set[str] = set()
+    trace: list[tuple] = []
+
+    def ranking(cell: DataFrame, moment: DataFrame) -> list:
+        g = G.div_cat(cell).unionByName(G.div_num(moment))
+        d = G.distances(g, ["attr"]).filter(F.col("node_b") == G.ORIGIN)
+        return d.groupBy("node_a").agg(F.max("d").alias("d")).orderBy(F.desc("d"), "node_a").collect()  # a row per feature
+
+    ranked = ranking(cell, moment)
+    epsilon = share * sum(r.d for r in ranked) / len(ranked)
+    for step in range(steps):
+        todo = [r for r in ranked if r.node_a not in done]
+        if not todo or todo[0].d <= epsilon:
+            break
+        worst = todo[0]
+        feature = worst.node_a
+        done.add(feature)
+        if feature in cats:
+            found, path = search_categorical(cell, feature, epsilon)
+            kind, detail = ("drop", "") if found == "dropped" else ("merge", path[-1][2])
+            cell = cell.filter(F.col("feature") != feature) if found == "dropped" else merge_cells(cell, feature, found)
+        else:
+            best = search_numerical(df, attrs, feature, powers, epsilon).filter("accepted").first()
+            kind, detail = ("power", f"{best.power:g}") if best else ("drop", "")
+            rest = moment.filter(F.col("feature") != feature)
+            new = power_moments(df, attrs, feature, [best.power]).withColumn("feature", F.lit(feature)) if best else None
+            moment = rest.unionByName(new) if best else rest
+        ranked = ranking(cell, moment)
+        after = max((r.d for r in ranked if r.node_a == feature), default=0.0)
+        trace.append((step, feature, kind, detail, float(worst.d), float(after)))
+    cell.unpersist()
+    return trace

@@ -1,0 +1 @@
+"""Sources, sinks, scratch space and package shipping."""

@@ -1,0 +1 @@
+"""Streaming: nothing here yet; every operator is a batch one, over bounded tables."""
