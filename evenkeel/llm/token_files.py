@@ -18,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ class ChunkEncoder:
     with other white space before a blank, or with a special token's string, are encoded as a whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism here
         from tokenizers import Tokenizer
 
@@ -56,36 +57,49 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[str, int] = {}  # by the chunk without its blank
         self.flat, self.lens, self.plain = np.zeros(0, U32), np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, U32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        ids = self.whole([" " + c for c in new])
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), U32, int(lens.sum()))])
+        self.lens = np.concatenate([self.lens, lens])
+        # whether the pre-tokenizer cuts before a blank that follows
+        plain = np.fromiter((c != "" and not c[-1].isspace() for c in new), bool, len(new))
+        self.plain = np.concatenate([self.plain, plain])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.at) > self.most:
             self._clear()
-        chunks = []
-        for t in texts:
-            parts = t.split(" ")
-            # the first chunk has no blank before it, and no other chunk begins with one
-            chunks.append([parts[0], *[" " + p for p in parts[1:]]])
-        new = [c for c in dict.fromkeys(c for cs in chunks for c in cs) if c not in self.at]
-        if new:
-            ids = self.whole(new)
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, *ids])
-            self.lens = np.concatenate([self.lens, np.fromiter(map(len, ids), np.int64, len(ids))])
-            plain = np.fromiter((c != "" and not c[-1].isspace() for c in new), bool, len(new))
-            self.plain = np.concatenate([self.plain, plain])
-        starts = np.cumsum(self.lens) - self.lens
+        parts = [t.split(" ") for t in texts]
+        first = [p[0] for p in parts]  # without a blank before it
+        rest = [p[1:] for p in parts]
+        every = list(chain.from_iterable(rest))
+        pick = np.fromiter(map(self.at.get, every, repeat(-1)), np.int64, len(every))
+        if len(miss := np.flatnonzero(pick < 0)):
+            lacking = [every[i] for i in miss.tolist()]
+            self._learn(list(dict.fromkeys(lacking)))
+            pick[miss] = np.fromiter(map(self.at.__getitem__, lacking), np.int64, len(lacking))
+        flat = gather(self.flat, np.cumsum(self.lens) - self.lens, self.lens, pick)
+        n = np.fromiter(map(len, rest), np.int64, len(rest))
+        chunk = np.concatenate([[0], np.cumsum(n)])
+        at = np.concatenate([[0], np.cumsum(self.lens[pick])])[chunk].tolist()
+        odd = np.concatenate([[0], np.cumsum(~self.plain[pick])])
+        # all chunks but the last must end in something that is not white space
+        last = np.where(n > 0, ~self.plain[pick[np.maximum(chunk[1:] - 1, 0)]], False) if len(every) else np.zeros(len(n), bool)
+        odd = ((odd[chunk[1:]] - odd[chunk[:-1]] - last) > 0).tolist()
         out = []
-        for t, cs in zip(texts, chunks, strict=True):
-            pick = np.fromiter(map(self.at.__getitem__, cs), np.int64, len(cs))
-            if self.plain[pick[:-1]].all() and not any(s in t for s in self.special):
-                out.append(gather(self.flat, starts, self.lens, pick))
+        for i, (t, f, head) in enumerate(zip(texts, first, self.whole(first), strict=True)):
+            cut = rest[i] and (not f or f[-1].isspace())
+            if odd[i] or cut or any(s in t for s in self.special):
+                out.append(np.array(self.whole([t])[0], U32))
             else:
-                out.append(self.whole([t])[0])
+                out.append(np.concatenate([np.array(head, U32), flat[at[i] : at[i + 1]]]))
         return out
 
 
