@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,7 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
     return base, check, value
 
 
+@cache
 def load_vocabulary(path: str) -> Vocabulary:
     """Pieces and log scores of a model file; byte, control and unknown pieces are not in the trie."""
     import sentencepiece
@@ -227,13 +229,15 @@ class Encoder:
         every = list(chain.from_iterable(words))
         if len(self.at) > self.most:
             self._clear()
-        new = [w for w in dict.fromkeys(every) if w not in self.at]
-        if new:
+        pick = np.fromiter(map(self.at.get, every, repeat(-1)), np.int64, len(every))
+        if len(miss := np.flatnonzero(pick < 0)):
+            lacking = [every[i] for i in miss.tolist()]
+            new = list(dict.fromkeys(lacking))
             ids = segment_words(self.v, [(MARK + w.replace(" ", MARK)).encode() for w in new])
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
             self.flat = np.concatenate([self.flat, *ids])
             self.lens = np.concatenate([self.lens, np.fromiter(map(len, ids), np.int64, len(ids))])
-        pick = np.fromiter(map(self.at.__getitem__, every), np.int64, len(every))
+            pick[miss] = np.fromiter(map(self.at.__getitem__, lacking), np.int64, len(lacking))
         starts = np.cumsum(self.lens) - self.lens
         of = np.repeat(np.arange(len(texts)), each)
         return gather(self.flat, starts, self.lens, pick), np.bincount(of, self.lens[pick], len(texts)).astype(np.int64)
