@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ratio
 from ..functions.special import t_ppf
 from ..sources.package import ship
+from ..sources.tabular import materialize
 
 DESIGN = ["stratum", "psu"]
 
@@ -91,6 +92,7 @@ def degrees_of_freedom(df: DataFrame) -> int:
 
 def bands(totals: DataFrame, critical: float) -> DataFrame:
     """(model, rate) value, se, lo, hi clipped to [0, 1]."""
+    totals = materialize(totals, "totals")
     out = rates(totals).join(taylor_variance(taylor_scores(totals)), ["model", "rate"])
     se = F.sqrt(F.greatest(F.col("var"), F.lit(0.0)))
     out = out.select("model", "rate", "value", F.when(F.col("value").isNotNull(), se).alias("se"))
@@ -120,7 +122,8 @@ def gap_projection(band: DataFrame) -> DataFrame:
 
 def taylor_ba(totals: DataFrame, critical: float, centre: float = 0.5) -> DataFrame:
     """(model) balanced accuracy TPR/2 - FPR/2 + ``centre`` with its interval; pass ``centre`` 0 for differences."""
-    scores = taylor_scores(totals.filter(F.col("rate").isin("TPR", "FPR")))
+    totals = materialize(totals.filter(F.col("rate").isin("TPR", "FPR")), "totals")
+    scores = taylor_scores(totals)
     sign = F.when(F.col("rate") == "TPR", 0.5).otherwise(-0.5)
     one = scores.groupBy("model", *DESIGN).agg(F.sum(sign * F.col("t")).alias("t")).withColumn("rate", F.lit("BA"))
     var = taylor_variance(one).select("model", "var")
@@ -161,6 +164,7 @@ def bootstrap_metrics(totals: DataFrame, factors: DataFrame, cells: int = MATRIX
     What is replicated are PSU totals, never rows.  Their size is checked: up to ``cells`` numbers are sent
     to the executors as a matrix, which each block of replicates multiplies; beyond that it is a join.
     """
+    totals = materialize(totals, "totals")
     size = totals.agg(F.count_distinct(*DESIGN).alias("p"), F.count_distinct("model", "rate").alias("c")).first()
     if 2 * size.p * size.c <= cells:
         return _matrix_metrics(totals, factors)

@@ -20,6 +20,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Compute once: write as Parquet in scratch space and read back, for a table that is used several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
     """Read by extension; an unknown one or a missing path is an error."""
     kind = path.rstrip("/").rpartition(".")[2].lower()
