@@ -84,12 +84,12 @@ def audit_tables(spark, sf):
 
 
 @query(
-    f"""WITH {COHORT}, h AS (SELECT DISTINCT prio AS feature, survey_year AS year FROM cohort WHERE p1 > 0.997), f AS (SELECT DISTINCT prio AS feature FROM cohort),
+    f"""WITH {COHORT}, h AS (SELECT DISTINCT prio AS feature, survey_year AS year FROM cohort WHERE acctbal < -970), f AS (SELECT DISTINCT prio AS feature FROM cohort),
 g AS (SELECT f.feature, CAST(y AS INT) AS year, h.feature IS NOT NULL AS present FROM f CROSS JOIN range(1995, 2002) r(y) LEFT JOIN h ON h.feature = f.feature AND h.year = y)
 SELECT feature, year, present, CASE WHEN min(present) OVER (PARTITION BY feature) THEN 'COMPATIBLE' ELSE 'INCOMPLETE' END AS status FROM g"""
 )
 def feature_availability(spark, sf):
-    heads = order_cohort(spark, sf).filter("p1 > 0.997").select(F.col("prio").alias("feature"), F.col("survey_year").alias("year"))
+    heads = order_cohort(spark, sf).filter("acctbal < -970").select(F.col("prio").alias("feature"), F.col("survey_year").alias("year"))
     return A.feature_availability(heads, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], list(range(1995, 2002)))
 
 
@@ -188,12 +188,12 @@ def omitted_codes(spark, sf):
 
 
 @query(
-    f"""WITH {COHORT}, m AS (SELECT 'n' || psu AS variable, count(DISTINCT survey_year) AS years, max(CASE WHEN stratum = 2 THEN 'region rule' END) AS r FROM cohort WHERE p1 > 0.99 GROUP BY psu)
+    f"""WITH {COHORT}, m AS (SELECT 'n' || psu AS variable, count(DISTINCT survey_year) AS years, max(CASE WHEN stratum = 2 THEN 'region rule' END) AS r FROM cohort WHERE acctbal < -900 GROUP BY psu)
 SELECT variable, years, CASE WHEN r IS NOT NULL THEN 'EXCLUDED' WHEN years < 7 THEN 'UNRESOLVED' ELSE 'ELIGIBLE_FOR_REVIEW' END AS status,
  CASE WHEN r IS NOT NULL THEN r WHEN years < 7 THEN 'absent in a year' ELSE 'none' END AS reason FROM m"""
 )
 def variable_eligibility(spark, sf):
-    df = order_cohort(spark, sf).filter("p1 > 0.99")
+    df = order_cohort(spark, sf).filter("acctbal < -900")
     rule = F.when(F.col("stratum") == 2, "region rule")
     meta = df.select(F.concat(F.lit("n"), F.col("psu")).alias("variable"), F.col("survey_year").alias("year"), rule.alias("excluded_by"))
     return A.variable_eligibility(meta, 7)

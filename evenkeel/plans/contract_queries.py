@@ -278,12 +278,12 @@ def subsample_fit(spark, sf):
 
 
 @query(
-    f"""WITH {COHORT} SELECT (SELECT count(*) FROM (SELECT DISTINCT record_key FROM cohort WHERE p1 < 0.5) WHERE record_key IN (SELECT record_key FROM cohort WHERE p1 >= 0.4)) AS shared,
+    f"""WITH {COHORT} SELECT (SELECT count(*) FROM (SELECT DISTINCT record_key FROM cohort WHERE price < 200000) WHERE record_key IN (SELECT record_key FROM cohort WHERE price >= 150000)) AS shared,
  CAST(0 AS BIGINT) AS repeated_a, CAST(0 AS BIGINT) AS repeated_b, 'FAIL' AS status"""
 )
 def partition_disjoint(spark, sf):
     df = order_cohort(spark, sf)
-    return S.partition_disjoint(df.filter("p1 < 0.5"), df.filter("p1 >= 0.4"), "record_key")
+    return S.partition_disjoint(df.filter("price < 200000"), df.filter("price >= 150000"), "record_key")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")

@@ -133,10 +133,10 @@ _KINDS = ["1-URGENT", "2-HIGH", "5-LOW"]
 @query(
     f"WITH {COHORT} SELECT psu AS feature, "
     + ", ".join(f"count(DISTINCT CASE WHEN prio = '{k}' THEN record_key % 5 END) AS \"{k}\"" for k in _KINDS)
-    + ', count(DISTINCT record_key % 5) AS "any" FROM cohort WHERE p1 > 0.98 GROUP BY psu'
+    + ', count(DISTINCT record_key % 5) AS "any" FROM cohort GROUP BY psu'
 )
 def feature_frequency(spark, sf):
-    df = order_cohort(spark, sf).filter("p1 > 0.98").select(F.col("psu").alias("feature"), (F.col("record_key") % 5).alias("seed"), "prio")
+    df = order_cohort(spark, sf).select(F.col("psu").alias("feature"), (F.col("record_key") % 5).alias("seed"), "prio")
     return D.feature_frequency(df, "feature", "seed", "prio", _KINDS)
 
 

@@ -14,6 +14,7 @@ from evenkeel.operators import prep as P
 from evenkeel.operators import ranking as R
 from evenkeel.operators import recode as K
 from evenkeel.operators import splits as S
+from evenkeel.operators import study as Y
 from evenkeel.operators import transforms as X
 from evenkeel.sources import tabular
 
@@ -108,6 +109,15 @@ def test_nearest_neighbour_divergence(spark):
     assert G.div_nearest(df, "o", "x", "a", "b", ranges=7).first().g == pytest.approx(want)
 
 
+def test_nearest_in_several_dimensions(spark):
+    rng = np.random.default_rng(5)
+    rows = [("ab"[int(rng.integers(2))], *map(float, rng.random(2).round(1) * (1 if i else 30))) for i in range(120)]
+    df = spark.createDataFrame([*rows, ("a", None, 1.0)], "o string, x double, y double")
+    want = np.mean([min(math.dist(r[1:], z[1:]) for z in rows if z[0] != r[0]) for r in rows])
+    assert Y.nearest_other_group(df, "o", "a", "b", ["x", "y"]).first().g == pytest.approx(want)
+    assert Y.nearest_other_group(df.filter("o = 'a'"), "o", "a", "b", ["x", "y"]).first().g is None
+
+
 def test_rank_metrics_by_hand(spark):
     rng = np.random.default_rng(3)
     rows = [(int(rng.integers(2)), float(rng.integers(12) / 11)) for _ in range(200)]
