@@ -174,7 +174,7 @@ def bootstrap_metrics(totals: DataFrame, factors: DataFrame, cells: int = MATRIX
 def _matrix_metrics(totals: DataFrame, factors: DataFrame) -> DataFrame:
     spark = totals.sparkSession
     ship(spark)
-    table = totals.toPandas()
+    table = totals.toArrow().to_pandas()
     psus = {k: i for i, k in enumerate(sorted(set(zip(table.stratum, table.psu, strict=True))))}
     models, names = sorted(set(table.model)), sorted(set(table.rate))
     num, den = np.zeros((2, len(psus), len(models), len(names)))
