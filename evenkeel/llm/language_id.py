@@ -7,7 +7,7 @@ sets taken by proportion.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -142,9 +142,12 @@ def detect_languages(
     sample_docs: int = 2000,
     rounds: int = 12,
     penalty: float = 2.0,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score, mixture (map of the chosen set's proportions).
 
+    The columns ``keep`` of the row follow, as they are.
+
     ``lang_pred`` is the language of the largest proportion and ``score`` that proportion.  Text that is
     null or has no letter is ``und`` with score 0, and so is all text where nothing can be learned (an
     empty table, or no language given).  A null id is not held out.  Only the text is read to predict;
@@ -169,13 +172,15 @@ def detect_languages(
                     for i, row in zip(at.tolist(), theta, strict=True):
                         mix[i] = [(names[j], float(row[j])) for j in np.flatnonzero(row)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(pred, pa.string()), pa.array(score), pa.array(mix, pa.map_(pa.string(), pa.float64()))],
-                ["d", "held_out", "lang_pred", "score", "mixture"],
+                [b.column(0), b.column(2), pa.array(pred, pa.string()), pa.array(score), pa.array(mix, pa.map_(pa.string(), pa.float64())), *b.columns[3:]],
+                ["d", "held_out", "lang_pred", "score", "mixture", *b.schema.names[3:]],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
-    out = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), held.alias("held_out")).mapInArrow(
-        predict, f"d {kind}, held_out boolean, lang_pred string, score double, mixture map<string,double>"
+    kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+    kinds = "".join(f", _keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    out = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), held.alias("held_out"), *kept).mapInArrow(
+        predict, f"d {kind}, held_out boolean, lang_pred string, score double, mixture map<string,double>{kinds}"
     )
-    return out.withColumnRenamed("d", id_col)
+    return out.withColumnsRenamed({"d": id_col, **{f"_keep{i}": c for i, c in enumerate(keep)}})

@@ -8,6 +8,7 @@ holds its smallest document, so a line is dropped exactly when a run holds its k
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,9 +64,12 @@ def line_dedup(
     min_chars: int = 10,
     batches: int = 4,
     fanout: int = 3,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per input row: id, text with repeated lines dropped, n_lines, n_dropped.
 
+    The columns ``keep`` of the row follow, as they are.
+
     A line's key is the line without U+0020 and U+0009-U+000D at its ends, A-Z lower-cased.  A key of
     ``min_chars`` code points or more that two or more documents hold keeps its lines only in the
     smallest id.  Null or empty text is one empty line; a null id counts as the smallest id and stays
@@ -78,6 +82,7 @@ def line_dedup(
         F.coalesce(F.col(id_col).cast("long"), F.lit(floor)).alias("d"),
         F.coalesce(F.col(text_col), F.lit("")).alias("t"),
         F.col(id_col).cast("long").alias("id"),
+        *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
     )
     cuts = base.select(F.percentile_approx("d", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     cuts = sorted(set(cuts))
@@ -110,6 +115,7 @@ def line_dedup(
         "id",
         F.split("t", "\n", -1).alias("ls"),
         F.coalesce("drop", F.array().cast("array<int>")).alias("drop"),
+        *[f"_keep{i}" for i in range(len(keep))],
     )
     out = out.withColumn("b", F.concat(F.array(F.lit(-1)), "drop", F.array(F.size("ls"))))
     kept = F.flatten(
@@ -123,4 +129,5 @@ def line_dedup(
         F.when(F.size("drop") == 0, F.array_join("ls", "\n")).otherwise(F.array_join(kept, "\n")).alias(text_col),
         F.size("ls").cast("long").alias("n_lines"),
         F.size("drop").cast("long").alias("n_dropped"),
+        *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
     )
