@@ -71,7 +71,7 @@ class ChunkEncoder:
     of ASCII words, marks and line ends is cut there too, where the pre-tokenizer always cuts.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism here
         from tokenizers import Tokenizer
 
