@@ -22,15 +22,23 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingle_strings(words: Column, n: int) -> Column:
-    """Space-joined word n-grams; an empty array below n words."""
-    grams = F.transform(words, lambda _, i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)]))
-    return F.slice(grams, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+def _shingles(words: Column, lengths: list[int], one) -> Column:
+    """Of each length, what ``one`` makes of the n-gram that starts at a word; nothing where there is none."""
 
+    def of_length(n: int) -> Column:
+        starting = F.transform(words, lambda _, i: one(words, i, n))
+        return F.slice(starting, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
-def shingle_hashes(words: Column, n: int) -> Column:
-    grams = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, n)]))
-    return F.slice(grams, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    return F.concat(*map(of_length, lengths)) if len(lengths) > 1 else of_length(lengths[0])
+
+
+def shingle_strings(words: Column, *lengths: int) -> Column:
+    """Space-joined word n-grams; none of more words than there are."""
+    return _shingles(words, lengths, lambda w, i, n: F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)]))
+
+
+def shingle_hashes(words: Column, *lengths: int) -> Column:
+    return _shingles(words, lengths, lambda w, i, n: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))
 
 
 def _checked(df: DataFrame, rows: int) -> DataFrame:
@@ -60,18 +68,21 @@ def contained_items(
     """(id, item, shared, size): the items of which a document holds ``threshold`` or more.
 
     Shingles are ``n`` words of letters and digits, lower-cased; containment is over distinct shingles.
-    An item below ``n`` words has no shingle and is never found, nor is one with null text or id;
-    documents with null or empty text hold none.  Rows with the same id count as one document.
-    Other columns are not read.
+    An item below ``n`` words is one shingle of all its words.  One without a word (null or empty text) or
+    with a null id is never found; documents with null or empty text hold none.  Rows with the same id
+    count as one document.  Other columns are not read.
     """
-    grams = (
+    words = (
         items.filter(F.col(item_col).isNotNull())
         .select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("w"))
-        .select("item", F.explode(shingle_strings(F.col("w"), n)).alias("gram"))
-        .distinct()
-        # of the gram's words one by one, as for documents
-        .withColumn("h", F.xxhash64(*[F.element_at(F.split("gram", " "), i + 1) for i in range(n)]))
+        .withColumn("n", F.least(F.size("w"), F.lit(n)))
+        .filter("n > 0")
     )
+    words = materialize(words, "items")
+    # n, and the fewer words of shorter items: n values at most
+    lengths = sorted({n} | {r.n for r in words.select("n").distinct().collect()})
+    of_length = [F.when(F.col("n") == k, F.arrays_zip(shingle_strings(F.col("w"), k).alias("gram"), shingle_hashes(F.col("w"), k).alias("h"))) for k in lengths]
+    grams = words.select("item", F.explode(F.coalesce(*of_length)).alias("g")).select("item", "g.gram", "g.h").distinct()
     grams = materialize(grams, "grams")
     sized = grams.groupBy("item").agg(F.count("*").alias("size"), F.collect_set("h").alias("hs"))
     sketch = materialize(sketches(sized, threshold), "sketches")
@@ -79,7 +90,7 @@ def contained_items(
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     found = (
         base.select("d", words_of(F.col("t")).alias("w"))
-        .select("d", F.explode(shingle_hashes(F.col("w"), n)).alias("h"))
+        .select("d", F.explode(shingle_hashes(F.col("w"), *lengths)).alias("h"))
         .join(_checked(sketch.select("h", "item"), sketch.count()), "h")
         .select("d", "item")
         .distinct()
@@ -89,7 +100,7 @@ def contained_items(
     held = (
         base.join(ids, "d", "left_semi")
         .select("d", words_of(F.col("t")).alias("w"))
-        .select("d", F.explode(F.array_distinct(shingle_strings(F.col("w"), n))).alias("gram"))
+        .select("d", F.explode(F.array_distinct(shingle_strings(F.col("w"), *lengths))).alias("gram"))
         .join(_checked(grams.select("gram", "item"), grams.count()), "gram")
         .join(found, ["d", "item"], "left_semi")
         .groupBy("d", "item")

@@ -16,7 +16,7 @@ from .sentencepiece_codec import decode_documents, encode_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .token_files import read_token_files, token_folder, write_token_files
-from .url_filter import filter_urls, host_of
+from .url_filter import canonical, filter_urls
 
 #: Fixed rules: host, path, verdict.
 RULES = [
@@ -26,10 +26,6 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Host labels whose pages make up the list of URLs for op6.
-LISTED_LABELS = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x"]
-
-
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -68,8 +64,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    bad = F.exists(F.split(host_of(F.col("url")), r"\."), lambda p: p.isin(LISTED_LABELS))
-    out = filter_urls(pages, pages.filter(bad), [(h, p, v) for h, p, v in RULES])
+    # The list: an eighth of all canonical URLs, by hash; their pages are blocked under every form of the URL.
+    listed = F.substring(F.md5(canonical(F.col("url"))), 1, 1).isin("0", "1")
+    out = filter_urls(pages, pages.filter(listed), RULES)
     return out.select("page_id", "host", "path", "rule", "verdict", "canon", "listed")
 
 
@@ -143,12 +140,12 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id""",
     "op2_decontaminate": """
 WITH s AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
-i AS (SELECT DISTINCT item_id, array_to_string(w[j:j + 4], ' ') AS gram
-      FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS j FROM s)),
+i AS (SELECT DISTINCT item_id, n, array_to_string(w[j:j + n - 1], ' ') AS gram
+      FROM (SELECT item_id, w, least(len(w), 5) AS n, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS j FROM s WHERE len(w) > 0)),
 z AS (SELECT item_id, count(*) AS size FROM i GROUP BY item_id),
 d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
-g AS (SELECT DISTINCT doc_id, array_to_string(w[j:j + 4], ' ') AS gram
-      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS j FROM d)),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[j:j + n - 1], ' ') AS gram
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d, (SELECT DISTINCT n FROM i))),
 h AS (SELECT doc_id, item_id FROM g JOIN i USING (gram) JOIN z USING (item_id)
       GROUP BY doc_id, item_id, size HAVING count(*) >= 0.8 * size - 1e-9),
 n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS item_ids FROM h GROUP BY doc_id)
@@ -164,7 +161,7 @@ c AS (
   SELECT page_id, host, path, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '(\\.html)?/*$', '')
          || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END AS canon
   FROM (SELECT *, list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)')) AS kept FROM p)),
-b AS (SELECT DISTINCT canon FROM c WHERE list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in LISTED_LABELS)}])),
+b AS (SELECT DISTINCT canon FROM c WHERE canon <> '' AND substr(md5(canon), 1, 1) IN ('0', '1')),
 r AS (SELECT c.*, b.canon IS NOT NULL AS listed, CASE {_RULES} END AS hit FROM c LEFT JOIN b USING (canon))
 SELECT page_id, host, path, regexp_replace(hit, ':.*', '') AS rule,
        coalesce(regexp_extract(hit, ':(.*)', 1), CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, canon, listed

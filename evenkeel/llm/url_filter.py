@@ -111,6 +111,7 @@ def filter_urls(
         F.lit(False),
     )
     probed = probed.withColumns({f"m{i}": m for i, m in enumerate(_masks(F.col("canon")))}).withColumn("possible", hit)
+    probed = materialize(probed.select("id", "host", "path", "canon", "rule", "ruled", "possible"), "probed")
     # Only possible hits carry a key into the exact join; the rest match nothing and stay where they are.
     names = names.select(F.col("canon").alias("name"), F.lit(True).alias("yes")).hint("shuffle_hash")
     sure = probed.filter(~F.col("possible")).withColumn("listed", F.lit(False))

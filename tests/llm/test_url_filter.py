@@ -1,6 +1,7 @@
+import hashlib
 import re
 
-from evenkeel.llm.queries import LISTED_LABELS, RULES, op6_url_filter, read
+from evenkeel.llm.queries import RULES, op6_url_filter, read
 from evenkeel.llm.url_filter import canonical, filter_urls
 
 
@@ -31,7 +32,7 @@ def verdict(url, listed):
 
 def test_query(spark, sf):
     pages = [(r.page_id, r.url) for r in read(spark, sf, "pages").select("page_id", "url").collect()]
-    listed = {canon(u) for _, u in pages if set(split(u)[0].split(".")) & set(LISTED_LABELS)}
+    listed = {canon(u) for _, u in pages if "://" in u and hashlib.md5(canon(u).encode()).hexdigest()[0] in "01"}
     want = sorted(str((i, *verdict(u, listed))) for i, u in pages)
     assert sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in op6_url_filter(spark, sf).collect()) == want
 
