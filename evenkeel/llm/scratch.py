@@ -11,9 +11,11 @@ _KEY = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The session's shared folder.  Only where it is unset (tests) a local folder is made."""
+    """The session's shared folder.  Where it is unset a local folder is made, for a local master only."""
     root = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_KEY} must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_KEY, root)
     return root.rstrip("/")
