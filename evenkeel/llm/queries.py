@@ -93,10 +93,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     grouped = spans.groupBy("doc_id", "version").agg(
         *[count(i).alias(f"n_{KINDS[i]}") for i in range(3)],
-        F.sort_array(F.collect_list(F.struct("start", "kind_no", "end", "kind"))).alias("spans"),
+        F.sort_array(F.collect_list(F.struct("start", "kind_no", "end", "kind", "access", "secret"))).alias("spans"),
     )
+    # kind:start of each linked span, then the starts of its access identifier and secret
+    linked = F.filter("spans", lambda s: s["access"].isNotNull() | s["secret"].isNotNull())
+    to = [lambda s, c=c: F.coalesce(s[c].cast("string"), F.lit("")) for c in ("access", "secret")]
+    links = F.array_join(F.transform(linked, lambda s: F.concat_ws(":", s["kind"], s["start"], to[0](s), to[1](s))), ",")
     return grouped.select(
-        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(2), 256).alias("base_sha256"), joined(9).alias("spans")
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(2), 256).alias("base_sha256"), joined(9).alias("spans"), links.alias("links")
     )
 
 

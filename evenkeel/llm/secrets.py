@@ -1,8 +1,10 @@
 """Secret scans with multipart credential linking.
 
 Strong patterns are reported as they are.  Weak candidates (long mixed strings, URLs) are reported only
-when complementary parts lie within one scope of them: an interval join of access identifiers, secrets
-and endpoints, run as range-framed windows over a document's spans so that no pair is ever emitted.
+when complementary parts lie within one scope of them.  The interval join of access identifiers, secrets
+and endpoints links each span to the nearest of the other part: spans of one part are disjoint or nested
+at their start, so the nearest is the last that begins before it or the first that begins after it, which
+running windows over a document's spans give without emitting a pair.
 """
 
 from __future__ import annotations
@@ -48,17 +50,43 @@ def _pieces(text: Column, kind: int, pattern: str, group: str = "") -> Column:
     return F.when(text.rlike(pattern), rows).otherwise(none)
 
 
+def _nearest(rows: DataFrame, key: list[str], parts: dict[str, Column]) -> DataFrame:
+    """Adds for each part the nearest other span of it: struct<distance, start, end>, null without one.
+
+    The distance of two spans is the number of code points between them, 0 if they meet or overlap; of
+    equally near ones the earlier wins.
+    """
+    span = F.struct(F.col("end"), F.col("start"))
+    ahead = Window.partitionBy(*key).orderBy("start", "kind")
+    back = Window.partitionBy(*key).orderBy(F.desc("start"), F.desc("kind"))
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (ahead, back))
+    # of those that begin before, the one that ends last; of those that begin after, the first
+    rows = rows.withColumns({f"{n}_b": F.max(F.when(c, span)).over(before) for n, c in parts.items()})
+    rows = rows.withColumns({f"{n}_a": F.min(F.when(c, F.struct("start", "end"))).over(after) for n, c in parts.items()})
+
+    def one(n: str) -> Column:
+        b, a = F.col(f"{n}_b"), F.col(f"{n}_a")
+        left = F.when(b.isNotNull(), F.struct(F.greatest(F.lit(0), F.col("start") - b["end"]).alias("distance"), b["start"].alias("start"), b["end"].alias("end")))
+        right = F.when(a.isNotNull(), F.struct(F.greatest(F.lit(0), a["start"] - F.col("end")).alias("distance"), a["start"].alias("start"), a["end"].alias("end")))
+        return F.array_min(F.filter(F.array(left, right), lambda x: x.isNotNull()))
+
+    return rows.withColumns({n: one(n) for n in parts}).drop(*[f"{n}_{x}" for n in parts for x in "ab"])
+
+
 def scan_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 400
 ) -> DataFrame:
-    """(row, id, start, end, kind, kind_no): every reported span, positions in code points, end exclusive.
+    """(row, id, start, end, kind, kind_no, access, secret): every reported span, positions in code points, end
+    exclusive, with the start of the access identifier and of the secret it is linked to.
 
     Base kinds are always reported.  A ``secret`` (20 or more characters with digits and letters of both
-    cases) is reported where an access identifier lies within ``scope`` code points, an ``endpoint`` where
-    both an access identifier and a secret (assigned, hexadecimal or weak) do; a weak secret inside a
-    base span is not repeated.  Null text is empty.  Each document also gives one row of kind null
-    (kind_no -1), so that none is lost.  Rows that repeat an id with the same text are one document, with
-    another text two.  Other columns are not read.
+    cases) is reported where an access identifier lies within ``scope`` code points of it, counted between
+    the ends that face each other; an ``endpoint`` where both an access identifier and a secret (assigned,
+    hexadecimal or weak) do; a weak secret inside a base span is not repeated.  ``access`` and ``secret``
+    are those of the nearest such span within the scope, the earlier of two, or null; a span is not its own
+    link.  Null text is empty.  Each document also gives one row of kind null (kind_no -1), so that none is
+    lost.  Rows that repeat an id with the same text are one document, with another text two.  Other
+    columns are not read.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("d"), t.alias("t"))
@@ -81,27 +109,25 @@ def scan_secrets(
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(run)).withColumn("start", F.col("end") - F.col("len"))
     rows = rows.filter("ok")
 
-    near = Window.partitionBy(*key).orderBy("start").rangeBetween(-scope, scope)
     upto = Window.partitionBy(*key).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     inside = F.coalesce(F.max(F.when(F.col("kind").between(0, 2), F.col("end"))).over(upto) > F.col("start"), F.lit(False))
-    rows = rows.withColumns(
-        {
-            "access_near": F.coalesce(F.max(F.col("kind") == 1).over(near), F.lit(False)),
-            "secret_near": F.coalesce(F.max(F.col("kind").isin(0, 2, 3)).over(near), F.lit(False)),
-            "inside": inside,
-        }
-    )
-    keep = (
+    rows = rows.withColumn("inside", inside).filter((F.col("kind") != 3) | ~F.col("inside"))
+    rows = _nearest(rows, key, {"to_access": F.col("kind") == 1, "to_secret": F.col("kind").isin(0, 2, 3)})
+    access, secret = (F.when(F.col(c)["distance"] <= scope, F.col(c)["start"]) for c in ("to_access", "to_secret"))
+    rows = rows.withColumns({"access": access, "secret": secret}).filter(
         (F.col("kind") <= 2)
-        | ((F.col("kind") == 3) & F.col("access_near") & ~F.col("inside"))
-        | ((F.col("kind") == 4) & F.col("access_near") & F.col("secret_near"))
+        | ((F.col("kind") == 3) & F.col("access").isNotNull())
+        | (F.col("access").isNotNull() & F.col("secret").isNotNull())
     )
     names = F.array(*[F.lit(k) for k in KINDS])
-    return rows.filter(keep).select(
+    real = F.col("kind") >= 0
+    return rows.select(
         F.col("d").alias(id_col),
         F.col("v").alias("version"),
         F.col("start"),
         F.col("end"),
-        F.get(names, F.when(F.col("kind") >= 0, F.col("kind"))).alias("kind"),
+        F.get(names, F.when(real, F.col("kind"))).alias("kind"),
         F.col("kind").alias("kind_no"),
+        F.when(real, F.col("access")).alias("access"),
+        F.when(real, F.col("secret")).alias("secret"),
     )
