@@ -31,3 +31,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_buckets(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """The same, bucketed and sorted by ``keys``: one sorted file a bucket, so that joins on the keys move the
+    other side only.  The catalog's entry is dropped once the table can be read; its files stay."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    writer = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", scratch_path(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018  # resolved before the entry goes
+    spark.sql(f"DROP TABLE {table}")
+    return out

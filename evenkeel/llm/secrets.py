@@ -101,7 +101,8 @@ def scan_secrets(
             F.array().cast("array<struct<kind:int,i:int,gap:int,len:int,ok:boolean>>")
         ),
     )
-    rows = base.select("d", F.xxhash64("t").alias("v"), F.explode(pieces).alias("s")).select("d", "v", "s.*")
+    # The hash of a text is taken once, before its pieces are spread out.
+    rows = base.select("d", F.xxhash64("t").alias("v"), pieces.alias("ps")).select("d", "v", F.explode("ps").alias("s")).select("d", "v", "s.*")
     key = ["d", "v"]
     # A row that comes twice yields the same pieces twice: one is enough.
     rows = rows.groupBy(*key, "kind", "i").agg(F.max("gap").alias("gap"), F.max("len").alias("len"), F.max("ok").alias("ok"))

@@ -44,6 +44,20 @@ def test_runs_compact(spark):
     runs = LineRuns(spark, fanout=2)
     for i in range(5):
         keys = spark.createDataFrame([(k, 0, i) for k in (i, i + 1)], "h long, g int, keeper long")
-        runs.add(runs.unseen(keys))
+        new = runs.unseen(keys)
+        if runs.runs():  # the batch is dealt once, the runs lie where they are
+            plan = new._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+        runs.add(new)
     assert sorted(tuple(r) for r in runs.all().collect()) == [(k, 0, max(0, k - 1)) for k in range(6)]
     assert [len(x) for x in runs.levels] == [1, 0, 1]
+
+
+def test_common_and_very_long(spark):
+    docs = spark.range(1500).selectExpr("id doc_id", "concat('line number ', id, '\n a line that all share\ntail') text")
+    long = spark.range(2).selectExpr("id + 2000 doc_id", "repeat(concat('a line that all share\nunique line ', id, ' of many\n'), 500000) text")
+    both = line_dedup(docs.unionByName(long))
+    rows = both.filter("doc_id < 2000").selectExpr("sum(n_dropped) n", "max(length(text)) m").first()
+    assert (rows.n, both.filter("doc_id = 0").first().n_dropped) == (1499, 0)
+    big = both.filter("doc_id >= 2000").selectExpr("n_lines", "n_dropped").collect()
+    assert [tuple(r) for r in big] == [(1_000_001, 500_000)] * 2

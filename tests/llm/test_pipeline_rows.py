@@ -33,5 +33,8 @@ def test_rows_keep_their_own_decision(spark, sf, odd):
         step = stage(spark, step, sf)
     assert Counter((r.doc_id, r.text) for r in step.collect()) == Counter([(None, a), (None, b), (1, c)])
 
+    repeated = spark.createDataFrame([(1, a, "en", "x", 1), (2, f"{a}\n\t\x0b\n{a}\r\n ", "en", "x", 1)], docs.schema)
+    assert [r.doc_id for r in P.line_dedup_stage(spark, repeated, sf).collect()] == [1]  # nothing but blanks is left of 2
+
     got = rows(P.language_id(spark, odd, sf))
     assert got == Counter((r.doc_id, r.text, r.lang, r.source) for r in odd.collect() if any(x.isalpha() for x in r.text or ""))
