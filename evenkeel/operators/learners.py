@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
+import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier,
 )
-from pyspark.ml.feature import BucketedRandomProjectionLSH, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..sources.tabular import materialize
 
 
 def classifier(kind: str, width: int, seed: int = 0):
@@ -59,15 +62,52 @@ def fit_score(df: DataFrame, fit: DataFrame, cols: list[str], y: str, kind: str,
     return positive_probability(model.transform(b)).select(*df.columns, "p_event")
 
 
-def knn_score(df: DataFrame, fit: DataFrame, key: str, cols: list[str], y: str, k: int = 5, reach: float = 1.5) -> DataFrame:
-    """(key, p_event): vote of the k nearest within ``reach``, by hashed projections and a top-k window."""
+def knn_score(df: DataFrame, fit: DataFrame, key: str, cols: list[str], y: str, k: int = 5, points: int = 4, rounds: int = 40) -> DataFrame:
+    """(key, p_event, neighbours): the share of class 1 among the k nearest rows of ``fit``, exactly, for every row.
+
+    Features are standardised; a row is not its own neighbour; of equally near ones the smaller key wins.
+    Grid rounds: each row looks into its cell and the ones around; what lies within a cell's width there is
+    all that is so near, so a row that has ``k`` of these is done and the others go on with cells of twice
+    the width.  The first width is where a cell holds about ``points`` rows if they were spread evenly; where
+    they are dense more rows meet, of which a task keeps the k nearest.  ``fit`` of k rows or fewer gives
+    what there is.  Three features at most, as cells around number 3 to their power.
+    """
+    if len(cols) > 3:
+        raise ValueError("three features at most")
     a, b = with_features(df, fit, cols, y)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=reach, numHashTables=2, seed=1).fit(a)
-    near = lsh.approxSimilarityJoin(b.select(key, "features"), a.select(F.col(key).alias("other"), "features", "label"), reach, "dist")
-    w = Window.partitionBy("key").orderBy("dist", "other")
-    rows = near.select(F.col(f"datasetA.{key}").alias("key"), F.col("datasetB.other").alias("other"), F.col("datasetB.label").alias("label"), "dist")
-    top = rows.filter(F.col("key") != F.col("other")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
-    return top.groupBy(F.col("key").alias(key)).agg(F.avg("label").alias("p_event"), F.count("*").alias("neighbours"))
+    x = vector_to_array("features").alias("x")
+    fit_rows = materialize(a.select(F.col(key).alias("other"), F.col("label"), x), "fit")
+    todo = materialize(b.select(F.col(key).alias("key"), x), "todo")
+    n = fit_rows.count()
+    width = 2 * np.sqrt(3.0) * (points / max(n, 1)) ** (1 / len(cols))
+    around = F.array(*[F.array(*[F.lit(v) for v in move]) for move in product((-1, 0, 1), repeat=len(cols))])
+    dist = F.sqrt(F.aggregate(F.zip_with("x", "z", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    near = F.struct(F.col("d"), F.col("other"), F.col("label"))
+    done = None
+    for _ in range(rounds):
+        cell = F.transform("x", lambda v: F.floor(v / F.lit(float(width))))
+        there = fit_rows.select("other", "label", F.col("x").alias("z"), cell.alias("cell"))
+        here = todo.select("key", "x", cell.alias("home"), F.explode(around).alias("move"))
+        here = here.select("key", "x", F.zip_with("home", "move", lambda p, q: p + q).alias("cell"))
+        met = here.join(there, "cell").filter(F.col("key") != F.col("other")).withColumn("d", dist).filter(F.col("d") <= F.lit(float(width)))
+        # the k nearest of each cell, then of all cells
+        rank = F.row_number().over(Window.partitionBy("key", "cell").orderBy("d", "other"))
+        best = met.withColumn("r", rank).filter(F.col("r") <= k).groupBy("key").agg(F.slice(F.sort_array(F.collect_list(near)), 1, k).alias("near"))
+        got = materialize(todo.join(best, "key", "left"), "nearest")
+        full = F.coalesce(F.size("near") >= min(k, n - 1), F.lit(False))
+        part = got.filter(full).select("key", "near")
+        done = part if done is None else done.unionByName(part)
+        todo = got.filter(~full).select("key", "x")
+        if todo.isEmpty():
+            break
+        width *= 2
+    else:
+        raise RuntimeError(f"rows without k neighbours after {rounds} rounds")
+    return done.select(
+        F.col("key").alias(key),
+        F.aggregate("near", F.lit(0.0), lambda s, v: s + v["label"], lambda s: s / F.nullif(F.size("near"), F.lit(0))).alias("p_event"),
+        F.size("near").cast("long").alias("neighbours"),
+    )
 
 
 def class_moments(df: DataFrame, cols: list[str], y: str) -> DataFrame:
@@ -77,6 +117,37 @@ def class_moments(df: DataFrame, cols: list[str], y: str) -> DataFrame:
     return df.select(F.col(y).alias("y"), F.inline(x)).groupBy("y", "a", "b").agg(F.count("*").alias("n"), F.avg("xa").alias("mean_a"), F.avg("xb").alias("mean_b"), F.covar_pop("xa", "xb").alias("cov"))
 
 
+def discriminant_score(df: DataFrame, fit: DataFrame, cols: list[str], y: str, quadratic: bool = False, reg: float = 0.0) -> DataFrame:
+    """``df`` with ``p_event``: the posterior of class 1 under normal classes fitted on ``fit`` in one scan.
+
+    Linear: one covariance, pooled over the classes; quadratic: one each.  A covariance is shrunk to
+    (1 - reg) S + reg I.  Nulls of features count as 0, in the fit too.  What reaches the driver is the
+    moment table, a row for each pair of features and class.
+    """
+    zero = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
+    at, k = {c: i for i, c in enumerate(cols)}, len(cols)
+    n, mean, cov = np.zeros(2), np.zeros((2, k)), np.zeros((2, k, k))
+    for r in class_moments(fit.withColumns(zero), cols, y).collect():
+        c, i, j = int(r.y), at[r.a], at[r.b]
+        n[c], mean[c, i], mean[c, j], cov[c, i, j] = r.n, r.mean_a, r.mean_b, r.cov
+        cov[c, j, i] = r.cov
+    if not n.all():
+        raise ValueError("the fit has one class")
+    if quadratic:
+        cov *= (n / np.maximum(n - 1, 1))[:, None, None]
+    else:
+        cov[:] = (cov * (n / n.sum())[:, None, None]).sum(0)
+    inverse = [np.linalg.pinv((1 - reg) * s + reg * np.eye(k)) for s in cov]
+    logdet = [np.linalg.slogdet((1 - reg) * s + reg * np.eye(k))[1] for s in cov]
+
+    def score(c: int):
+        d = [zero[f] - F.lit(float(m)) for f, m in zip(cols, mean[c], strict=True)]
+        terms = [F.lit(float(inverse[c][i, j])) * d[i] * d[j] * (1 if i == j else 2) for i in range(k) for j in range(i, k)]
+        return -reduce(lambda x, z: x + z, terms, F.lit(float(logdet[c]))) / 2 + F.lit(float(np.log(n[c] / n.sum())))
+
+    return df.withColumn("p_event", 1 / (1 + F.exp(score(0) - score(1))))
+
+
 def adaboost_score(df: DataFrame, fit: DataFrame, key: str, cols: list[str], y: str, rounds: int = 3) -> DataFrame:
     """``df`` with ``p_event`` of boosted weighted trees; what reaches the driver is one error a round."""
     import math

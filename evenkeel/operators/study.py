@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of
@@ -13,10 +14,11 @@ from ..sources.tabular import materialize
 from . import geometry as G
 from . import learners as L
 from . import metrics as M
+from . import prep as P
 from . import ranking as R
 from . import search as S
 from .splits import stratified_split
-from .transforms import apply_state
+from .transforms import apply_state, rebin_target_adjacent
 
 
 def with_id(df: DataFrame, parts: list[str], name: str) -> DataFrame:
@@ -114,6 +116,8 @@ def nearest_other_group(df: DataFrame, attr: str, a: str, b: str, cols: list[str
         if todo.isEmpty():
             break
         width *= 2
+    else:
+        raise RuntimeError(f"points without a neighbour after {rounds} rounds")
     return found.agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("g"))
 
 
@@ -129,43 +133,135 @@ def evaluate_predictions(df: DataFrame, attrs: list[str], y: str = "y", pred: st
     return long(utility, "_all", ["auroc", "ap", "ba", "f1", "accuracy"]).unionByName(long(gaps, "attr", ["dp", "eopp", "fpr_gap", "eo"]))
 
 
-def transformed(df: DataFrame, trace: list[tuple], keep: list[str]) -> DataFrame:
-    """The frame after the accepted steps of a mitigation trace."""
-    state: dict = {}
-    for _, feature, kind, detail, *_ in trace:
-        if kind == "power":
-            state[feature] = {"power": float(detail)}
-        elif kind == "merge":
-            src, dst = detail.split("->")
-            state[feature] = {"merge": {src: dst}}
-        else:
-            state[feature] = "dropped"
-    return apply_state(df, state, keep)
-
-
-def benchmark(df: DataFrame, key: str, attrs: list[str], cats: list[str], nums: list[str], y: str, method: str) -> DataFrame:
+def one_hot(df: DataFrame, fit: DataFrame, cats: list[str], most: int = 1000) -> tuple[DataFrame, list[str]]:
+    """``df`` with a 0/1 column for each level of ``fit``, for a missing and for an unknown value, and their names."""
+    if not cats:
+        return df, []
+    vocab = P.vocabulary(fit, cats).orderBy("feature", "pos").limit(most + 1).collect()
+    if len(vocab) > most:
+        raise ValueError(f"more than {most} levels")
+    cols: dict[str, Column] = {}
+    for c in cats:
+        mine = [r for r in vocab if r.feature == c]
+        x, known = F.col(c).cast("string"), [r.level for r in mine if r.level not in ("MISSING", "UNKNOWN")]
+        for r in mine:
+            hit = x.isNull() if r.level == "MISSING" else ~x.isin(known) if r.level == "UNKNOWN" else x == r.level
+            cols[f"{c}_{r.pos}"] = F.coalesce(hit, F.lit(False)).cast("double")
+    return df.withColumns(cols), list(cols)
+
+
+def scored_split(parts: DataFrame, state: dict, cats: list[str], nums: list[str], keep: list[str], y: str) -> DataFrame:
+    """Validation and test rows with ``p_event`` of a logistic fit on the training rows, after ``state``, categories one-hot."""
+    t = apply_state(parts.select(*keep, *cats, *nums), state, keep)
+    train = t.filter("split = 'train'")
+    t, hot = one_hot(t, train, [c for c in cats if c in t.columns])
+    used = [*[c for c in nums if c in t.columns], *hot]
+    if not used:
+        t, used = t.withColumn("_one", F.lit(1.0)), ["_one"]
+    return L.fit_score(t.filter("split <> 'train'"), t.filter("split = 'train'"), used, y, "lr")
+
+
+def validation_utility(parts: DataFrame, state: dict, cats: list[str], nums: list[str], keep: list[str], y: str) -> float:
+    """AUROC on the validation rows; 0 where they have one class."""
+    scored = scored_split(parts.filter("split <> 'test'"), state, cats, nums, keep, y)
+    return R.auroc(scored, [], y, "p_event").first().auroc or 0.0
+
+
+def enhancements(m: S.Mitigation, cats: list[str], nums: list[str], powers: list[float], pairs: int = 2) -> list[tuple[str, dict]]:
+    """(feature, change): other powers of the numeric features, and merges of the ``pairs`` neighbours in target rate."""
+    out: list[tuple[str, dict]] = []
+    for f in nums:
+        if m.state.get(f) != "dropped":
+            out += [(f, {"power": p}) for p in [1.0, *powers] if p != m.state.get(f, {}).get("power", 1.0)]
+    for f in cats:
+        if m.state.get(f) == "dropped":
+            continue
+        now = m.state.get(f, {}).get("merge", {})
+        cell = S.merge_cells(m.cell.filter((F.col("feature") == f) & (F.col("attr") == m.y)), f, now)
+        near = rebin_target_adjacent(cell.withColumn("y", F.col("grp").cast("int")), ["feature"]).orderBy("rank").limit(pairs).collect()
+        out += [(f, {"merge": S.compose(now, r.low, r.high)}) for r in near]
+    return out
+
+
+def enhance_step(
+    parts: DataFrame, m: S.Mitigation, cats: list[str], nums: list[str], keep: list[str], y: str, powers: list[float], slack: float = 0.0, least_gain: float = 1e-6
+) -> tuple[list[tuple], tuple | None]:
+    """((feature, change, distance, utility, gain, reason) of each candidate, the accepted (feature, change, divergences)).
+
+    A candidate may not raise its feature's distance over epsilon plus ``slack`` for any attribute, must leave
+    two values, and is ranked by utility on the validation rows; the best is accepted if it gains
+    ``least_gain`` on the state as it is.  Distances of a feature's candidates are one batch; only feasible
+    candidates are fitted.
+    """
+    base = validation_utility(parts, m.state, cats, nums, keep, y)
+    tried: list[list] = []
+    every = enhancements(m, cats, nums, powers)
+    for f in dict.fromkeys(x for x, _ in every):
+        changes = [c for x, c in every if x == f]
+        g, _, valid = m.divergences(f, changes)
+        states = {i: m.g | {f: g[i]} for i in range(len(changes)) if valid[i] and g[i]}
+        far = {}
+        if states:
+            table = m.distances(states).filter(F.col("feature") == f).groupBy("cand").agg(F.max("d").alias("d"))
+            far = {r.cand: r.d for r in table.collect()}
+        for i, c in enumerate(changes):
+            d = far.get(i)
+            reason = "not valid" if d is None else "over epsilon and slack" if d > m.epsilon + slack else ""
+            utility = None if reason else validation_utility(parts, m.state | {f: c}, cats, nums, keep, y)
+            if utility is not None and utility < base + least_gain:
+                reason = "no gain"
+            tried.append([f, c, d, utility, None if utility is None else utility - base, reason, g[i]])
+    good = [t for t in tried if not t[5]]
+    best = max(good, key=lambda t: round(t[3], 12), default=None)
+    rows = [(f, json.dumps(c, sort_keys=True), d, u, gain, reason or ("accepted" if t is best else "lower gain")) for t in tried for f, c, d, u, gain, reason, _ in [t]]
+    return rows, None if best is None else (best[0], best[1], best[6])
+
+
+def enhance(parts: DataFrame, m: S.Mitigation, cats: list[str], nums: list[str], keep: list[str], y: str, powers: list[float], slack: float = 0.0, rounds: int = 2) -> list[tuple]:
+    """Alternates an enhancement with the mitigation of what it moved, until none gains or ``rounds`` are done.
+
+    A round whose state has a lower utility after mitigation than before is taken back.  The audit rows have
+    the round before them.
+    """
+    audit: list[tuple] = []
+    for i in range(rounds):
+        rows, best = enhance_step(parts, m, cats, nums, keep, y, powers, slack)
+        audit += [(i, *r) for r in rows]
+        if best is None:
+            break
+        before, state, g = validation_utility(parts, m.state, cats, nums, keep, y), m.state, m.g
+        m._take(*best)
+        m.run()
+        after = validation_utility(parts, m.state, cats, nums, keep, y)
+        if after < before:
+            m.state, m.g = state, g
+            audit.append((i, best[0], json.dumps(best[1], sort_keys=True), None, after, after - before, "taken back"))
+            break
+    return audit
+
+
+AUDIT = "round int, feature string, change string, d double, utility double, gain double, reason string"
+
+
+def benchmark(
+    df: DataFrame, key: str, attrs: list[str], cats: list[str], nums: list[str], y: str, method: str, powers: list[float] = (3.0, 1 / 3, 5.0, 1 / 5), **options
+) -> DataFrame:
     """(method, scope, metric, value) on the test split: split, transform or not, fit, threshold on validation, evaluate.
 
-    ``method`` is "unmitigated", "bm" (transforms first) or "bm_ae" (transforms, then the power of the
-    best score that keeps the divergence).
+    ``method`` is "unmitigated", "bm" (the state of the mitigation search on the training rows) or "bm_ae"
+    (then alternating enhancement on training and validation rows).  Categories, merged or not, enter the fit
+    one-hot.  ``options`` go to the search.
     """
-    parts = stratified_split(df, [y], key)
     keep = [key, y, *attrs, "split"]
-    used = list(nums)
+    parts = materialize(stratified_split(df, [y], key).select(*keep, *cats, *nums), "split")
+    state: dict = {}
     if method != "unmitigated":
-        trace = S.mitigate(parts.filter("split = 'train'"), attrs, cats, nums, [3.0, 5.0], steps=2)
-        parts = transformed(parts.select(*keep, *cats, *nums), trace, keep)
-        used = [c for c in nums if c in parts.columns]
-    if method == "bm_ae" and used:
-        best = max(
-            (R.auroc(L.fit_score(t.filter("split = 'val'"), t.filter("split = 'train'"), used, y, "lr"), [], y, "p_event").first().auroc or 0.0, -p)
-            for p in (1.0, 3.0)
-            for t in [apply_state(parts, {used[0]: {"power": p}})]
-        )
-        parts = apply_state(parts, {used[0]: {"power": -best[1]}})
-    if not used:
-        parts, used = parts.withColumn("_one", F.lit(1.0)), ["_one"]
-    scored = L.fit_score(parts.filter("split <> 'train'"), parts.filter("split = 'train'"), used, y, "lr")
+        search = S.Mitigation(parts.filter("split = 'train'"), attrs, cats, nums, y, list(powers), **{"mode": "next"} | options)
+        state = search.run()
+        if method == "bm_ae":
+            enhance(parts, search, cats, nums, keep, y, list(powers)[:2], rounds=1)
+            state = search.state
+    scored = materialize(scored_split(parts, state, cats, nums, keep, y), "scored")
     cut = R.threshold_search_ba(scored.filter("split = 'val'"), [], y, "p_event").first().threshold
     test = scored.filter("split = 'test'").withColumn("yhat", (F.col("p_event") >= cut).cast("int"))
     return evaluate_predictions(test, attrs, y, "yhat", "p_event").withColumn("method", F.lit(method))

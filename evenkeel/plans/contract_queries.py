@@ -272,9 +272,9 @@ def join_cluster_role(spark, sf):
     return df.join(S.cluster_roles(df, "stratum", "psu", 1), ["stratum", "psu"]).select("record_key", "cluster_role")
 
 
-@query()
+@query(f"WITH {COHORT} SELECT y, count(*) AS n FROM cohort WHERE ((record_key * 7919 + 7 * 104729) % 1000003) / 1000003 < 0.3 GROUP BY y")
 def subsample_fit(spark, sf):
-    return order_cohort(spark, sf).sample(0.3, 7).groupBy("y").agg(F.count("*").alias("n"))
+    return order_cohort(spark, sf).filter(S.hash_uniform(F.col("record_key"), 7) < 0.3).groupBy("y").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -44,8 +44,8 @@ def baseline_unmitigated(spark, sf):
 @query()
 def clf_knn(spark, sf):
     df, fit = _frames(spark, sf)
-    out = L.knn_score(df.filter("survey_year = 2000"), fit, "record_key", ["price", "acctbal"], "y", reach=0.2)
-    return out.agg(F.count("*").alias("n"), F.round(F.avg("p_event"), 4).alias("mean"))
+    out = L.knn_score(df, fit, "record_key", ["price", "acctbal"], "y")
+    return _summary(df.select("record_key", "survey_year", "y").join(out, "record_key"))
 
 
 @query()
@@ -53,17 +53,27 @@ def clf_adaboost(spark, sf):
     return _summary(L.adaboost_score(*_frames(spark, sf), "record_key", COLS, "y"))
 
 
-_MOM = " UNION ALL ".join(f"SELECT y, '{a}' AS a, '{b}' AS b, count(*) AS n, round(avg({a}), 6) AS mean_a, round(avg({b}), 6) AS mean_b, round(covar_pop({a}, {b}), 6) AS cov FROM cohort GROUP BY y" for a, b in (("p1", "p1"), ("p1", "p2"), ("p2", "p2")))
+def _discriminant(quadratic: bool) -> str:
+    """Posterior of class 1 for two features, from the moments of the years up to 1997."""
+    m = "m AS (SELECT y, count(*) AS n, avg(p1) AS m1, avg(p2) AS m2, covar_pop(p1, p1) AS s11, covar_pop(p1, p2) AS s12, covar_pop(p2, p2) AS s22 FROM cohort WHERE survey_year <= 1997 GROUP BY y)"
+    if quadratic:
+        v = ", ".join(f"CAST(0.99 AS DOUBLE) * s{x} * n / (n - 1)" + (" + CAST(0.01 AS DOUBLE)" if x != "12" else "") + f" AS v{x}" for x in ("11", "12", "22"))
+    else:
+        v = ", ".join(f"sum(n * s{x}) OVER () / sum(n) OVER () AS v{x}" for x in ("11", "12", "22"))
+    q = "(v22 * (p1 - m1) * (p1 - m1) - 2 * v12 * (p1 - m1) * (p2 - m2) + v11 * (p2 - m2) * (p2 - m2)) / det"
+    return f"""WITH {COHORT}, {m}, v AS (SELECT y, n, m1, m2, {v}, ln(n / sum(n) OVER ()) AS prior FROM m), w AS (SELECT *, v11 * v22 - v12 * v12 AS det FROM v),
+s AS (SELECT record_key, w.y, -({q} + ln(det)) / 2 + prior AS s FROM cohort, w)
+SELECT record_key, round(1 / (1 + exp(sum(CASE WHEN y = 0 THEN s ELSE -s END))), 6) AS p_event FROM s GROUP BY record_key"""
 
 
-@query(f"WITH {COHORT} {_MOM}")
+@query(_discriminant(False))
 def clf_lda(spark, sf):
-    return rounded(L.class_moments(order_cohort(spark, sf), ["p1", "p2"], "y"))
+    return rounded(L.discriminant_score(*_frames(spark, sf), ["p1", "p2"], "y").select("record_key", "p_event"))
 
 
-@query(f"WITH {COHORT} {_MOM}")
+@query(_discriminant(True))
 def clf_qda(spark, sf):
-    return clf_lda(spark, sf)
+    return rounded(L.discriminant_score(*_frames(spark, sf), ["p1", "p2"], "y", quadratic=True, reg=0.01).select("record_key", "p_event"))
 
 
 @query(f"WITH {COHORT} SELECT record_key, round(1 / (1 + exp(-(CAST(-0.2 AS DOUBLE) + CAST(1.5 AS DOUBLE) * (p1 - CAST(0.5 AS DOUBLE)) / CAST(0.3 AS DOUBLE) + CAST(-0.7 AS DOUBLE) * (p2 - CAST(0.5 AS DOUBLE)) / CAST(0.3 AS DOUBLE)))), 6) AS p_event FROM cohort")

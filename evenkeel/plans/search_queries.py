@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..cohort import order_cohort
@@ -10,17 +12,30 @@ from ..operators import geometry as G
 from ..operators import learners as L
 from ..operators import ranking as R
 from ..operators import search as S
+from ..operators import study as Y
+from ..operators.splits import stratified_split
 from ..operators.transforms import power
+from ..sources.tabular import materialize
 from .registry import COHORT, query
 
 POWERS = [3, 1 / 3, 5, 1 / 5]
 
 
+ATTRS, CATS, NUMS = ["seg", "bal_hi"], ["prio"], ["price", "acctbal"]
+
+
+def _search(df, **options) -> S.Mitigation:
+    return S.Mitigation(df, ATTRS, CATS, NUMS, "y", POWERS, **{"mode": "next"} | options)
+
+
 @query()
 def search_categorical(spark, sf):
-    cell = G.cells(order_cohort(spark, sf), ["seg"], ["prio"])
-    _, steps = S.search_categorical(cell, "prio", 0.002)
-    return rounded(spark.createDataFrame(steps, "step int, kind string, detail string, value double"))
+    """Every merge of the chain down to one category, with its distance, loss of information and verdict."""
+    m = _search(order_cohort(spark, sf), phi=0.5)
+    chain = S.merge_chain(m.cell, "prio", "seg")
+    found = m.measured("prio", "seg", [{"merge": x} if left > 1 else "dropped" for x, left in chain])
+    rows = [(i, json.dumps(c, sort_keys=True), left, d, loss, ok) for i, ((_, left), (c, d, loss, _, ok, _)) in enumerate(zip(chain, found, strict=True))]
+    return rounded(spark.createDataFrame(rows, "step int, change string, left int, d double, loss double, accepted boolean"))
 
 
 _POW = " UNION ALL ".join(f"SELECT {i} AS i, CAST({p!r} AS DOUBLE) AS power, seg, sign(acctbal) * pow(abs(acctbal), CAST({p!r} AS DOUBLE)) AS x FROM cohort" for i, p in enumerate(POWERS))
@@ -37,8 +52,9 @@ def search_numerical(spark, sf):
 
 @query()
 def mitigate_step(spark, sf):
-    trace = S.mitigate(order_cohort(spark, sf), ["seg", "bal_hi"], ["prio"], ["price", "acctbal"], [3.0, 5.0], steps=2)
-    return rounded(spark.createDataFrame(trace, "step int, feature string, kind string, detail string, before double, after double"))
+    m = _search(order_cohort(spark, sf))
+    m.run()
+    return rounded(m.trace_table().withColumn("ended", F.lit(m.status)))
 
 
 @query()
@@ -65,17 +81,21 @@ def candidate_utility(spark, sf):
     return rounded(R.auroc(_candidates(spark, sf), ["candidate"], "y", "p_event").withColumn("status", F.when(F.col("auroc").isNull(), "SINGLE_CLASS").otherwise("VALID")))
 
 
+def _enhanced(spark, sf):
+    keep = ["record_key", "y", *ATTRS, "split"]
+    parts = materialize(stratified_split(order_cohort(spark, sf), ["y"], "record_key").select(*keep, *CATS, *NUMS), "split")
+    m = _search(parts.filter("split = 'train'"))
+    m.run()
+    rows, best = Y.enhance_step(parts, m, CATS, NUMS, keep, "y", POWERS[:2], slack=0.01)
+    return spark.createDataFrame([(0, *r) for r in rows], Y.AUDIT), best
+
+
 @query()
 def enhance_step(spark, sf):
-    """The candidate of the largest AUROC whose divergence keeps within the slack."""
-    auc = R.auroc(_candidates(spark, sf), ["candidate"], "y", "p_event")
-    g = G.div_num(S.power_moments(order_cohort(spark, sf), ["seg"], "acctbal", [1.0, 3.0])).groupBy(F.col("feature").alias("candidate")).agg(F.max("g").alias("g"))
-    both = auc.join(g, "candidate").withColumn("feasible", F.col("g") <= 0.05)
-    return rounded(both)
+    """The accepted change of the best gain in utility, if any."""
+    return rounded(_enhanced(spark, sf)[0].filter("reason = 'accepted'"))
 
 
 @query()
 def candidate_audit(spark, sf):
-    tried = enhance_step(spark, sf)
-    reason = F.when(~F.col("feasible"), "divergence over the slack").when(F.col("auroc").isNull(), "single class").otherwise("accepted for ranking")
-    return tried.select("candidate", "auroc", "g", reason.alias("reason"))
+    return rounded(_enhanced(spark, sf)[0])
