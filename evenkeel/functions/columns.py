@@ -43,17 +43,32 @@ def all_of(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, cols)
 
 
+def range_of(x: Column, low: float = 0.0, high: float = 1.0, buckets: int = 1024) -> Column:
+    """The equal range of [low, high] that holds x; what lies outside is in the first or last."""
+    return F.floor(F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0)) * buckets).cast("int")
+
+
+def above(x: Column, cuts: list[float]) -> Column:
+    """How many of the cuts lie below x."""
+    return reduce(lambda n, c: n + F.when(x > c, 1).otherwise(0), cuts, F.lit(0))
+
+
+def quantile_cuts(df: DataFrame, col: str, ranges: int = 128) -> list[float]:
+    """Ends of ranges that hold about as many rows each, for values of any distribution."""
+    return sorted(set(df.approxQuantile(col, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
+
+
 def running(
-    df: DataFrame, keys: list[str], by: str, sums: dict[str, Column], low: float = 0.0, high: float = 1.0, buckets: int = 1024
+    df: DataFrame, keys: list[str], by: str, sums: dict[str, Column], low: float = 0.0, high: float = 1.0, buckets: int = 1024,
+    cuts: list[float] | None = None,
 ) -> DataFrame:
     """One row per (keys, by) with the sums and their running totals ``cum_*`` in ascending ``by``.
 
     Two levels: running sums inside ranges of ``by``, plus the totals of the ranges before, so that no
-    task sorts all values of a key.
+    task sorts all values of a key.  Ranges are ``buckets`` equal ones of [low, high], or end at ``cuts``.
     """
-    at = F.least(F.greatest((F.col(by) - low) / (high - low), F.lit(0.0)), F.lit(1.0))
     points = df.groupBy(*keys, by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    points = points.withColumn("_range", F.floor(at * buckets).cast("int"))
+    points = points.withColumn("_range", range_of(F.col(by), low, high, buckets) if cuts is None else above(F.col(by), cuts))
     inner = Window.partitionBy(*keys, "_range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = points.groupBy(*keys, "_range").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])

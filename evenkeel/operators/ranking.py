@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, running
+from ..functions.columns import all_of, range_of, ratio, running
 
 
 def _points(df: DataFrame, keys: list[str], y: str, score: str, w: Column | None) -> DataFrame:
@@ -83,9 +83,14 @@ def threshold_search_ba(df: DataFrame, keys: list[str], y: str = "y", score: str
     """(keys, threshold, ba): best balanced accuracy over midpoints, 0 and 1; ties go to the one nearest 0.5, then the larger."""
     points = _points(df, keys, y, score, None)
     both = _join(points, _totals(points, keys), keys)
-    # The next score lies in this range or a later one: a range has its first score as a bound.
-    nxt = Window.partitionBy(*keys).orderBy(score)
-    both = both.withColumn("threshold", (F.col(score) + F.lead(score).over(nxt)) / 2)
+    # The next score lies in this range, or is the first of the next range that has one.
+    both = both.withColumn("_range", range_of(F.col(score)))
+    first = both.groupBy(*keys, "_range").agg(F.min(score).alias("_first"))
+    first = first.withColumn("_later", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_range"))).drop("_first")  # a row per range
+    both = both.alias("p").join(first.alias("q"), all_of([F.col(f"p.{k}").eqNullSafe(F.col(f"q.{k}")) for k in [*keys, "_range"]]))
+    both = both.select("p.*", "q._later")
+    inside = F.lead(score).over(Window.partitionBy(*keys, "_range").orderBy(score))
+    both = both.withColumn("threshold", (F.col(score) + F.coalesce(inside, "_later")) / 2)
     tp, tn = F.col("all_pos") - F.col("cum_pos"), F.col("cum_neg")  # at the midpoint above this score
     mid = both.filter(F.col("threshold").isNotNull()).select(*keys, "threshold", "all_pos", "all_neg", tp.alias("tp"), tn.alias("tn"))
     low = both.filter(F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg"))

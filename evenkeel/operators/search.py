@@ -7,6 +7,7 @@ statistics of all candidates, and once more to apply the accepted state.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +86,33 @@ def search_numerical(df: DataFrame, attrs: list[str], feature: str, powers: list
     return out.crossJoin(F.broadcast(first)).select("i", "power", "g", F.coalesce(F.col("i") == F.col("first"), F.lit(False)).alias("accepted"))  # one row
 
 
+def origin_distances(g: dict[str, list[tuple]]) -> dict[tuple[str, str], float]:
+    """Distance to the origin by (attr, feature), of divergences {feature: [(attr, group, group, g)]}.
+
+    The closed form of ``geometry.distances`` on one state's table, which has a row per group pair and feature.
+    """
+    square: dict[str, dict[tuple, dict[str, float]]] = {}
+    for f, rows in g.items():
+        for attr, a, b, v in rows:
+            square.setdefault(attr, {}).setdefault((a, b), {})[f] = v * v
+
+    def root(v: float, n: int) -> float:
+        return math.sqrt(max(v, 0.0) / n) if n > 0 else 0.0
+
+    out = {}
+    for attr, pairs in square.items():
+        gaps: dict[str, dict[str, list[float]]] = {}
+        for s in pairs.values():
+            total, p = sum(s.values()), len(s)
+            for f, own in s.items():
+                for left, x, k in [("", 0.0, 0), *((o, v, 1) for o, v in s.items() if o != f)]:
+                    gap = abs(root(total - x, p - k) - root(total - own - x, p - 1 - k))
+                    gaps.setdefault(f, {}).setdefault(left, []).append(gap)
+        for f, by in gaps.items():
+            out[attr, f] = sum(sum(v) / len(v) for v in by.values()) / len(by)
+    return out
+
+
 class Mitigation:
     """Greedy search of a state {feature: "dropped" | {"power": p} | {"merge": {old: new}}} on statistics of ``df``.
 
@@ -144,20 +172,20 @@ class Mitigation:
     def _on_attrs(self, cell: DataFrame) -> DataFrame:
         return cell.filter(F.col("attr").isin(self.attrs))
 
-    def distances(self, states: dict[int, dict[str, list[tuple]]]) -> DataFrame:
-        """(cand, attr, feature, d) of the divergences of each candidate state, in one batch."""
+    def distances(self, states: dict[int, dict[str, list[tuple]]]) -> list[tuple[int, str, str, float]]:
+        """(candidate, attr, feature, distance) of the divergences of each candidate state, in one batch."""
+        if self.measure == "origin":
+            return [(i, attr, f, d) for i, g in states.items() for (attr, f), d in origin_distances(g).items()]
         rows = [(i, a, x, y, f, v) for i, g in states.items() for f, pairs in g.items() for a, x, y, v in pairs]
         g = self.spark.createDataFrame(rows, "cand int, attr string, grp_a string, grp_b string, feature string, g double")
-        d = G.distances(g, ["cand", "attr"])
-        if self.measure == "dphi":
-            return G.embed(d, ["cand", "attr"]).select("cand", "attr", "feature", F.col("dphi").alias("d"))
-        return d.filter(F.col("node_b") == G.ORIGIN).select("cand", "attr", F.col("node_a").alias("feature"), "d")
+        points = G.embed(G.distances(g, ["cand", "attr"]), ["cand", "attr"])
+        return [tuple(r) for r in points.select("cand", "attr", "feature", "dphi").collect()]
 
     def ranking(self) -> list[tuple[float, str, str]]:
         """(distance, attr, feature), the largest first."""
         if not self.g:
             return []
-        found = [(r.d, r.attr, r.feature) for r in self.distances({0: self.g}).collect()]
+        found = [(d, attr, f) for _, attr, f, d in self.distances({0: self.g})]
         return sorted(found, key=lambda r: (-round(r[0], 12), r[1], r[2]))
 
     def divergences(self, feature: str, changes: list) -> tuple[list[list[tuple]], list[float], list[bool]]:
@@ -196,7 +224,7 @@ class Mitigation:
         states = {i: rest | {feature: g[i]} for i in range(len(changes)) if g[i] and valid[i]}
         d = {}
         if states:
-            d = {r.cand: r.d for r in self.distances(states).filter((F.col("feature") == feature) & (F.col("attr") == attr)).collect()}
+            d = {i: v for i, a, f, v in self.distances(states) if (a, f) == (attr, feature)}
         out = []
         for i, c in enumerate(changes):
             dist = 0.0 if c == "dropped" else d.get(i)

@@ -200,10 +200,10 @@ def enhance_step(
         changes = [c for x, c in every if x == f]
         g, _, valid = m.divergences(f, changes)
         states = {i: m.g | {f: g[i]} for i in range(len(changes)) if valid[i] and g[i]}
-        far = {}
-        if states:
-            table = m.distances(states).filter(F.col("feature") == f).groupBy("cand").agg(F.max("d").alias("d"))
-            far = {r.cand: r.d for r in table.collect()}
+        far: dict[int, float] = {}
+        for i, _, x, d in m.distances(states) if states else []:
+            if x == f:
+                far[i] = max(d, far.get(i, 0.0))
         for i, c in enumerate(changes):
             d = far.get(i)
             reason = "not valid" if d is None else "over epsilon and slack" if d > m.epsilon + slack else ""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import quantile_cuts, running
+
 #: The largest finite 32-bit float.
 FLOAT32_MAX = 3.4028234663852886e38
 
@@ -138,10 +140,10 @@ def rebin_target_adjacent(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def average_rank(df: DataFrame, col: str, key: str) -> DataFrame:
     """(key, rank) with ties averaged, from a count per distinct value."""
-    points = df.groupBy(col).agg(F.count("*").alias("n"))
-    before = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    points = points.select(col, (F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
-    return df.select(key, col).join(points, col).select(key, "rank")
+    known = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
+    points = running(known, [], "v", {"n": F.lit(1)}, cuts=quantile_cuts(known, "v"))
+    points = points.select(F.col("v"), (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
+    return df.select(key, F.col(col).cast("double").alias("v")).join(points, "v").select(key, "rank")
 
 
 def transform_audit(df: DataFrame, key: str, before: str, after: str, grp: str) -> DataFrame:

@@ -12,9 +12,11 @@ FORMATS = {"csv": "csv", "parquet": "parquet", "json": "json"}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names; a local one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names; where it is unset a local one, for a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

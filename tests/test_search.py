@@ -169,3 +169,12 @@ def test_enhancement_rejects_what_does_not_gain(frame):
     rows, best = Y.enhance_step(p, tight, ["u"], ["x"], ["k", "y", "a", "split"], "y", [3.0])
     assert best is None and {r[5] for r in rows} <= {"over epsilon and slack", "not valid"}
     assert not any(r[3] for r in rows)  # what is not feasible is not fitted
+
+
+def test_origin_distances_are_those_of_the_geometry(frame):
+    m = S.Mitigation(frame, ["a", "t"], ["c", "u"], ["x"], "y", [3.0])
+    rows = [(0, at, x, y, f, v) for f, pairs in m.g.items() for at, x, y, v in pairs]
+    g = frame.sparkSession.createDataFrame(rows, "cand int, attr string, grp_a string, grp_b string, feature string, g double")
+    want = {(r.attr, r.node_a): r.d for r in S.G.distances(g, ["cand", "attr"]).filter("node_b = 'origin'").collect()}
+    got = S.origin_distances(m.g)
+    assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-12 for k in want)
