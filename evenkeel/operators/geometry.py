@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,18 +127,22 @@ def w_max(g: DataFrame, keys: list[str]) -> DataFrame:
     return g.groupBy(*keys).agg(F.coalesce(F.sqrt(F.avg(F.col("g") * F.col("g"))), F.lit(0.0)).alias("w"))
 
 
-def exclusion_contexts(features: DataFrame, most: int) -> DataFrame:
-    """(context, k): subsets of (feature) that leave out k <= ``most`` features, named by what they leave out."""
-    if most > 2:
-        raise ValueError("more than two left out needs the full enumeration")
-    a, b = features.select(F.col("feature").alias("x")), features.select(F.col("feature").alias("y"))
-    none = features.agg(F.lit("").alias("context"), F.lit(0).alias("k"))
-    out = none
-    if most >= 1:
-        out = out.union(a.select(F.col("x").alias("context"), F.lit(1).alias("k")))
-    if most == 2:
-        out = out.union(a.join(b, F.col("x") < F.col("y")).select(F.concat_ws("+", "x", "y").alias("context"), F.lit(2).alias("k")))
-    return out
+def exclusion_contexts(features: DataFrame, most: int, limit: int = 1_000_000) -> DataFrame:
+    """(context, k): subsets of (feature) that leave out k <= ``most`` features, named by what they leave out.
+
+    More than ``limit`` subsets are an error: distances go by the closed form, which needs none of them.
+    """
+    n = features.count()
+    if sum(math.comb(n, k) for k in range(most + 1)) > limit:
+        raise ValueError(f"more than {limit} contexts")
+    names = features.select(F.col("feature").alias("x"))
+    out = part = features.agg(F.lit("").alias("context"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("last"))
+    for k in range(1, min(most, n) + 1):  # what is left out, in ascending order
+        part = part.join(names, F.col("last").isNull() | (F.col("x") > F.col("last"))).select(
+            F.when(F.col("last").isNull(), F.col("x")).otherwise(F.concat_ws("+", "context", "x")).alias("context"), F.lit(k).alias("k"), F.col("x").alias("last")
+        )
+        out = out.unionByName(part)
+    return out.select("context", "k")
 
 
 def distances(g: DataFrame, keys: list[str], aggregate: str = "mean_pair") -> DataFrame:

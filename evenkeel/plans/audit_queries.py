@@ -188,14 +188,14 @@ def omitted_codes(spark, sf):
 
 
 @query(
-    f"""WITH {COHORT}, m AS (SELECT 'n' || psu AS variable, count(DISTINCT survey_year) AS years, max(CASE WHEN stratum = 2 THEN 'region rule' END) AS r FROM cohort WHERE acctbal < -900 GROUP BY psu)
+    f"""WITH {COHORT}, m AS (SELECT 'n' || psu || '_' || CAST(round(p2 * 100) AS INT) AS variable, count(DISTINCT survey_year) AS years, max(CASE WHEN stratum = 2 THEN 'region rule' END) AS r FROM cohort GROUP BY 1)
 SELECT variable, years, CASE WHEN r IS NOT NULL THEN 'EXCLUDED' WHEN years < 7 THEN 'UNRESOLVED' ELSE 'ELIGIBLE_FOR_REVIEW' END AS status,
  CASE WHEN r IS NOT NULL THEN r WHEN years < 7 THEN 'absent in a year' ELSE 'none' END AS reason FROM m"""
 )
 def variable_eligibility(spark, sf):
-    df = order_cohort(spark, sf).filter("acctbal < -900")
+    df = order_cohort(spark, sf)
     rule = F.when(F.col("stratum") == 2, "region rule")
-    meta = df.select(F.concat(F.lit("n"), F.col("psu")).alias("variable"), F.col("survey_year").alias("year"), rule.alias("excluded_by"))
+    meta = df.select(F.concat(F.lit("n"), F.col("psu"), F.lit("_"), F.round(F.col("p2") * 100).cast("int")).alias("variable"), F.col("survey_year").alias("year"), rule.alias("excluded_by"))
     return A.variable_eligibility(meta, 7)
 
 

@@ -85,16 +85,16 @@ def frequency_contract(spark, sf):
 
 
 @query(
-    f"""WITH {CODED}, one AS (SELECT * FROM coded WHERE survey_year = 1997)
-SELECT 'year_constant' AS check_name, CASE WHEN count(DISTINCT survey_year) = 1 THEN 'PASS' ELSE 'FAIL' END AS status FROM one
-UNION ALL SELECT 'row_count', CASE WHEN count(*) = 1000 THEN 'PASS' ELSE 'FAIL' END FROM one
-UNION ALL SELECT 'code_domain', CASE WHEN count(*) FILTER (code IS NULL OR code NOT BETWEEN 1 AND 7) > 0 THEN 'FAIL' ELSE 'PASS' END FROM one"""
+    f"""WITH {CODED}, y AS (SELECT survey_year, count(*) AS n, count(*) FILTER (code IS NULL OR code NOT BETWEEN 1 AND 7) AS bad, count(DISTINCT code) AS codes FROM coded GROUP BY survey_year)
+SELECT survey_year, 'row_count' AS check_name, CASE WHEN n >= 1000 THEN 'PASS' ELSE 'FAIL' END AS status FROM y
+UNION ALL SELECT survey_year, 'all_codes', CASE WHEN codes = 7 THEN 'PASS' ELSE 'FAIL' END FROM y
+UNION ALL SELECT survey_year, 'code_domain', CASE WHEN bad > 0 THEN 'FAIL' ELSE 'PASS' END FROM y"""
 )
 def source_validate(spark, sf):
-    one = coded_lines(spark, sf).filter("survey_year = 1997")
-    agg = one.agg(F.count_distinct("survey_year").alias("years"), F.count("*").alias("n"), F.count_if(F.col("code").isNull() | ~F.col("code").between(1, 7)).alias("bad"))
-    checks = {"year_constant": F.col("years") == 1, "row_count": F.col("n") == 1000, "code_domain": F.col("bad") == 0}
-    return agg.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check_name"), F.when(v, "PASS").otherwise("FAIL").alias("status")) for k, v in checks.items()])))
+    aggs = [F.count("*").alias("n"), F.count_if(F.col("code").isNull() | ~F.col("code").between(1, 7)).alias("bad"), F.count_distinct("code").alias("codes")]
+    checks = {"row_count": F.col("n") >= 1000, "all_codes": F.col("codes") == 7, "code_domain": F.col("bad") == 0}
+    each = F.array(*[F.struct(F.lit(k).alias("check_name"), F.when(v, "PASS").otherwise("FAIL").alias("status")) for k, v in checks.items()])
+    return coded_lines(spark, sf).groupBy("survey_year").agg(*aggs).select("survey_year", F.inline(each))
 
 
 _ROLED = """roled AS (SELECT survey_year, CASE WHEN survey_year <= 1997 THEN 'fit' WHEN survey_year = 1998 THEN 'calibration' WHEN survey_year = 1999 THEN 'selection' ELSE 'test' END AS role,

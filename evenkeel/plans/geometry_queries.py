@@ -89,10 +89,11 @@ def w_max(spark, sf):
 
 @query(
     f"""WITH {LONG}, {_C}, {_M}, {_G}, f AS (SELECT DISTINCT feature FROM g) SELECT '' AS context, 0 AS k UNION ALL SELECT feature, 1 FROM f
- UNION ALL SELECT a.feature || '+' || b.feature, 2 FROM f a JOIN f b ON a.feature < b.feature"""
+ UNION ALL SELECT a.feature || '+' || b.feature, 2 FROM f a JOIN f b ON a.feature < b.feature
+ UNION ALL SELECT a.feature || '+' || b.feature || '+' || c.feature, 3 FROM f a JOIN f b ON a.feature < b.feature JOIN f c ON b.feature < c.feature"""
 )
 def exclusion_contexts(spark, sf):
-    return G.exclusion_contexts(divergences(order_cohort(spark, sf)).select("feature").distinct(), 2)
+    return G.exclusion_contexts(divergences(order_cohort(spark, sf)).select("feature").distinct(), 3)
 
 
 #: Distances by enumerating every context, not by the closed form.

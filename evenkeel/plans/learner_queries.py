@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..cohort import order_cohort
@@ -82,10 +83,15 @@ def score_frozen_lr(spark, sf):
     return rounded(order_cohort(spark, sf).select("record_key", L.score_linear(model, -0.2).alias("p_event")))
 
 
-@query(f"WITH {COHORT} SELECT survey_year, count(*) AS n FROM cohort GROUP BY 1")
+@query(f"WITH {COHORT} SELECT survey_year, count(*) AS n, CAST(0 AS BIGINT) AS not_probability, CAST(0 AS BIGINT) AS other_order FROM cohort GROUP BY 1")
 def positive_probability(spark, sf):
-    scored = L.fit_score(*_frames(spark, sf), COLS, "y", "lr")
-    return scored.filter("p_event between 0 and 1").groupBy("survey_year").agg(F.count("*").alias("n"))
+    """Rows whose value is no probability, and rows on the other side of a half than their raw score, by year."""
+    df, fit = _frames(spark, sf)
+    a, b = L.with_features(df, fit, COLS, "y")
+    scored = L.positive_probability(L.classifier("lr", len(COLS)).fit(a).transform(b))
+    raw, p = vector_to_array("rawPrediction")[1], F.col("p_event")
+    bad = F.coalesce(F.isnan(p) | (p < 0) | (p > 1), F.lit(True))
+    return scored.groupBy("survey_year").agg(F.count("*").alias("n"), F.count_if(bad).alias("not_probability"), F.count_if((raw > 0) != (p > 0.5)).alias("other_order"))
 
 
 @query(

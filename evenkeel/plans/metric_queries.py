@@ -212,9 +212,16 @@ def evaluation_comparison(spark, sf):
     return rounded(M.evaluation_comparison(a, b, ["attr", "grp"], list(_CMP)))
 
 
-@query(_COMPARE)
+@query(
+    f"""WITH {COHORT}, a AS (SELECT record_key, y, seg, yhat FROM cohort), b AS (SELECT record_key, CASE WHEN p2 >= 0.5 THEN 1 ELSE 0 END AS yhat FROM cohort WHERE survey_year > 1995)
+SELECT seg, y, a.yhat AS before, b.yhat AS after, count(*) AS n FROM a LEFT JOIN b ON a.record_key = b.record_key GROUP BY 1, 2, 3, 4"""
+)
 def join_before_after(spark, sf):
-    return evaluation_comparison(spark, sf)
+    """How decisions moved, by segment and outcome; rows without a decision after have null there."""
+    df = order_cohort(spark, sf)
+    after = df.filter("survey_year > 1995").select("record_key", (F.col("p2") >= 0.5).cast("int").alias("after"))
+    both = df.select("record_key", "y", "seg", F.col("yhat").alias("before")).join(after, "record_key", "left")
+    return both.groupBy("seg", "y", "before", "after").agg(F.count("*").alias("n"))
 
 
 _AUC = """sum(CAST(pos AS DOUBLE) * (below + neg / 2)) / (sum(pos) * sum(neg))"""
