@@ -98,7 +98,7 @@ def contained_items(
     found = materialize(found, "candidates")
     ids = found.select("d").distinct()
     held = (
-        base.join(ids, "d", "left_semi")
+        base.join(_checked(ids, found.count()), "d", "left_semi")
         .select("d", words_of(F.col("t")).alias("w"))
         .select("d", F.explode(F.array_distinct(shingle_strings(F.col("w"), *lengths))).alias("gram"))
         .join(_checked(grams.select("gram", "item"), grams.count()), "gram")

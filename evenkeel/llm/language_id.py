@@ -20,6 +20,8 @@ from .ragged import slices
 
 BITS = 16
 UNDETERMINED = "und"
+#: Languages times bytes of text that are in arrays at once, some 100 bytes each.
+SLICE = 2_000_000
 
 
 @cache
@@ -146,7 +148,7 @@ def detect_languages(
 ) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score, mixture (map of the chosen set's proportions).
 
-    The columns ``keep`` of the row follow, as they are.
+    The columns ``keep`` of the row follow, as they are; the text among them crosses to Python once.
 
     ``lang_pred`` is the language of the largest proportion and ``score`` that proportion.  Text that is
     null or has no letter is ``und`` with score 0, and so is all text where nothing can be learned (an
@@ -157,9 +159,13 @@ def detect_languages(
     langs, logp = fit(docs, id_col, text_col, lang_col, sample_docs)
     model = docs.sparkSession.sparkContext.broadcast((langs, logp))  # 2**BITS floats a language
 
+    others = [c for c in keep if c != text_col]
+    sent = {text_col: 1, **{c: 3 + i for i, c in enumerate(others)}}
+    more = [F.col(c).alias(f"_sent{i}") for i, c in enumerate(others)]
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = model.value
-        for b in slices(batches, 1, 8_000_000 // max(4, len(names))):
+        for b in slices(batches, 1, SLICE // max(4, len(names))):
             rows = b.num_rows
             pred, score = np.full(rows, UNDETERMINED, object), np.zeros(rows)
             mix: list[list[tuple[str, float]]] = [[] for _ in range(rows)]
@@ -172,15 +178,14 @@ def detect_languages(
                     for i, row in zip(at.tolist(), theta, strict=True):
                         mix[i] = [(names[j], float(row[j])) for j in np.flatnonzero(row)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(pred, pa.string()), pa.array(score), pa.array(mix, pa.map_(pa.string(), pa.float64())), *b.columns[3:]],
-                ["d", "held_out", "lang_pred", "score", "mixture", *b.schema.names[3:]],
+                [b.column(0), b.column(2), pa.array(pred, pa.string()), pa.array(score), pa.array(mix, pa.map_(pa.string(), pa.float64())), *(b.column(sent[c]) for c in keep)],
+                ["d", "held_out", "lang_pred", "score", "mixture", *(f"_keep{i}" for i in range(len(keep)))],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
-    kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
     kinds = "".join(f", _keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), held.alias("held_out"), *kept).mapInArrow(
+    out = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), held.alias("held_out"), *more).mapInArrow(
         predict, f"d {kind}, held_out boolean, lang_pred string, score double, mixture map<string,double>{kinds}"
     )
     return out.withColumnsRenamed({"d": id_col, **{f"_keep{i}": c for i, c in enumerate(keep)}})

@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from evenkeel.llm.near_copies import components, fingerprint, one_of_each, possible_edges, prefix, shingle_set, sure_edges, with_sets
+from evenkeel.llm.near_copies import MOST, components, fingerprint, one_of_each, possible_edges, prefix, shingle_set, sure_edges, with_sets
 from evenkeel.llm.queries import read
 
 
@@ -75,7 +75,7 @@ def test_no_near_pair_lacks_a_key():
             both = len(np.intersect1d(x, y))
             if 5 * both >= 4 * (len(x) + len(y) - both):
                 assert np.intersect1d(prefix(x), prefix(y)).size
-                assert np.bitwise_count(fingerprint(x) ^ fingerprint(y)).sum() <= 80
+                assert np.bitwise_count(fingerprint(x) ^ fingerprint(y)).sum() <= MOST
     assert len(shingle_set("a b")) == 1 and len(shingle_set("")) == len(shingle_set(None)) == 0
     assert np.array_equal(shingle_set("A b C d E f"), shingle_set("a B c  d e\nF"))
 
