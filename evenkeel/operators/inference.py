@@ -221,9 +221,12 @@ def _joined_metrics(totals: DataFrame, factors: DataFrame) -> DataFrame:
     per = per.withColumn("kind", F.when(F.col("rate").contains(":"), kind))
     gap = {k: F.max(F.when(F.col("kind") == k, F.col("v"))) - F.min(F.when(F.col("kind") == k, F.col("v"))) for k in ("SR", "TPR", "FPR")}
     one = {r: F.max(F.when(F.col("rate") == r, F.col("v"))) for r in ("TPR", "FPR")}
-    whole = F.count("v") == F.count("*")
+    # a gap needs all rates of its kind; one whose PSUs are not drawn has no row
+    rates = totals.select("rate").distinct().filter(F.col("rate").contains(":")).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    n = {r.kind: r.n for r in rates.collect()}  # a row a kind
+    whole = {k: F.count(F.when(F.col("kind") == k, F.col("v"))) == n.get(k, 0) for k in gap}
     out = per.groupBy("replicate", "model").agg(
-        ((one["TPR"] + 1 - one["FPR"]) / 2).alias("ba"), F.when(whole, gap["SR"]).alias("dp"), F.when(whole, F.greatest(gap["TPR"], gap["FPR"])).alias("eo")
+        ((one["TPR"] + 1 - one["FPR"]) / 2).alias("ba"), F.when(whole["SR"], gap["SR"]).alias("dp"), F.when(whole["TPR"] & whole["FPR"], F.greatest(gap["TPR"], gap["FPR"])).alias("eo")
     )
     return out.select(F.col("replicate").cast("int").alias("replicate"), "model", "ba", "dp", "eo")
 

@@ -64,6 +64,18 @@ def test_two_bootstraps_agree(spark):
     assert M.weighted_confusion(rep, ["all"], q="q").first().ba == pytest.approx(a[3, "m"][0])
 
 
+def test_two_bootstraps_agree_on_empty_rates(spark):
+    """A group in one PSU, without a positive: no TPR, so no eo; dp wherever that PSU is drawn."""
+    rows = [(i % 2, i // 2 % 3, i % 5 % 2, (i % 7) / 7, "ab"[i % 3 % 2], 1.0) for i in range(120)] + [(0, 0, 0, 0.4, "c", 1.0)]
+    df = spark.createDataFrame(rows, "stratum int, psu int, y int, q double, seg string, w double")
+    t, f = I.psu_totals(df, ["a", "b", "c"], {"m": F.col("q")}, F.lit(True)), I.bootstrap_factors(df, 15)
+    a, b = ({r.replicate: (r.ba, r.dp, r.eo) for r in I.bootstrap_metrics(t, f, cells=c).collect()} for c in (I.MATRIX_CELLS, 0))
+    assert len(a) == 15 and a.keys() == b.keys()
+    for k, row in a.items():
+        assert row[2] is None and all((x is None) == (y is None) and (x is None or x == pytest.approx(y)) for x, y in zip(row, b[k], strict=True))
+    assert len({row[1] is None for row in a.values()}) == 2
+
+
 def golden(spark):
     return spark.createDataFrame([("o", "p", "n", f, float(g)) for f, g in zip("abcd", (1, 2, 4, 8), strict=True)], "attr string, grp_a string, grp_b string, feature string, g double")
 
