@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .language_id import detect_languages
+from .lexical import search
 from .line_dedup import line_dedup
+from .packing import pack_documents
+from .prefix_trie import prefix_trie
 from .quality import apply_rules, score_documents
 from .secrets import KINDS, scan_secrets
 from .sentencepiece_codec import decode_documents, encode_documents
@@ -26,6 +29,8 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -116,11 +121,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_decontaminate, op3_language_id, op4_sharding, op5_quality,
         op6_url_filter, op7_sentencepiece, op8_secrets, op9_token_files, op10_simhash,
+        op11_prefix_trie, op12_packing, op13_lexical_search,
     )
 }
 
@@ -130,6 +149,13 @@ _RULES = " ".join(
     for h, p, v in sorted(RULES, key=lambda r: (-len(r[0]) - len(r[1]), r))
 )
 
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: The register of CRC-32 after the digits of c.
+_CRC32 = (
+    "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda r, x: "
+    "list_reduce([xor(r, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1))))"
+)
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": f"""
 WITH l AS (
@@ -170,4 +196,40 @@ r AS (SELECT c.*, b.canon IS NOT NULL AS listed, CASE {_RULES} END AS hit FROM c
 SELECT page_id, host, path, regexp_replace(hit, ':.*', '') AS rule,
        coalesce(regexp_extract(hit, ':(.*)', 1), CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, canon, listed
 FROM r""",
+    "op11_prefix_trie": f"""
+WITH own AS (
+  SELECT conv_id AS c, list(struct_pack(k := k, w := w) ORDER BY turn NULLS FIRST, k) AS own
+  FROM (SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w
+        FROM conversations WHERE conv_id IS NOT NULL)
+  GROUP BY conv_id),
+h AS (SELECT *, xor({_CRC32}, 4294967295) % 4 AS h FROM own),
+r AS (SELECT x.c, list_concat(coalesce(y.own, [])[1:x.h], x.own[x.h + 1:]) AS turns FROM h AS x LEFT JOIN own AS y ON y.c = x.c - x.c % 20),
+p AS (SELECT c, turns, d, CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS w, len(turns) AS n,
+             md5(array_to_string(list_transform(turns[1:d], lambda t: t.k), ',')) AS node,
+             CASE WHEN d > 0 THEN md5(array_to_string(list_transform(turns[1:d - 1], lambda t: t.k), ',')) END AS up
+      FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+v AS (SELECT d AS depth, node, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n), '')) AS ends_sha256
+      FROM p GROUP BY d, node),
+k AS (SELECT up AS node, depth - 1 AS depth, count(*) AS n_children FROM v WHERE up IS NOT NULL GROUP BY ALL),
+f AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (node, depth)),
+t AS (SELECT node, depth, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+      FROM (SELECT DISTINCT x.node, x.d AS depth, f.node AS below, f.depth AS below_depth, f.n_children = 0 AS leaf, (f.n_convs - 1) * f.w AS saved
+            FROM p AS x JOIN p AS y ON x.c = y.c AND y.d >= x.d JOIN f ON f.node = y.node AND f.depth = y.d)
+      GROUP BY node, depth)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, t.n_leaves, t.saved_tokens, f.ends_sha256
+FROM f JOIN t USING (node, depth) LEFT JOIN f AS u ON u.node = f.up AND u.depth = f.depth - 1""",
+    "op13_lexical_search": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS w FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term FROM benchmark),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+g AS (SELECT f.*, count(*) OVER (PARTITION BY term) AS df FROM f SEMI JOIN q USING (term)),
+i AS (SELECT doc_id, term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+             * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS impact
+      FROM g, s),
+r AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY ALL HAVING sum(impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
 }
