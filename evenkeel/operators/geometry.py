@@ -145,39 +145,58 @@ def exclusion_contexts(features: DataFrame, most: int, limit: int = 1_000_000) -
     return out.select("context", "k")
 
 
-def distances(g: DataFrame, keys: list[str], aggregate: str = "mean_pair") -> DataFrame:
-    """(keys, node_a, node_b, d) between features, and to the origin, leaving out at most one other feature.
+def _left_out(sq: DataFrame, on: list[str], most: int, limit: int) -> DataFrame:
+    """(on, outs, x, k): each set of up to ``most`` features that may be left out, with the sum of their squares."""
+    if most > 1:
+        n = sq.groupBy(*on).agg(F.count("*").alias("p")).agg(F.max("p")).first()[0] or 0
+        if sum(math.comb(n, k) for k in range(min(most, n) + 1)) > limit:
+            raise ValueError(f"more than {limit} contexts")
+        most = min(most, n)
+    part = sq.groupBy(*on).agg(F.array().cast("array<string>").alias("outs"), F.lit(0.0).alias("x"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("last"))
+    out = part
+    one = sq.select(*on, "feature", "s")
+    for k in range(1, most + 1):  # in ascending order of names
+        grown = part.join(one, on).filter(F.col("last").isNull() | (F.col("feature") > F.col("last")))
+        part = grown.select(*on, F.concat("outs", F.array("feature")).alias("outs"), (F.col("x") + F.col("s")).alias("x"), F.lit(k).alias("k"), F.col("feature").alias("last"))
+        out = out.unionByName(part)
+    return out.drop("last")
+
+
+def distances(g: DataFrame, keys: list[str], aggregate: str = "mean_pair", most: int = 1, limit: int = 100_000) -> DataFrame:
+    """(keys, node_a, node_b, d) between features, and to the origin, over contexts that leave out up to ``most`` others.
 
-    By the closed form on squared g: with T the pair's sum over p features and x the square left out (k
-    features), w(S+a) = sqrt((T - g_b^2 - x) / (p - 1 - k)), w(S+m) = sqrt((T - x) / (p - k)) and
-    w(S) = sqrt((T - g_m^2 - x) / (p - 1 - k)), 0 when empty.  ``g`` has one row per (keys, pair, feature).
+    By the closed form on squared g: with T the pair's sum over p features and x the sum of the squares left out
+    (k features), w(S+a) = sqrt((T - g_b^2 - x) / (p - 1 - k)), w(S+m) = sqrt((T - x) / (p - k)) and
+    w(S) = sqrt((T - g_m^2 - x) / (p - 1 - k)), 0 when empty.  What may be left out is a table of sums of
+    squares, grown feature by feature, so no context's members are gathered; ``most`` of the number of features
+    or more means all subsets, and more than ``limit`` of them are an error.  ``g`` has one row per (keys, pair,
+    feature).
     """
     pair = ["grp_a", "grp_b"]
     sq = g.select(*keys, *pair, "feature", (F.col("g") * F.col("g")).alias("s"))
     total = sq.groupBy(*keys, *pair).agg(F.sum("s").alias("t"), F.count("*").alias("p"))
-    left_out = sq.select(*keys, *pair, F.col("feature").alias("out"), F.col("s").alias("x"), F.lit(1).alias("k"))
-    left_out = left_out.unionByName(total.select(*keys, *pair, F.lit("").alias("out"), F.lit(0.0).alias("x"), F.lit(0).alias("k")))
+    left_out = _left_out(sq, [*keys, *pair], most, limit)
 
     def root(v: Column, n: Column) -> Column:
         return F.when(n > 0, F.sqrt(F.greatest(v, F.lit(0.0)) / F.greatest(n, F.lit(1)))).otherwise(0.0)
 
     def mean(table: DataFrame, v1: Column, v2: Column) -> DataFrame:
-        table = table.select(*keys, *pair, "node_a", "node_b", "out", v1.alias("v1"), v2.alias("v2"))
+        table = table.select(*keys, *pair, "node_a", "node_b", "outs", v1.alias("v1"), v2.alias("v2"))
         if aggregate == "mean_pair":
-            per = table.groupBy(*keys, "node_a", "node_b", "out").agg(F.avg(F.abs(F.col("v1") - F.col("v2"))).alias("v"))
+            per = table.groupBy(*keys, "node_a", "node_b", "outs").agg(F.avg(F.abs(F.col("v1") - F.col("v2"))).alias("v"))
         else:
-            per = table.groupBy(*keys, "node_a", "node_b", "out").agg(F.abs(F.max("v1") - F.max("v2")).alias("v"))
+            per = table.groupBy(*keys, "node_a", "node_b", "outs").agg(F.abs(F.max("v1") - F.max("v2")).alias("v"))
         return per.groupBy(*keys, "node_a", "node_b").agg(F.avg("v").alias("d"))
 
     one = sq.join(total, [*keys, *pair])
     ta = one.select(*keys, *pair, F.col("feature").alias("node_a"), F.col("s").alias("sa"), "t", "p")
     tb = sq.select(*keys, *pair, F.col("feature").alias("node_b"), F.col("s").alias("sb"))
     two = ta.join(tb, [*keys, *pair]).filter(F.col("node_a") < F.col("node_b"))
-    two = two.join(left_out, [*keys, *pair]).filter((F.col("out") != F.col("node_a")) & (F.col("out") != F.col("node_b")))
+    two = two.join(left_out, [*keys, *pair]).filter(~F.array_contains("outs", F.col("node_a")) & ~F.array_contains("outs", F.col("node_b")))
     n = F.col("p") - 1 - F.col("k")
     between = mean(two, root(F.col("t") - F.col("sb") - F.col("x"), n), root(F.col("t") - F.col("sa") - F.col("x"), n))
 
-    zero = ta.withColumn("node_b", F.lit(ORIGIN)).join(left_out, [*keys, *pair]).filter(F.col("out") != F.col("node_a"))
+    zero = ta.withColumn("node_b", F.lit(ORIGIN)).join(left_out, [*keys, *pair]).filter(~F.array_contains("outs", F.col("node_a")))
     origin = mean(zero, root(F.col("t") - F.col("x"), F.col("p") - F.col("k")), root(F.col("t") - F.col("sa") - F.col("x"), n))
     return between.unionByName(origin)
 

@@ -1,4 +1,4 @@
-"""Classifiers of Spark's library, fairness-aware weights and thresholds."""
+"""Classifiers of Spark's library, scores and fairness-aware weights."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
 from ..sources.tabular import materialize
 
 
@@ -177,73 +176,3 @@ def reweighing(df: DataFrame, attr: str, y: str, w: str) -> DataFrame:
     every = Window.partitionBy(F.lit(0))  # as many rows as cells
     pa, py, total = F.sum("s").over(Window.partitionBy(attr)), F.sum("s").over(Window.partitionBy(y)), F.sum("s").over(every)
     return cell.select(attr, y, (pa * py / (total * F.col("s"))).alias("factor"))
-
-
-def threshold_rates(df: DataFrame, grp: str, y: str, score: str, grid: list[float]) -> DataFrame:
-    """(grp, t) n, tpr, fpr, right of a grid of thresholds, from one histogram of the scores over the grid."""
-    below = F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t <= F.col(score)))  # thresholds met
-    hist = df.groupBy(grp, below.alias("met")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    hist = hist.withColumn("neg", F.col("n") - F.col("pos"))
-    steps = df.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(grid)], "i int, t double")
-    joined = hist.join(F.broadcast(steps))  # groups x cells x grid, all small
-    up = F.col("met") >= F.col("i")
-    out = joined.groupBy(grp, "t").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.when(up, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(up, F.col("neg")).otherwise(0)).alias("fp"))
-    return out.select(grp, "t", (F.col("p") + F.col("q")).alias("n"), ratio(F.col("tp"), F.col("p")).alias("tpr"), ratio(F.col("fp"), F.col("q")).alias("fpr"), (F.col("tp") + F.col("q") - F.col("fp")).alias("right"))
-
-
-def group_threshold_grid(rates: DataFrame, grp: str, bound: float) -> DataFrame:
-    """(t_a, t_b, accuracy, eo): thresholds of two groups with the best accuracy while the EO gap is within ``bound``."""
-    a, b = rates.alias("a"), rates.alias("b")
-    eo = F.greatest(F.abs(F.col("a.tpr") - F.col("b.tpr")), F.abs(F.col("a.fpr") - F.col("b.fpr")))
-    pairs = a.join(b, F.col(f"a.{grp}") < F.col(f"b.{grp}")).select(
-        F.col("a.t").alias("t_a"), F.col("b.t").alias("t_b"), F.round((F.col("a.right") + F.col("b.right")) / (F.col("a.n") + F.col("b.n")), 9).alias("accuracy"), F.round(eo, 9).alias("eo")
-    )
-    best = F.max_by(F.struct("t_a", "t_b", "accuracy", "eo"), F.struct("accuracy", -F.col("eo"), -F.col("t_a"), -F.col("t_b"))).alias("b")
-    return pairs.filter(F.col("eo") <= bound).agg(best).select("b.*")
-
-
-def group_threshold_eo(rates: DataFrame, grp: str, steps: int = 50) -> DataFrame:
-    """(grp, fpr, t_low, t_high, mix, tpr): per group a mixture of two thresholds that reaches a common (FPR, TPR) point.
-
-    On a grid of FPRs each group's curve is interpolated; the common TPR is the least of the groups', and
-    the point of best balanced accuracy is taken.
-    """
-    w = Window.partitionBy(grp).orderBy("fpr", "tpr")
-    curve = rates.withColumns({"f0": F.lag("fpr").over(w), "r0": F.lag("tpr").over(w), "t0": F.lag("t").over(w)}).filter("f0 is not null")
-    grid = curve.sparkSession.range(steps + 1).select((F.col("id") / steps).alias("x"))
-    on = (F.col("x") >= F.col("f0")) & (F.col("x") <= F.col("fpr"))
-    inside = curve.join(F.broadcast(grid), on)  # a bounded grid
-    share = F.when(F.col("fpr") > F.col("f0"), (F.col("x") - F.col("f0")) / (F.col("fpr") - F.col("f0"))).otherwise(1.0)
-    pts = inside.withColumn("mix", share).withColumn("y", F.col("r0") + share * (F.col("tpr") - F.col("r0")))
-    best = pts.groupBy(grp, "x").agg(F.max_by(F.struct("t0", "t", "mix", "y"), "y").alias("b"))
-    groups = rates.select(grp).distinct().count()
-    common = best.groupBy("x").agg(F.min("b.y").alias("y"), F.count("*").alias("k")).filter(F.col("k") == groups)
-    point = common.agg(F.max_by(F.struct("x", "y"), F.struct(F.col("y") - F.col("x"), -F.col("x"))).alias("p")).select("p.*")
-    return best.join(F.broadcast(point), "x").select(grp, F.col("x").alias("fpr"), F.col("b.t").alias("t_low"), F.col("b.t0").alias("t_high"), F.col("b.mix").alias("mix"), F.col("y").alias("tpr"))
-
-
-def exp_gradient(df: DataFrame, fit: DataFrame, key: str, cols: list[str], y: str, attr: str, rounds: int = 3, eta: float = 2.0) -> DataFrame:
-    """``df`` with ``q_decision``: mean of the fits under demographic-parity multipliers, one a group.
-
-    Each round reweights rows by their group's multiplier, refits, and moves the multipliers by the groups'
-    violations, which is all that reaches the driver.
-    """
-    import math
-
-    levels = sorted(r[0] for r in fit.select(attr).distinct().collect())  # groups
-    theta = dict.fromkeys(levels, 0.0)
-    q = F.lit(0.0)
-    a, b = with_features(df, fit, cols, y)
-    for i in range(rounds):
-        factor = F.lit(0.0)
-        for g, v in theta.items():
-            factor = F.when(F.col(attr) == g, F.lit(v)).otherwise(factor)
-        cost = F.col("label") * 2 - 1 - factor  # gain of deciding 1
-        rows = a.withColumn("weight", F.abs(cost)).withColumn("label", (cost > 0).cast("double"))
-        model = LogisticRegression(weightCol="weight", maxIter=20, regParam=1e-3, predictionCol=f"_d{i}", probabilityCol=f"_p{i}", rawPredictionCol=f"_r{i}").fit(rows)
-        a, b = model.transform(a), model.transform(b)
-        q = q + F.col(f"_d{i}") / rounds
-        rate = {r[0]: r.s for r in a.groupBy(attr).agg(F.avg(f"_d{i}").alias("s"), F.count("*").alias("n")).collect()}
-        mean = sum(rate.values()) / len(rate)
-        theta = {g: theta[g] + eta * (rate[g] - mean) / math.sqrt(i + 1) for g in levels}
-    return b.select(*df.columns, q.alias("q_decision"))

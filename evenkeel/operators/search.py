@@ -86,8 +86,8 @@ def search_numerical(df: DataFrame, attrs: list[str], feature: str, powers: list
     return out.crossJoin(F.broadcast(first)).select("i", "power", "g", F.coalesce(F.col("i") == F.col("first"), F.lit(False)).alias("accepted"))  # one row
 
 
-def origin_distances(g: dict[str, list[tuple]]) -> dict[tuple[str, str], float]:
-    """Distance to the origin by (attr, feature), of divergences {feature: [(attr, group, group, g)]}.
+def origin_distances(g: dict[str, list[tuple]], only: str | None = None) -> dict[tuple[str, str], float]:
+    """Distance to the origin by (attr, feature), of divergences {feature: [(attr, group, group, g)]}; of one feature, or all.
 
     The closed form of ``geometry.distances`` on one state's table, which has a row per group pair and feature.
     """
@@ -104,7 +104,7 @@ def origin_distances(g: dict[str, list[tuple]]) -> dict[tuple[str, str], float]:
         gaps: dict[str, dict[str, list[float]]] = {}
         for s in pairs.values():
             total, p = sum(s.values()), len(s)
-            for f, own in s.items():
+            for f, own in [(only, s[only])] if only in s else s.items() if only is None else []:
                 for left, x, k in [("", 0.0, 0), *((o, v, 1) for o, v in s.items() if o != f)]:
                     gap = abs(root(total - x, p - k) - root(total - own - x, p - 1 - k))
                     gaps.setdefault(f, {}).setdefault(left, []).append(gap)
@@ -172,10 +172,10 @@ class Mitigation:
     def _on_attrs(self, cell: DataFrame) -> DataFrame:
         return cell.filter(F.col("attr").isin(self.attrs))
 
-    def distances(self, states: dict[int, dict[str, list[tuple]]]) -> list[tuple[int, str, str, float]]:
+    def distances(self, states: dict[int, dict[str, list[tuple]]], only: str | None = None) -> list[tuple[int, str, str, float]]:
         """(candidate, attr, feature, distance) of the divergences of each candidate state, in one batch."""
         if self.measure == "origin":
-            return [(i, attr, f, d) for i, g in states.items() for (attr, f), d in origin_distances(g).items()]
+            return [(i, attr, f, d) for i, g in states.items() for (attr, f), d in origin_distances(g, only).items()]
         rows = [(i, a, x, y, f, v) for i, g in states.items() for f, pairs in g.items() for a, x, y, v in pairs]
         g = self.spark.createDataFrame(rows, "cand int, attr string, grp_a string, grp_b string, feature string, g double")
         points = G.embed(G.distances(g, ["cand", "attr"]), ["cand", "attr"])
@@ -224,7 +224,7 @@ class Mitigation:
         states = {i: rest | {feature: g[i]} for i in range(len(changes)) if g[i] and valid[i]}
         d = {}
         if states:
-            d = {i: v for i, a, f, v in self.distances(states) if (a, f) == (attr, feature)}
+            d = {i: v for i, a, f, v in self.distances(states, feature) if (a, f) == (attr, feature)}
         out = []
         for i, c in enumerate(changes):
             dist = 0.0 if c == "dropped" else d.get(i)

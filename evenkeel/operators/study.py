@@ -17,6 +17,7 @@ from . import metrics as M
 from . import prep as P
 from . import ranking as R
 from . import search as S
+from .batch_fit import utilities
 from .splits import stratified_split
 from .transforms import apply_state, rebin_target_adjacent
 
@@ -162,9 +163,8 @@ def scored_split(parts: DataFrame, state: dict, cats: list[str], nums: list[str]
 
 
 def validation_utility(parts: DataFrame, state: dict, cats: list[str], nums: list[str], keep: list[str], y: str) -> float:
-    """AUROC on the validation rows; 0 where they have one class."""
-    scored = scored_split(parts.filter("split <> 'test'"), state, cats, nums, keep, y)
-    return R.auroc(scored, [], y, "p_event").first().auroc or 0.0
+    """Balanced accuracy on the validation rows at its best threshold there; 0 where there is none."""
+    return utilities(parts.filter("split <> 'test'"), {"now": state}, cats, nums, keep, y)["now"][0] or 0.0
 
 
 def enhancements(m: S.Mitigation, cats: list[str], nums: list[str], powers: list[float], pairs: int = 2) -> list[tuple[str, dict]]:
@@ -189,11 +189,10 @@ def enhance_step(
     """((feature, change, distance, utility, gain, reason) of each candidate, the accepted (feature, change, divergences)).
 
     A candidate may not raise its feature's distance over epsilon plus ``slack`` for any attribute, must leave
-    two values, and is ranked by utility on the validation rows; the best is accepted if it gains
-    ``least_gain`` on the state as it is.  Distances of a feature's candidates are one batch; only feasible
-    candidates are fitted.
+    two values, and is ranked by utility, the balanced accuracy on the validation rows at its own best threshold;
+    the best is accepted if it gains ``least_gain`` on the state as it is.  Distances of a feature's candidates
+    are one batch; the state as it is and all feasible candidates are fitted together, one scan a Newton step.
     """
-    base = validation_utility(parts, m.state, cats, nums, keep, y)
     tried: list[list] = []
     every = enhancements(m, cats, nums, powers)
     for f in dict.fromkeys(x for x, _ in every):
@@ -201,16 +200,25 @@ def enhance_step(
         g, _, valid = m.divergences(f, changes)
         states = {i: m.g | {f: g[i]} for i in range(len(changes)) if valid[i] and g[i]}
         far: dict[int, float] = {}
-        for i, _, x, d in m.distances(states) if states else []:
+        for i, _, x, d in m.distances(states, f) if states else []:
             if x == f:
                 far[i] = max(d, far.get(i, 0.0))
         for i, c in enumerate(changes):
             d = far.get(i)
             reason = "not valid" if d is None else "over epsilon and slack" if d > m.epsilon + slack else ""
-            utility = None if reason else validation_utility(parts, m.state | {f: c}, cats, nums, keep, y)
-            if utility is not None and utility < base + least_gain:
-                reason = "no gain"
-            tried.append([f, c, d, utility, None if utility is None else utility - base, reason, g[i]])
+            tried.append([f, c, d, None, None, reason, g[i]])
+    asked = {str(k): m.state | {t[0]: t[1]} for k, t in enumerate(tried) if not t[5]}
+    found = utilities(parts.filter("split <> 'test'"), {"": m.state} | asked, cats, nums, keep, y) if asked else {}
+    base = found.get("", (None, ""))[0] or 0.0
+    for k, t in enumerate(tried):
+        if t[5]:
+            continue
+        utility, status = found[str(k)]
+        if utility is None:
+            t[5] = status
+        else:
+            t[3:5] = utility, utility - base
+            t[5] = "no gain" if utility < base + least_gain else ""
     good = [t for t in tried if not t[5]]
     best = max(good, key=lambda t: round(t[3], 12), default=None)
     rows = [(f, json.dumps(c, sort_keys=True), d, u, gain, reason or ("accepted" if t is best else "lower gain")) for t in tried for f, c, d, u, gain, reason, _ in [t]]
@@ -229,10 +237,11 @@ def enhance(parts: DataFrame, m: S.Mitigation, cats: list[str], nums: list[str],
         audit += [(i, *r) for r in rows]
         if best is None:
             break
-        before, state, g = validation_utility(parts, m.state, cats, nums, keep, y), m.state, m.g
+        state, g = m.state, m.g
         m._take(*best)
         m.run()
-        after = validation_utility(parts, m.state, cats, nums, keep, y)
+        found = utilities(parts.filter("split <> 'test'"), {"before": state, "after": m.state}, cats, nums, keep, y)
+        before, after = (found[k][0] or 0.0 for k in ("before", "after"))
         if after < before:
             m.state, m.g = state, g
             audit.append((i, best[0], json.dumps(best[1], sort_keys=True), None, after, after - before, "taken back"))

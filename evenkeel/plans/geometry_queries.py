@@ -123,6 +123,28 @@ def origin_distance(spark, sf):
     return rounded(_dist(spark, sf).filter(F.col("node_b") == G.ORIGIN))
 
 
+#: The same over contexts that leave out up to all other features: every subset by a bit mask.
+_SUBSETS = """fs AS (SELECT attr, feature, row_number() OVER (PARTITION BY attr ORDER BY feature) - 1 AS i FROM (SELECT DISTINCT attr, feature FROM g)), nf AS (SELECT attr, count(*) AS n FROM fs GROUP BY 1),
+nodes AS (SELECT attr, feature, i FROM fs UNION ALL SELECT attr, 'origin', NULL FROM nf),
+np AS (SELECT a.attr, a.feature AS node_a, a.i AS ia, b.feature AS node_b, b.i AS ib FROM nodes a JOIN nodes b ON a.attr = b.attr AND a.feature <> 'origin' AND (b.feature = 'origin' OR a.feature < b.feature)),
+mk AS (SELECT attr, unnest(range(0, 1 << n)) AS m FROM nf),
+cx AS (SELECT np.*, m FROM np JOIN mk ON mk.attr = np.attr AND (m >> ia) & 1 = 0 AND (ib IS NULL OR (m >> ib) & 1 = 0) AND bit_count(m) <= {most}),
+sv AS (SELECT cx.attr, node_a, node_b, m, grp_a, grp_b,
+ coalesce(sqrt(avg(CASE WHEN g.feature <> node_b AND (m >> i) & 1 = 0 THEN g * g END)), 0) AS v1, coalesce(sqrt(avg(CASE WHEN g.feature <> node_a AND (m >> i) & 1 = 0 THEN g * g END)), 0) AS v2
+ FROM cx JOIN g ON g.attr = cx.attr JOIN fs ON fs.attr = g.attr AND fs.feature = g.feature GROUP BY 1, 2, 3, 4, 5, 6),
+pm AS (SELECT attr, node_a, node_b, m, avg(abs(v1 - v2)) AS v FROM sv GROUP BY 1, 2, 3, 4), dist AS (SELECT attr, node_a, node_b, avg(v) AS d FROM pm GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {LONG}, {_C}, {_M}, {_G}, {_SUBSETS.replace('{most}', '2')} SELECT attr, node_a, node_b, round(d, 6) AS d FROM dist WHERE node_b <> 'origin'")
+def pair_distance_two_left_out(spark, sf):
+    return rounded(G.distances(divergences(order_cohort(spark, sf)), ["attr"], most=2).filter(F.col("node_b") != G.ORIGIN))
+
+
+@query(f"WITH {LONG}, {_C}, {_M}, {_G}, {_SUBSETS.replace('{most}', '99')} SELECT attr, node_a, node_b, round(d, 6) AS d FROM dist WHERE node_b = 'origin'")
+def origin_distance_all_subsets(spark, sf):
+    return rounded(G.distances(divergences(order_cohort(spark, sf)), ["attr"], most=99).filter(F.col("node_b") == G.ORIGIN))
+
+
 @query(f"WITH {LONG}, {_C}, {_M}, {_G}, {_MAX} SELECT attr, node_a, node_b, round(d, 6) AS d FROM dist")
 def multigroup_agg(spark, sf):
     return rounded(_dist(spark, sf, "author_max_pair"))

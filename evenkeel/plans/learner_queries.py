@@ -10,6 +10,9 @@ from ..functions.columns import rounded
 from ..operators import learners as L
 from ..operators import metrics as M
 from ..operators import ranking as R
+from ..operators import reductions as D
+from ..operators import thresholds as T
+from ..sources.tabular import materialize
 from .registry import COHORT, query
 
 COLS = ["price", "acctbal", "p1", "p2", "n_lines"]
@@ -103,29 +106,49 @@ def reweighing(spark, sf):
 
 
 _GRID = [i / 20 for i in range(1, 20)]
-_TR = f"""gd AS (SELECT i / 20 AS t FROM range(1, 20) r(i)), tr AS (SELECT bal_hi, t, count(*) AS n, sum(CASE WHEN y = 1 AND p1 >= t THEN 1 ELSE 0 END) / sum(y) AS tpr,
- sum(CASE WHEN y = 0 AND p1 >= t THEN 1 ELSE 0 END) / sum(1 - y) AS fpr, sum(CASE WHEN (p1 >= t) = (y = 1) THEN 1 ELSE 0 END) AS ok FROM cohort, gd GROUP BY 1, 2)"""
+_TR = f"""gd AS (SELECT i / 20 AS t FROM range(1, 20) r(i)), tr AS (SELECT seg, t, count(*) AS n, sum(CASE WHEN y = 1 AND p1 >= t THEN 1 ELSE 0 END) / sum(y) AS tpr,
+ sum(CASE WHEN y = 0 AND p1 >= t THEN 1 ELSE 0 END) / sum(1 - y) AS fpr, sum(CASE WHEN (p1 >= t) = (y = 1) THEN 1 ELSE 0 END) AS ok FROM cohort, gd GROUP BY 1, 2),
+gi AS (SELECT *, dense_rank() OVER (ORDER BY seg) AS k FROM tr)"""
+
+
+def _product(groups: int, bound: float) -> str:
+    """All choices of a threshold for each group, brute force, those within the bound kept as groups are added."""
+    steps = ["c1 AS (SELECT [t] AS ts, ok, n, tpr AS t0, tpr AS t1, fpr AS f0, fpr AS f1 FROM gi WHERE k = 1)"]
+    for k in range(2, groups + 1):
+        steps.append(
+            f"c{k} AS (SELECT list_append(ts, t) AS ts, c.ok + g.ok AS ok, c.n + g.n AS n, least(t0, tpr) AS t0, greatest(t1, tpr) AS t1, least(f0, fpr) AS f0, greatest(f1, fpr) AS f1"
+            f" FROM c{k - 1} c, gi g WHERE g.k = {k} AND greatest(t1, tpr) - least(t0, tpr) <= {bound} + 1e-12 AND greatest(f1, fpr) - least(f0, fpr) <= {bound} + 1e-12)"
+        )
+    return ", ".join(steps)
 
 
 @query(
-    f"""WITH {COHORT}, {_TR}, pr AS (SELECT a.t AS t_a, b.t AS t_b, round((a.ok + b.ok) / (a.n + b.n), 9) AS accuracy, round(greatest(abs(a.tpr - b.tpr), abs(a.fpr - b.fpr)), 9) AS eo FROM tr a JOIN tr b ON a.bal_hi < b.bal_hi)
-SELECT round(t_a, 6) AS t_a, round(t_b, 6) AS t_b, round(accuracy, 6) AS accuracy, round(eo, 6) AS eo FROM pr WHERE eo <= 0.02 ORDER BY accuracy DESC, eo, t_a, t_b LIMIT 1"""
+    f"""WITH {COHORT}, {_TR}, {_product(5, 0.05)}, best AS (SELECT ts, ok / n AS accuracy, greatest(t1 - t0, f1 - f0) AS eo FROM c5 ORDER BY round(ok / n, 12) DESC, ts LIMIT 1)
+SELECT seg, round(ts[k], 6) AS t, round(accuracy, 6) AS accuracy, round(eo, 6) AS eo FROM best, (SELECT DISTINCT seg, k FROM gi)"""
 )
 def group_threshold_grid(spark, sf):
-    rates = L.threshold_rates(order_cohort(spark, sf), "bal_hi", "y", "p1", _GRID)
-    return rounded(L.group_threshold_grid(rates, "bal_hi", 0.02))
+    rates = T.threshold_rates(order_cohort(spark, sf), "seg", "y", "p1", _GRID)
+    return rounded(T.group_threshold_grid(rates, "seg", 0.05))
 
 
 @query()
 def group_threshold_eo(spark, sf):
-    rates = L.threshold_rates(order_cohort(spark, sf), "seg", "y", "p1", [0.0, *_GRID, 1.01])
-    return rounded(L.group_threshold_eo(rates, "seg"))
+    """The policy of each group, and the rates that its decisions reach on the rows."""
+    df = order_cohort(spark, sf)
+    policy = materialize(T.group_threshold_eo(df, "seg", "y", "p1"), "policy")
+    q = T.group_decision(df, policy, "seg", "p1").groupBy("seg").agg(
+        F.avg(F.when(F.col("y") == 1, F.col("q_decision"))).alias("reached_tpr"), F.avg(F.when(F.col("y") == 0, F.col("q_decision"))).alias("reached_fpr")
+    )
+    return rounded(policy.join(q, "seg"))
 
 
 @query()
 def exp_gradient(spark, sf):
-    out = L.exp_gradient(*_frames(spark, sf), "record_key", COLS, "y", "seg")
-    return out.groupBy("seg").agg(F.count("*").alias("n"), F.round(F.avg("q_decision"), 4).alias("selection_rate"))
+    """Selection, TPR and FPR of the mixture on the years it was fitted on, and on the others."""
+    df, fit = _frames(spark, sf)
+    out = D.exp_gradient(df, fit, COLS, "y", "seg", constraint="eo", eps=0.02, rounds=4)
+    rate = [F.avg(F.when(F.col("y") == v, F.col("q_decision"))).alias(n) for v, n in ((1, "tpr"), (0, "fpr"))]
+    return out.groupBy("seg", (F.col("survey_year") <= 1997).alias("fitted")).agg(F.count("*").alias("n"), F.avg("q_decision").alias("selection_rate"), *rate)
 
 
 @query()

@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 from ..cohort import order_cohort
 from ..functions.columns import rounded
 from ..operators import geometry as G
-from ..operators import learners as L
-from ..operators import ranking as R
 from ..operators import search as S
 from ..operators import study as Y
+from ..operators.batch_fit import utilities
 from ..operators.splits import stratified_split
-from ..operators.transforms import power
 from ..sources.tabular import materialize
 from .registry import COHORT, query
 
@@ -64,21 +62,42 @@ def adaptive_phi(spark, sf):
     return rounded(spark.createDataFrame([(0.5, S.adaptive_phi(0.5, *worst))], "phi double, next_phi double"))
 
 
-def _candidates(spark, sf):
-    """(candidate, y, p_event): each power of a feature through the same fit, scored on the years after."""
-    df = order_cohort(spark, sf)
-    out = None
-    for p in (1.0, 3.0):
-        t = df.withColumn("x", power(F.col("acctbal"), p))
-        scored = L.fit_score(t.filter("survey_year = 1999"), t.filter("survey_year <= 1997"), ["x", "p1"], "y", "lr")
-        scored = scored.select(F.lit(f"acctbal^{p:g}").alias("candidate"), "y", "p_event")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+def _newton(steps: int = 8, reg: float = 1e-3) -> str:
+    """A logistic fit of two standardised columns a and b of table z for each candidate, by Newton steps."""
+    out = ["b0 AS (SELECT candidate, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2 FROM st)"]
+    det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+    for k in range(steps):
+        out.append(f"p{k} AS (SELECT z.*, w1, w2, w0, 1 / (1 + exp(-(w0 + w1 * a + w2 * b))) AS p FROM z JOIN b{k} USING (candidate) WHERE split = 'train')")
+        out.append(
+            f"s{k} AS (SELECT candidate, any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2, avg(p - y) AS g0, avg((p - y) * a) + {reg} * any_value(w1) AS g1, avg((p - y) * b) + {reg} * any_value(w2) AS g2,"
+            f" avg(p * (1 - p)) AS h00, avg(p * (1 - p) * a) AS h01, avg(p * (1 - p) * b) AS h02, avg(p * (1 - p) * a * a) + {reg} AS h11, avg(p * (1 - p) * a * b) AS h12, avg(p * (1 - p) * b * b) + {reg} AS h22 FROM p{k} GROUP BY 1)"
+        )
+        out.append(
+            f"b{k + 1} AS (SELECT candidate, w0 - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / {det} AS w0,"
+            f" w1 - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / {det} AS w1,"
+            f" w2 - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / {det} AS w2 FROM s{k})"
+        )
+    return ", ".join(out)
 
 
-@query()
+@query(
+    f"""WITH {COHORT}, d AS (SELECT 'acctbal^' || e AS candidate, CASE WHEN survey_year <= 1997 THEN 'train' ELSE 'val' END AS split, y, sign(acctbal) * pow(abs(acctbal), e) AS x, p1
+ FROM cohort, (VALUES (1), (3), (5)) v(e) WHERE survey_year <= 1997 OR survey_year = 1999),
+st AS (SELECT candidate, avg(x) AS mx, stddev_samp(x) AS sx, avg(p1) AS mp, stddev_samp(p1) AS sp FROM d WHERE split = 'train' GROUP BY 1),
+z AS (SELECT candidate, split, y, (x - mx) / sx AS a, (p1 - mp) / sp AS b FROM d JOIN st USING (candidate)), {_newton()},
+q AS (SELECT z.candidate, y, round(w0 + w1 * a + w2 * b, 9) AS s FROM z JOIN b8 USING (candidate) WHERE split = 'val'),
+k AS (SELECT candidate, s, sum(y) AS pos, sum(1 - y) AS neg FROM q GROUP BY 1, 2),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY candidate ORDER BY s) - neg AS below FROM k)
+SELECT candidate, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auroc, 'VALID' AS status FROM c GROUP BY 1"""
+)
 def candidate_utility(spark, sf):
-    return rounded(R.auroc(_candidates(spark, sf), ["candidate"], "y", "p_event").withColumn("status", F.when(F.col("auroc").isNull(), "SINGLE_CLASS").otherwise("VALID")))
+    """Each power of a feature through one batch of fits on the years up to 1997, measured on 1999."""
+    year = F.col("survey_year")
+    split = F.when(year <= 1997, "train").when(year == 1999, "val")
+    parts = order_cohort(spark, sf).withColumn("split", split).filter("split is not null")
+    states = {f"acctbal^{p}": {"acctbal": {"power": float(p)}} for p in (1, 3, 5)}
+    found = utilities(parts, states, [], ["acctbal", "p1"], ["y", "split"], "y", metric="auroc")
+    return rounded(spark.createDataFrame([(c, u, status) for c, (u, status) in found.items()], "candidate string, auroc double, status string"))
 
 
 def _enhanced(spark, sf):

@@ -1,6 +1,7 @@
 """Hand numbers, metamorphic laws and cross-checks between two formulations."""
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -86,6 +87,26 @@ def test_golden_distances(spark):
     assert len(d) == 10 and G.w_max(golden(spark), ["attr"]).first().w == pytest.approx(math.sqrt(85 / 4))
 
 
+@pytest.mark.parametrize("most", [0, 1, 2, 3, 9])
+@pytest.mark.parametrize("aggregate", ["mean_pair", "author_max_pair"])
+def test_distances_equal_enumeration(spark, most, aggregate):
+    g = {("p", "n"): dict(zip("abcd", (1.0, 2.0, 4.0, 8.0), strict=True)), ("p", "z"): dict(zip("abcd", (3.0, 0.5, 2.0, 0.0), strict=True))}
+    df = spark.createDataFrame([("o", *k, f, v) for k, x in g.items() for f, v in x.items()], "attr string, grp_a string, grp_b string, feature string, g double")
+    got = {(r.node_a, r.node_b): r.d for r in G.distances(df, ["attr"], aggregate, most=most).collect()}
+    rms = lambda x, names: math.sqrt(sum(x[f] ** 2 for f in names) / len(names)) if names else 0.0
+    for a in "abcd":
+        for b in [*[f for f in "abcd" if f > a], "origin"]:
+            rest = [f for f in "abcd" if f not in (a, b)]
+            values = []
+            for k in range(max(0, len(rest) - most), len(rest) + 1):
+                for s in combinations(rest, k):
+                    v1, v2 = ([rms(x, [*s, *more]) for x in g.values()] for more in ([a], [b] if b != "origin" else []))
+                    values.append(abs(max(v1) - max(v2)) if aggregate == "author_max_pair" else np.mean([abs(p - q) for p, q in zip(v1, v2, strict=True)]))
+            assert got[a, b] == pytest.approx(np.mean(values))
+    with pytest.raises(ValueError, match="contexts"):
+        G.distances(df, ["attr"], most=3, limit=5)
+
+
 def test_embedding_of_an_embeddable_matrix(spark):
     points = {"a": (3.0, 0.0), "b": (0.0, 4.0), "origin": (0.0, 0.0), "c": (3.0, 4.0)}
     names = ["a", "b", "c", "origin"]
