@@ -113,8 +113,19 @@ def scan_secrets(
     upto = Window.partitionBy(*key).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     inside = F.coalesce(F.max(F.when(F.col("kind").between(0, 2), F.col("end"))).over(upto) > F.col("start"), F.lit(False))
     rows = rows.withColumn("inside", inside).filter((F.col("kind") != 3) | ~F.col("inside"))
-    rows = _nearest(rows, key, {"to_access": F.col("kind") == 1, "to_secret": F.col("kind").isin(0, 2, 3)})
-    access, secret = (F.when(F.col(c)["distance"] <= scope, F.col(c)["start"]) for c in ("to_access", "to_secret"))
+    onward = Window.partitionBy(*key).orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+
+    def overlaps(kind: int) -> Column:  # spans of a kind are disjoint
+        back, on = F.max(F.when(F.col("kind") == kind, F.col("end"))).over(upto), F.min(F.when(F.col("kind") == kind, F.col("start"))).over(onward)
+        return F.coalesce(back > F.col("start"), F.lit(False)) | F.coalesce(on < F.col("end"), F.lit(False))
+
+    some = F.col("kind").isin(0, 2, 3)
+    rows = rows.withColumns({"on_access": some & overlaps(1), "on_endpoint": F.col("kind").between(0, 3) & overlaps(4)})
+    free = ~F.col("on_endpoint")
+    parts = {"to_access": F.col("kind") == 1, "to_free": (F.col("kind") == 1) & free, "to_secret": some & free & ~F.col("on_access")}
+    rows = _nearest(rows, key, parts)
+    to = {c: F.when(F.col(c)["distance"] <= scope, F.col(c)["start"]) for c in parts}
+    access, secret = F.when(F.col("kind") == 4, to["to_free"]).when(~F.col("on_access"), to["to_access"]), to["to_secret"]
     rows = rows.withColumns({"access": access, "secret": secret}).filter(
         (F.col("kind") <= 2)
         | ((F.col("kind") == 3) & F.col("access").isNotNull())
