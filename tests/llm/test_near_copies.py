@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from evenkeel.llm.near_copies import MOST, components, fingerprint, one_of_each, possible_edges, prefix, shingle_set, sure_edges, with_sets
+from evenkeel.llm.near_copies import LEAST, MOST, components, fingerprint, one_of_each, possible_edges, prefix, shingle_set, sure_edges, uncrowded, with_sets
 from evenkeel.llm.queries import read
 
 
@@ -75,11 +75,42 @@ def test_no_near_pair_lacks_a_key():
             both = len(np.intersect1d(x, y))
             if 5 * both >= 4 * (len(x) + len(y) - both):
                 assert np.intersect1d(prefix(x), prefix(y)).size
-                assert np.bitwise_count(fingerprint(x) ^ fingerprint(y)).sum() <= MOST
+                for last in (x[::3], y, np.unique(rng.integers(0, 2**64, 5, np.uint64))):
+                    assert np.intersect1d(prefix(x, last), prefix(y, last)).size and len(prefix(x, last)) == len(prefix(x))
+                assert min(len(x), len(y)) < LEAST or np.bitwise_count(fingerprint(x) ^ fingerprint(y)).sum() <= MOST
     assert len(shingle_set("a b")) == 1 and len(shingle_set("")) == len(shingle_set(None)) == 0
     assert np.array_equal(shingle_set("A b C d E f"), shingle_set("a B c  d e\nF"))
 
 
+def test_common_shingles_leave_the_prefixes(spark, sf):
+    """A passage in all texts is no key where a text has others, and the groups stay those of brute force."""
+    common = " ".join(f"boilerplate{i}" for i in range(60))
+    rng = np.random.default_rng(3)
+    rows = [(i, f"{common} " + " ".join(rng.choice([f"w{k}" for k in range(3000)], 200))) for i in range(40)]
+    rows += [(100 + i, edited(t, 90, rng)) for i, t in rows[:10]] + [(200 + i, common + f" {i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = with_sets(df).withColumn("_row", F.col("doc_id")).cache()
+    before = made.select(F.explode("_prefix").alias("k")).groupBy("k").count().agg(F.max("count")).first()[0]
+    sets = uncrowded(made.drop("doc_id", "text"), df.withColumnRenamed("doc_id", "_row"), chunk=15).cache()
+    after = sets.filter("_row < 200").select(F.explode("_prefix").alias("k")).groupBy("k").count().agg(F.max("count")).first()[0]
+    assert before > 20 and after < 10
+    wide = components(possible_edges(sets))
+    texts = sets.join(wide, F.col("node") == F.col("_set")).join(df, F.col("doc_id") == F.col("_row")).select("root", "_set", "text")
+    root = {r.node: r.root for r in components(sure_edges(texts)).collect()}
+    name = {r._row: root.get(r._set, r._set) for r in sets.collect()}
+    groups = brute_groups([t for _, t in rows])
+    for (i, _), g in zip(rows, groups, strict=True):
+        for (j, _), h in zip(rows, groups, strict=True):
+            assert (name[i] == name[j]) == (g == h)
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 7919}" for i in range(3_600_000))
+    assert len(text) > 20_000_000
+    kept = one_of_each(spark.createDataFrame([(2, text), (1, text + " x"), (3, "short")], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [1, 3]
+
+
 def test_ids(spark, none):
     """Each row has its own decision: a shared or null id neither links rows nor loses them."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
