@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_attr, ratio, unpivot
+from ..functions.quantiles import with_quantiles
 from .metrics import kish
 from .recode import positive_weight
 
@@ -25,9 +26,9 @@ def survey_design_audit(df: DataFrame, year: str, w: str, stratum: str, psu: str
         F.count_distinct(stratum, psu).alias("psus"),
         F.sum(x).alias("w_sum"),
         F.min(x).alias("w_min"),
-        F.percentile(x, 0.5).alias("w_median"),
         F.max(x).alias("w_max"),
     )
+    out = with_quantiles(out, df, [year], x, [0.5], ["w_median"])
     bad = F.col("w_nonnumeric") + F.col("w_nonfinite") + F.col("w_missing") + F.col("w_nonpositive") > 0
     eligible = ~bad & (F.col("stratum_missing") + F.col("psu_missing") == 0)
     return out.withColumn("status", F.when(bad, "FAIL").otherwise("PASS")).withColumn("inference_eligible", eligible)
@@ -77,11 +78,14 @@ def feature_availability(headers: DataFrame, features: list[str], years: list[in
 def feature_code_domain(df: DataFrame, year: str, domains: dict[str, list[int]]) -> DataFrame:
     """(feature, year) observed and expected range, and the codes that were not expected."""
     got = unpivot(df, list(domains), "feature", "v", [year]).filter(F.col("v").isNotNull()).groupBy("feature", year, F.col("v").cast("int").alias("v")).agg(F.count("*").alias("n"))
-    rows = [(f, min(c), max(c), c) for f, c in domains.items()]
-    want = df.sparkSession.createDataFrame(rows, "feature string, want_min int, want_max int, codes array<int>")
-    out = got.groupBy("feature", year).agg(F.min("v").alias("seen_min"), F.max("v").alias("seen_max"), F.collect_set("v").alias("seen")).join(F.broadcast(want), "feature")
-    odd = F.array_sort(F.array_except("seen", "codes"))
-    return out.select("feature", year, "seen_min", "seen_max", "want_min", "want_max", F.array_join(odd.cast("array<string>"), ",").alias("unexpected"))
+    spark = df.sparkSession
+    want = spark.createDataFrame([(f, min(c), max(c)) for f, c in domains.items()], "feature string, want_min int, want_max int")
+    known = spark.createDataFrame([(f, v, True) for f, c in domains.items() for v in c], "feature string, v int, known boolean")
+    # only codes that are not expected are gathered
+    odd = F.collect_list(F.when(F.col("known").isNull(), F.col("v")))
+    seen = got.join(F.broadcast(known), ["feature", "v"], "left").groupBy("feature", year).agg(F.min("v").alias("seen_min"), F.max("v").alias("seen_max"), odd.alias("odd"))
+    text = F.array_join(F.array_sort("odd").cast("array<string>"), ",").alias("unexpected")
+    return seen.join(F.broadcast(want), "feature").select("feature", year, "seen_min", "seen_max", "want_min", "want_max", text)
 
 
 def feature_missingness(df: DataFrame, year: str, features: list[str], w: str) -> DataFrame:
@@ -106,13 +110,13 @@ def numeric_distribution(df: DataFrame, features: list[str], w: str) -> DataFram
     """(feature) n, mean, std, min, quartiles, max, weighted mean."""
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])
     long = df.select(F.col(w).alias("w"), F.inline(pairs))
-    q = F.percentile("v", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("q")
     seen = F.when(F.col("v").isNotNull(), F.col("w"))
     out = long.groupBy("feature").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q, F.max("v").alias("max"),
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
         ratio(F.sum(F.col("v") * F.col("w")), F.sum(seen)).alias("weighted_mean"),
     )
-    return out.select("feature", "n", "mean", "std", "min", F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("p75"), "max", "weighted_mean")
+    out = with_quantiles(out, long, ["feature"], F.col("v"), [0.25, 0.5, 0.75], ["p25", "median", "p75"])
+    return out.select("feature", "n", "mean", "std", "min", "p25", "median", "p75", "max", "weighted_mean")
 
 
 def leakage_guard(features: DataFrame, forbidden: DataFrame) -> DataFrame:
@@ -159,9 +163,12 @@ def eligibility_summary(df: DataFrame, year: str, y_ok: Column, a_ok: Column, w:
 def weight_diagnostics(df: DataFrame, part: str, grp: str, w: str) -> DataFrame:
     """(part, grp) and (part): n, sum, min, median, max, distinct and non-positive weights; grp null is the part."""
     out = df.groupingSets([[part], [part, grp]], part, grp).agg(
-        F.count("*").alias("n"), F.sum(w).alias("w_sum"), F.min(w).alias("w_min"), F.percentile(w, 0.5).alias("w_median"), F.max(w).alias("w_max"),
-        F.count_distinct(w).alias("w_distinct"), F.count_if(F.col(w) <= 0).alias("w_nonpositive"),
+        F.count("*").alias("n"), F.sum(w).alias("w_sum"), F.min(w).alias("w_min"), F.max(w).alias("w_max"),
+        F.count_distinct(w).alias("w_distinct"), F.count_if(F.col(w) <= 0).alias("w_nonpositive"), F.grouping(grp).alias("_whole"),
     )
+    both = df.select(part, grp, w, F.explode(F.array(F.lit(0), F.lit(1))).cast("tinyint").alias("_whole"))  # each row in its group and in its part
+    both = both.withColumn(grp, F.when(F.col("_whole") == 0, F.col(grp)))
+    out = with_quantiles(out, both, [part, grp, "_whole"], F.col(w), [0.5], ["w_median"]).drop("_whole")
     return out.withColumn("status", F.when(F.col("w_nonpositive") == 0, "PASS").otherwise("FAIL"))
 
 
@@ -197,17 +204,15 @@ def semantic_missingness(df: DataFrame, features: list[str], vocabulary: DataFra
 
 def cohort_table(df: DataFrame, keys: list[str], y: str, w: str, stratum: str, psu: str) -> DataFrame:
     """(keys) n, events, weighted rate, effective size, weight quantiles, strata and PSUs."""
-    q = F.percentile(w, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
     out = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(y).alias("events"), ratio(F.sum(F.col(w) * F.col(y)), F.sum(w)).alias("event_rate"), kish(F.col(w)).alias("ess"), q.alias("q"),
+        F.count("*").alias("n"), F.sum(y).alias("events"), ratio(F.sum(F.col(w) * F.col(y)), F.sum(w)).alias("event_rate"), kish(F.col(w)).alias("ess"),
         F.count_distinct(stratum).alias("strata"), F.count_distinct(stratum, psu).alias("psus"),
     )
-    return out.withColumns({f"w_p{p}": F.get("q", F.lit(i)) for i, p in enumerate((25, 50, 75))}).drop("q")
+    return with_quantiles(out, df, keys, F.col(w), [0.25, 0.5, 0.75], ["w_p25", "w_p50", "w_p75"])
 
 
 def distribution_summary(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """(keys) n, mean, std, five quantiles, their middle range and the share of 0.5 or more."""
-    q = F.percentile(x, F.array(*[F.lit(v) for v in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    out = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), q.alias("q"), ratio(F.count_if(F.col(x) >= 0.5), F.count(x)).alias("share_half"))
-    out = out.withColumns({f"p{p}": F.get("q", F.lit(i)) for i, p in enumerate((10, 25, 50, 75, 90))}).drop("q")
+    out = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), ratio(F.count_if(F.col(x) >= 0.5), F.count(x)).alias("share_half"))
+    out = with_quantiles(out, df, keys, F.col(x), [0.1, 0.25, 0.5, 0.75, 0.9], ["p10", "p25", "p50", "p75", "p90"])
     return out.withColumn("iqr", F.col("p75") - F.col("p25"))

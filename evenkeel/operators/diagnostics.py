@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, ratio
+from ..functions.quantiles import with_quantiles
 
 
 def stepwise_deltas(metrics: DataFrame, keys: list[str], state: str, value: str) -> DataFrame:
@@ -35,15 +36,16 @@ def category_states(df: DataFrame, before: dict[str, Column], after: dict[str, C
 def power_geometry(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """(name) five quantiles of each of the raw, powered and scaled values."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("x")) for n, c in columns.items()])))
-    q = F.percentile("x", F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    out = long.groupBy("name").agg(q.alias("q"))
-    return out.select("name", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(5)])
+    return with_quantiles(long.select("name").distinct(), long, ["name"], F.col("x"), [0.0, 0.25, 0.5, 0.75, 1.0], [f"q{i}" for i in range(5)])
 
 
 def score_distribution(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     """(keys, y) n, mean, std and median of a score; y null is overall."""
     grouped = df.groupingSets([keys, [*keys, y]], *keys, y)
-    return grouped.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.percentile(x, 0.5).alias("median"))
+    out = grouped.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.grouping(y).alias("_whole"))
+    both = df.select(*keys, y, x, F.explode(F.array(F.lit(0), F.lit(1))).cast("tinyint").alias("_whole"))  # each row in its class and in all
+    both = both.withColumn(y, F.when(F.col("_whole") == 0, F.col(y)))
+    return with_quantiles(out, both, [*keys, y, "_whole"], F.col(x), [0.5], ["median"]).drop("_whole")
 
 
 def logit_contributions(df: DataFrame, y: str, coefficients: dict[str, float]) -> DataFrame:
@@ -55,9 +57,10 @@ def logit_contributions(df: DataFrame, y: str, coefficients: dict[str, float]) -
 
 def trace_aggregate(trace: DataFrame, keys: list[str], elapsed: str) -> DataFrame:
     """(keys) count and elapsed mean, median, min, max."""
-    return trace.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(elapsed).alias("mean"), F.percentile(elapsed, 0.5).alias("median"), F.min(elapsed).alias("min"), F.max(elapsed).alias("max")
+    out = trace.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(elapsed).alias("mean"), F.min(elapsed).alias("min"), F.max(elapsed).alias("max")
     )
+    return with_quantiles(out, trace, keys, F.col(elapsed), [0.5], ["median"])
 
 
 def feature_frequency(trace: DataFrame, feature: str, seed: str, kind: str, kinds: list[str]) -> DataFrame:

@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_attr, ratio, unpivot
+from ..functions.columns import by_attr, quantile_cuts, ratio, unpivot
 from ..sources.package import ship
+from ..sources.tabular import materialize
 
 ORIGIN = "origin"
 
@@ -78,14 +79,14 @@ def div_num(moment: DataFrame) -> DataFrame:
 def div_nearest(df: DataFrame, attr: str, x: str, a: str, b: str, ranges: int = 64) -> DataFrame:
     """(g): mean distance from each row of one group to the nearest of the other, both ways, in one dimension.
 
-    Neighbours come from a sort inside ranges of x; the first and last value of each group per range carry
-    over range borders, so no task sorts everything.
+    Neighbours come from a sort of the distinct values inside ranges that hold about as many of them each,
+    whatever their distribution; the first and last value of each group per range carry over range borders,
+    so no task sorts everything.
     """
     rows = df.filter(F.col(attr).isin(a, b) & F.col(x).isNotNull()).select((F.col(attr) == a).alias("ga"), F.col(x).cast("double").alias("x"))
-    ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    rows = rows.crossJoin(F.broadcast(ends))  # one row
-    at = F.when(F.col("hi") > F.col("lo"), (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    rows = rows.withColumn("r", F.least(F.floor(at * ranges), F.lit(ranges - 1)).cast("int"))
+    rows = materialize(rows.groupBy("ga", "x").agg(F.count("*").alias("n")), "points")
+    cuts = F.array(*[F.lit(c) for c in quantile_cuts(rows, "x", ranges)]).cast("array<double>")
+    rows = rows.withColumn("r", F.size(F.filter(cuts, lambda c: c < F.col("x"))))
     first, last = Window.orderBy("r").rowsBetween(1, Window.unboundedFollowing), Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     per = rows.groupBy("r").agg(*[f(F.when(F.col("ga") == s, F.col("x"))).alias(f"{n}{int(s)}") for s in (True, False) for n, f in (("mn", F.min), ("mx", F.max))])
     # at most ``ranges`` rows
@@ -99,7 +100,7 @@ def div_nearest(df: DataFrame, attr: str, x: str, a: str, b: str, ranges: int =
         above = F.coalesce(F.min(other(s)).over(down), F.col(f"next{n}"))
         cols[f"near{int(s)}"] = F.least(F.col("x") - below, above - F.col("x"))
     near = rows.withColumns(cols).withColumn("d", F.when(F.col("ga"), F.col("near1")).otherwise(F.col("near0")))
-    return near.agg(F.avg("d").alias("g"))
+    return near.filter("d is not null").agg(ratio(F.sum(F.col("d") * F.col("n")), F.sum("n")).alias("g"))
 
 
 def div_scale(g: DataFrame, family: Column, how: str = "mean") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ratio, unpivot
+from ..functions.quantiles import exact_quantiles
 
 
 def infer_types(df: DataFrame, cols: list[str], legacy: bool = False, approximate: bool = False) -> DataFrame:
@@ -49,7 +50,9 @@ def select_roles(df: DataFrame, y: str, attrs: list[str], exclude: list[str]) ->
 
 def medians(fit: DataFrame, cols: list[str]) -> DataFrame:
     """One row with the exact median of each column."""
-    return fit.agg(*[F.percentile(c, 0.5).alias(c) for c in cols])
+    long = fit.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])))
+    q = exact_quantiles(long, ["feature"], F.col("x"), [0.5])
+    return q.agg(*[F.max(F.when(F.col("feature") == c, F.get("q", F.lit(0)))).alias(c) for c in cols])
 
 
 def median_binarize(df: DataFrame, fit: DataFrame, col: str) -> DataFrame:
@@ -61,8 +64,7 @@ def median_binarize(df: DataFrame, fit: DataFrame, col: str) -> DataFrame:
 def edges_of(fit: DataFrame, col: str, bins: int) -> DataFrame:
     """One row with the inner quantile edges, repeated ones dropped."""
     inner = [i / bins for i in range(1, bins)]
-    edges = F.percentile(col, F.array(*[F.lit(x) for x in (0.0, *inner, 1.0)]))
-    return fit.agg(edges.alias("_e")).select(F.array_distinct("_e").alias("_e"))
+    return exact_quantiles(fit, [], F.col(col), [0.0, *inner, 1.0], "_e").select(F.array_distinct("_e").alias("_e"))
 
 
 def qcut(df: DataFrame, fit: DataFrame, col: str, bins: int = 10) -> DataFrame:
@@ -96,7 +98,7 @@ def partition_encode(df: DataFrame, fit: DataFrame, cats: list[str], nums: list[
 
 def median_impute(df: DataFrame, fit: DataFrame, col: str, low: float, high: float) -> DataFrame:
     """Adds ``<col>_imp``: null or out of range becomes the fit median of the valid rows; without any it is an error."""
-    m = fit.filter(F.col(col).between(low, high)).agg(F.percentile(col, 0.5).alias("_m"))
+    m = medians(fit.filter(F.col(col).between(low, high)), [col]).withColumnRenamed(col, "_m")
     m = m.select(F.coalesce("_m", F.raise_error(F.lit(f"{col} has no valid row")).cast("double")).alias("_m"))
     ok = F.when(F.col(col).between(low, high), F.col(col))
     return df.crossJoin(F.broadcast(m)).withColumn(f"{col}_imp", F.coalesce(ok, F.col("_m"))).drop("_m")  # one row
