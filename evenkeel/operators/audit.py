@@ -166,7 +166,7 @@ def weight_diagnostics(df: DataFrame, part: str, grp: str, w: str) -> DataFrame:
         F.count("*").alias("n"), F.sum(w).alias("w_sum"), F.min(w).alias("w_min"), F.max(w).alias("w_max"),
         F.count_distinct(w).alias("w_distinct"), F.count_if(F.col(w) <= 0).alias("w_nonpositive"), F.grouping(grp).alias("_whole"),
     )
-    both = df.select(part, grp, w, F.explode(F.array(F.lit(0), F.lit(1))).cast("tinyint").alias("_whole"))  # each row in its group and in its part
+    both = df.select(part, grp, w, F.explode(F.array(F.lit(0).cast("tinyint"), F.lit(1).cast("tinyint"))).alias("_whole"))  # each row in its group and in its part
     both = both.withColumn(grp, F.when(F.col("_whole") == 0, F.col(grp)))
     out = with_quantiles(out, both, [part, grp, "_whole"], F.col(w), [0.5], ["w_median"]).drop("_whole")
     return out.withColumn("status", F.when(F.col("w_nonpositive") == 0, "PASS").otherwise("FAIL"))

@@ -40,10 +40,11 @@ class Design:
             for r in found:
                 known[r.feature].append(r.level)
         self.columns: dict[object, list[int]] = {}
+        self.blocks: dict[object, dict[str, list[int]]] = {}
         blocks: dict[tuple[str, str], list[int]] = {}
         cols: list[Column] = []
         for name, state in states.items():
-            used: list[int] = []
+            own: dict[str, list[int]] = {}
             for f in [*nums, *cats]:
                 change = state.get(f, {})
                 at = (f, json.dumps(change, sort_keys=True))
@@ -51,8 +52,9 @@ class Design:
                     new = _block(f, change, known.get(f))
                     blocks[at] = list(range(len(cols), len(cols) + len(new)))
                     cols += new
-                used += blocks[at]
-            self.columns[name] = used
+                own[f] = blocks[at]
+            self.blocks[name] = own
+            self.columns[name] = [i for b in own.values() for i in b]
         if len(cols) > most:
             raise ValueError(f"more than {most} columns")
         x = F.array(*cols) if cols else F.array().cast("array<double>")
@@ -86,19 +88,56 @@ def _scaled(x: np.ndarray, cols: list[int], mean: np.ndarray, sd: np.ndarray) ->
     return np.column_stack([z, np.ones(len(x))])
 
 
+def _at_rest(b: np.ndarray, gradient: np.ndarray, lasso: float) -> float:
+    """How far the optimality conditions are from being met."""
+    if not lasso:
+        return float(np.abs(gradient).max())
+    off = np.where(b != 0, np.abs(gradient + lasso * np.sign(b)), np.maximum(np.abs(gradient) - lasso, 0))
+    off[-1] = abs(gradient[-1])
+    return float(off.max())
+
+
+def _lasso_step(b: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, lasso: float, rounds: int = 10_000) -> np.ndarray:
+    """The least of the quadratic model plus the absolute coefficients, coordinate by coordinate."""
+    x, penalty = b.copy(), np.append(np.full(len(b) - 1, lasso), 0.0)
+    slope = gradient.copy()  # of the model at x
+    for _ in range(rounds):
+        far = 0.0
+        for j in range(len(b)):
+            h = hessian[j, j]
+            if h <= 1e-12 and not slope[j]:
+                continue
+            u = x[j] - slope[j] / h
+            new = np.sign(u) * max(abs(u) - penalty[j] / h, 0.0)
+            if new != x[j]:
+                slope = slope + hessian[:, j] * (new - x[j])
+                far = max(far, abs(new - x[j]))
+                x[j] = new
+        if far < 1e-13:
+            break
+    return x
+
+
 class BatchFit:
     """Logistic fits with an L2 penalty of ``reg`` / 2 on coefficients of standardised columns (none on the
     intercept), of the mean loss weighted by ``weight``; ``fits[name]`` holds the coefficients, the intercept last.
 
     Newton steps from 0; a step that does not lower the loss is halved.  A fit is done when its gradient is under
     ``tolerance``.  A training set of one class has no fit (``fits[name]`` is None).
+
+    ``l1`` {name: penalty} adds the absolute coefficients; a step is then that of the penalised quadratic model.
+    ``hold`` {name: fold} leaves rows of that value of the column ``fold`` out of a fit.
     """
 
-    def __init__(self, design: Design, y: str, weight: str | None = None, reg: float = 1e-3, rounds: int = 60, tolerance: float = 1e-9):
+    def __init__(
+        self, design: Design, y: str, weight: str | None = None, reg: float = 1e-3, rounds: int = 60, tolerance: float = 1e-9,
+        l1: dict | None = None, hold: dict | None = None, fold: str | None = None,
+    ):
         self.design, self.y = design, y
+        l1, hold = l1 or {}, hold or {}
         width = design.width
         w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-        train = design.rows.filter("split = 'train'").select("x", F.col(y).cast("double").alias("y"), w.alias("w"))
+        train = design.rows.filter("split = 'train'").select("x", F.col(y).cast("double").alias("y"), w.alias("w"), (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"))
         each = [F.get("x", F.lit(i)) for i in range(width)]
         total, pos, *stats = train.agg(F.sum("w"), F.sum(F.col("w") * F.col("y")), *[F.avg(c) for c in each], *[F.stddev_samp(c) for c in each]).first()
         self.mean, self.sd = (np.array([v or 0.0 for v in part], float) for part in (stats[:width], stats[width:]))
@@ -110,36 +149,39 @@ class BatchFit:
         sizes = [len(design.columns[n]) + 1 for n in names]
         beta = [np.zeros(d) for d in sizes]
         before: list[tuple[float, np.ndarray] | None] = [None] * len(names)
+        self.train = train
         todo = list(range(len(names)))
         ship(train.sparkSession)
         while todo and self.steps < rounds:
             self.steps += 1
-            sums = self._sums(train, [(i, design.columns[names[i]], beta[i]) for i in todo])
+            sums = self._sums([(i, design.columns[names[i]], beta[i], hold.get(names[i], -2)) for i in todo])
             still = []
             for i in todo:
-                d, b = sizes[i], beta[i]
-                ridge = np.append(np.full(d - 1, reg), 0.0)
-                loss = sums[i][0] / total + (ridge * b * b).sum() / 2
+                d, b, total = sizes[i], beta[i], sums[i][-1]
+                ridge, lasso = np.append(np.full(d - 1, reg), 0.0), l1.get(names[i], 0.0)
+                if not total:
+                    continue
+                loss = sums[i][0] / total + (ridge * b * b).sum() / 2 + lasso * np.abs(b[:-1]).sum()
                 if before[i] is not None and loss > before[i][0] + 1e-14 * abs(before[i][0]) and np.abs(b - before[i][1]).max() > 1e-12:
                     beta[i] = (b + before[i][1]) / 2
                     still.append(i)
                     continue
                 gradient = sums[i][1 : d + 1] / total + ridge * b
-                if np.abs(gradient).max() < tolerance:
+                if _at_rest(b, gradient, lasso) < tolerance:
                     self.fits[names[i]] = b
                     continue
                 hessian = np.zeros((d, d))
-                hessian[np.triu_indices(d)] = sums[i][d + 1 :] / total
+                hessian[np.triu_indices(d)] = sums[i][d + 1 : -1] / total
                 hessian = hessian + np.triu(hessian, 1).T + np.diag(ridge + 1e-12)
                 before[i] = (loss, b)
-                beta[i] = b - np.linalg.solve(hessian, gradient)
+                beta[i] = _lasso_step(b, gradient, hessian, lasso) if lasso else b - np.linalg.solve(hessian, gradient)
                 still.append(i)
             todo = still
         for i in todo:  # as near as the rounds went
             self.fits[names[i]] = beta[i]
 
-    def _sums(self, train: DataFrame, asked: list[tuple[int, list[int], np.ndarray]]) -> dict[int, np.ndarray]:
-        """Loss, gradient and upper triangle of the Hessian of each candidate, summed over the training rows."""
+    def _sums(self, asked: list[tuple[int, list[int], np.ndarray, int]]) -> dict[int, np.ndarray]:
+        """Loss, gradient, upper triangle of the Hessian and weight of each candidate, summed over its training rows."""
         mean, sd, width = self.mean, self.sd, self.design.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,25 +189,41 @@ class BatchFit:
             for b in batches:
                 if not b.num_rows:
                     continue
-                x, y, w = _matrix(b, "x", width), b.column(1).to_numpy(), b.column(2).to_numpy()
-                for i, cols, beta in asked:
+                x, y, every, fold = _matrix(b, "x", width), *(b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+                for i, cols, beta, out in asked:
                     z = _scaled(x, cols, mean, sd)
+                    w = every * (fold != out)
                     t = z @ beta
                     p = 1 / (1 + np.exp(-t))
                     loss = (w * (np.logaddexp(0, t) - y * t)).sum()
                     hessian = z.T @ (z * (w * p * (1 - p))[:, None])
-                    got = np.concatenate([[loss], z.T @ (w * (p - y)), hessian[np.triu_indices(len(beta))]])
+                    got = np.concatenate([[loss], z.T @ (w * (p - y)), hessian[np.triu_indices(len(beta))], [w.sum()]])
                     held[i] = held[i] + got if i in held else got
             for i, v in held.items():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([v.tolist()], pa.list_(pa.float64()))], ["i", "v"])
 
-        parts = train.mapInArrow(run, "i int, v array<double>").select("i", F.posexplode("v").alias("k", "v"))
+        parts = self.train.mapInArrow(run, "i int, v array<double>").select("i", F.posexplode("v").alias("k", "v"))
         found = parts.groupBy("i", "k").agg(F.sum("v").alias("v"))
-        out = {i: np.zeros(1 + len(b) + len(b) * (len(b) + 1) // 2) for i, _, b in asked}
+        out = {i: np.zeros(2 + len(b) + len(b) * (len(b) + 1) // 2) for i, _, b, _ in asked}
         for r in found.collect():  # registered columns only
             out[r.i][r.k] = r.v
         return out
 
+    def scores(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """(keep, p_<name> for each state that has a fit): each row once."""
+        mean, sd, width = self.mean, self.sd, self.design.width
+        asked = [(f"p_{n}", self.design.columns[n], b) for n, b in self.fits.items() if b is not None]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = _matrix(b, "x", width) if b.num_rows else np.zeros((0, width))
+                p = [pa.array(1 / (1 + np.exp(-(_scaled(x, cols, mean, sd) @ beta)))) for _, cols, beta in asked]
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], *p], [*keep, *[n for n, *_ in asked]])
+
+        ship(rows.sparkSession)
+        kinds = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} double" for n, *_ in asked])
+        return rows.select("x", *keep).mapInArrow(run, kinds)
+
     def score(self, rows: DataFrame, keep: list[str], name: str = "candidate") -> DataFrame:
         """(``name``, keep, p_event): each row once for each state that has a fit, in one pass."""
         mean, sd, width = self.mean, self.sd, self.design.width

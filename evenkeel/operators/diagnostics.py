@@ -43,7 +43,7 @@ def score_distribution(df: DataFrame, keys: list[str], y: str, x: str) -> DataFr
     """(keys, y) n, mean, std and median of a score; y null is overall."""
     grouped = df.groupingSets([keys, [*keys, y]], *keys, y)
     out = grouped.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.grouping(y).alias("_whole"))
-    both = df.select(*keys, y, x, F.explode(F.array(F.lit(0), F.lit(1))).cast("tinyint").alias("_whole"))  # each row in its class and in all
+    both = df.select(*keys, y, x, F.explode(F.array(F.lit(0).cast("tinyint"), F.lit(1).cast("tinyint"))).alias("_whole"))  # each row in its class and in all
     both = both.withColumn(y, F.when(F.col("_whole") == 0, F.col(y)))
     return with_quantiles(out, both, [*keys, y, "_whole"], F.col(x), [0.5], ["median"]).drop("_whole")
 

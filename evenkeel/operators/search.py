@@ -69,11 +69,11 @@ def merge_chain(cell: DataFrame, feature: str, attr: str, start: dict[str, str]
     return out
 
 
-def power_moments(df: DataFrame, attrs: list[str], feature: str, powers: list[float]) -> DataFrame:
+def power_moments(df: DataFrame, attrs: list[str], feature: str, powers: list[float], w: str | None = None) -> DataFrame:
     """(attr, grp, feature) moments of every candidate power in one scan; ``feature`` is the power's place in the list."""
     names = [f"_p{i}" for i in range(len(powers))]
     x = F.col(feature).cast("double")
-    got = G.moments(df.select(*attrs, *[power(x, float(p)).alias(n) for n, p in zip(names, powers, strict=True)]), attrs, names)
+    got = G.moments(df.select(*attrs, *([w] if w else []), *[power(x, float(p)).alias(n) for n, p in zip(names, powers, strict=True)]), attrs, names, w)
     return got.withColumn("feature", F.substring("feature", 3, 9))
 
 
@@ -130,19 +130,27 @@ class Mitigation:
     search begins with the first, and a state seen before ends the search.
 
     ``status`` is CONVERGED (all under epsilon), EXHAUSTED, or CYCLE; ``trace`` holds (step, attr, feature,
-    kind, change as JSON, before, after, status), failures too.  Tables here have a row per attribute, group
+    kind, change as JSON, before, after, status), failures too; ``states`` the state at the start and after each
+    accepted step.  With ``weight`` shares, means and information are those of the weights, and rows without a
+    positive one do not count; a group without a positive total, or a weight that is negative or not finite, is
+    an error.  Tables here have a row per attribute, group
     pair and feature or category: bounded by the registry.
     """
 
     def __init__(
         self, df: DataFrame, attrs: list[str], cats: list[str], nums: list[str], y: str, powers: list[float], *, epsilon: float | None = None,
-        share: float = 0.8, phi: float = 0.5, mode: str = "stop", cursor: str = "monotone", measure: str = "origin", batch: int = 4,
+        share: float = 0.8, phi: float = 0.5, mode: str = "stop", cursor: str = "monotone", measure: str = "origin", batch: int = 4, weight: str | None = None,
     ):
         if mode not in ("stop", "next") or cursor not in ("monotone", "restart") or measure not in ("origin", "dphi"):
             raise ValueError("unknown mode, cursor or measure")
         self.df, self.spark, self.attrs, self.cats, self.y = df, df.sparkSession, attrs, cats, y
         self.powers, self.phi, self.mode, self.cursor, self.measure, self.batch = powers, phi, mode, cursor, measure, batch
+        self.weight, self.count = weight, "sw" if weight else "n"
+        for a in attrs if weight else []:
+            if odd := G.weights_validate(df.filter(F.col(a).isNotNull()), a, weight).filter("status <> 'PASS'").limit(3).collect():
+                raise ValueError(f"weights of {a} {[r[a] for r in odd]} cannot be used")
         self.state: dict = {}
+        self.states: list[dict] = [{}]
         self.trace: list[tuple] = []
         self.at: dict[str, int] = {}
         self.status = ""
@@ -150,13 +158,13 @@ class Mitigation:
         self.levels: dict[str, list[str]] = {}
         g = None
         if cats:
-            self.cell = materialize(G.cells(df, [*attrs, y], cats), "cells")
-            self.nmi = {r.feature: r.nmi for r in P.nmi(self._on_y(self.cell), ["feature"], y="grp").collect()}
+            self.cell = materialize(G.cells(df, [*attrs, y], cats, weight), "cells")
+            self.nmi = {r.feature: r.nmi for r in P.nmi(self._on_y(self.cell), ["feature"], y="grp", n=self.count).collect()}
             for r in self.cell.select("feature", "category").distinct().orderBy("feature", "category").collect():
                 self.levels.setdefault(r.feature, []).append(r.category)
             g = G.div_cat(self._on_attrs(self.cell))
         if nums:
-            moment = materialize(G.moments(df, attrs, nums), "moments")
+            moment = materialize(G.moments(df, attrs, nums, weight), "moments")
             self.largest = {r.feature: r.m for r in moment.groupBy("feature").agg(F.max(F.greatest(F.abs("lo"), F.abs("hi"))).alias("m")).collect()}
             more = G.div_num(moment)
             g = more if g is None else g.unionByName(more)
@@ -202,12 +210,12 @@ class Mitigation:
             own = materialize(own, "candidates")
             for r in G.div_cat(self._on_attrs(own)).collect():
                 g[int(r.feature)].append((r.attr, r.grp_a, r.grp_b, float(r.g)))
-            for r in P.nmi(self._on_y(own), ["feature"], y="grp", floor=LEAST_NMI).collect():
+            for r in P.nmi(self._on_y(own), ["feature"], y="grp", n=self.count, floor=LEAST_NMI).collect():
                 loss[int(r.feature)] = (before - r.nmi) / before
             for r in own.groupBy("feature").agg(F.count_distinct("category").alias("n")).collect():
                 valid[int(r.feature)] = r.n > 1
         if powers:
-            moment = materialize(power_moments(self.df, self.attrs, feature, [p for _, p in powers]), "moments")
+            moment = materialize(power_moments(self.df, self.attrs, feature, [p for _, p in powers], self.weight), "moments")
             for r in G.div_num(moment).collect():
                 g[powers[int(r.feature)][0]].append((r.attr, r.grp_a, r.grp_b, float(r.g)))
             for r in moment.groupBy("feature").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
@@ -288,6 +296,7 @@ class Mitigation:
                     continue
                 seen.add(name)
                 self._take(feature, change, g)
+                self.states.append(self.state)
                 self.trace.append((step, attr, feature, kind, json.dumps(change, sort_keys=True), before, after, "ACCEPTED"))
         return self.state
 

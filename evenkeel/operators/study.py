@@ -9,15 +9,18 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_of
+from ..functions.columns import all_of, by_attr, ratio
 from ..sources.tabular import materialize
 from . import geometry as G
+from . import inference as I
 from . import learners as L
 from . import metrics as M
 from . import prep as P
 from . import ranking as R
+from . import reductions as D
 from . import search as S
-from .batch_fit import utilities
+from . import thresholds as T
+from .batch_fit import BatchFit, Design, utilities
 from .splits import stratified_split
 from .transforms import apply_state, rebin_target_adjacent
 
@@ -249,6 +252,116 @@ def enhance(parts: DataFrame, m: S.Mitigation, cats: list[str], nums: list[str],
     return audit
 
 
+def checkpoint_metrics(parts: DataFrame, states: list[dict], attrs: list[str], cats: list[str], nums: list[str], keep: list[str], y: str, cut: float = 0.5, weight: str | None = None) -> DataFrame:
+    """(state, accuracy, dp, eo) on the validation rows of each state of a search, all fitted together.
+
+    A row is decided by its probability against ``cut``.  ``dp`` and ``eo`` are means over attributes of the
+    spread of the selection rate, and of the larger spread of TPR and FPR, over groups.
+    """
+    design = Design(parts, {str(i): s for i, s in enumerate(states)}, cats, nums, [*keep, *([weight] if weight else [])])
+    fit = BatchFit(design, y, weight)
+    scored = fit.score(design.rows.filter("split = 'val'"), [y, *attrs])
+    scored = scored.select(F.col("candidate").cast("int").alias("state"), *attrs, F.col(y).cast("int").alias("y"), (F.col("p_event") >= cut).cast("int").alias("q"))
+    scored = materialize(scored, "scored")
+    accuracy = scored.groupBy("state").agg(F.avg((F.col("y") == F.col("q")).cast("double")).alias("accuracy"))
+    per = by_attr(scored, attrs, ["state", "y", "q"]).filter("grp is not null").groupBy("state", "attr", "grp")
+    per = per.agg(F.avg("q").alias("sr"), ratio(F.sum(F.col("q") * F.col("y")), F.sum("y")).alias("tpr"), ratio(F.sum(F.col("q") * (1 - F.col("y"))), F.sum(1 - F.col("y"))).alias("fpr"))
+    gap = {c: F.max(c) - F.min(c) for c in ("sr", "tpr", "fpr")}
+    by_attribute = per.groupBy("state", "attr").agg(gap["sr"].alias("dp"), F.greatest(gap["tpr"], gap["fpr"]).alias("eo"))
+    return accuracy.join(by_attribute.groupBy("state").agg(F.avg("dp").alias("dp"), F.avg("eo").alias("eo")), "state")
+
+
+def pareto_checkpoint(metrics: DataFrame, tau: float = 0.02, by: str = "eo") -> DataFrame:
+    """(state): the one of least ``by`` among those whose accuracy is that of state 0 less ``tau`` or more; ties go to the first."""
+    first = metrics.agg(F.max(F.when(F.col("state") == 0, F.col("accuracy"))).alias("_a"))
+    ok = metrics.crossJoin(F.broadcast(first)).filter(F.col("accuracy") >= F.col("_a") - tau - 1e-12)  # one row
+    return ok.agg(F.min_by("state", F.struct(F.coalesce(F.round(by, 12), F.lit(float("inf"))), "state")).alias("state"))
+
+
+#: Methods of an arm.
+METHODS = ("unmitigated", "reweighing", "thresholds", "reductions", "bm", "bm_ae", "bm_pareto")
+
+
+def arm_decisions(
+    df: DataFrame, key: str, attr: str, attrs: list[str], cats: list[str], nums: list[str], y: str, methods: list[str] = METHODS, carry: list[str] = (),
+    powers: list[float] = (3.0, 1 / 3, 5.0, 1 / 5), weight: str | None = None, eps: float = 0.02, **options,
+) -> DataFrame:
+    """Test rows with the decision of each method in a column of its name: key, y, attrs, ``carry``, methods.
+
+    Splits are stratified by the outcome.  All fits but those of the reductions are logistic on the columns of a
+    state; "unmitigated", "bm" (the end of the mitigation search on the training rows), "bm_ae" (then
+    alternating enhancement) and "bm_pareto" (the search's state of least EO on the validation rows without
+    losing accuracy) are fitted together and decide at their threshold of best balanced accuracy on the
+    validation rows; "reweighing" likewise, with rows weighted so that ``attr`` and the outcome are independent;
+    "thresholds" equalises the unmitigated scores' odds over ``attr`` on the validation rows, and "reductions"
+    is the exponentiated gradient for equalised odds over ``attr``: their decisions are probabilities.
+    ``weight`` goes to the search and the fits; ``options`` go to the search.
+    """
+    if unknown := set(methods) - set(METHODS):
+        raise ValueError(f"no method {sorted(unknown)}")
+    extra = [c for c in dict.fromkeys([*carry, *([weight] if weight else [])]) if c not in (key, y, *attrs)]
+    keep = [key, y, *attrs, "split", *extra]
+    parts = materialize(stratified_split(df, [y], key).select(*keep, *[c for c in (*cats, *nums) if c not in keep]), "split")
+    states: dict[str, dict] = {"unmitigated": {}}
+    if {"bm", "bm_ae", "bm_pareto"} & set(methods):
+        search = S.Mitigation(parts.filter("split = 'train'"), attrs, cats, nums, y, list(powers), **{"mode": "next", "weight": weight} | options)
+        search.run()
+        states["bm"] = search.state
+        if "bm_pareto" in methods:
+            best = pareto_checkpoint(checkpoint_metrics(parts, search.states, attrs, cats, nums, keep[:-len(extra)] if extra else keep, y, weight=weight)).first().state
+            states["bm_pareto"] = search.states[best]
+        if "bm_ae" in methods:
+            enhance(parts, search, cats, nums, keep, y, list(powers)[:2], rounds=1)
+            states["bm_ae"] = search.state
+    states = {m: s for m, s in states.items() if m in methods or m == "unmitigated"}
+    design = Design(parts, states, cats, nums, keep)
+    out = BatchFit(design, y, weight).scores(design.rows, [*keep, "x"])
+    if "reweighing" in methods:
+        train = design.rows.filter("split = 'train'").withColumn("_w", F.lit(1.0) if weight is None else F.col(weight).cast("double"))
+        factor = F.broadcast(L.reweighing(train, attr, y, "_w"))  # groups x outcomes
+        fair = Design(parts.join(factor, [attr, y], "left").withColumn("_w", F.coalesce("factor", F.lit(0.0)) * (F.lit(1.0) if weight is None else F.col(weight))), {"reweighing": {}}, cats, nums, [*keep, "_w"])
+        out = out.join(BatchFit(fair, y, "_w").scores(fair.rows, [key]), key)
+        states["reweighing"] = {}
+    out = materialize(out, "scored")
+    val = out.filter("split = 'val'")
+    decided = {}
+    for m in states:
+        if m in methods:
+            cut = R.threshold_search_ba(val, [], y, f"p_{m}").first().threshold
+            decided[m] = (F.col(f"p_{m}") >= cut).cast("double")
+    test = out.filter("split = 'test'").withColumns(decided)
+    if "thresholds" in methods:
+        test = T.group_decision(test, materialize(T.group_threshold_eo(val, attr, y, "p_unmitigated"), "policy"), attr, "p_unmitigated", "thresholds")
+    if "reductions" in methods:
+        cols = [f"x{i}" for i in design.columns["unmitigated"]]
+        wide = {f"x{i}": F.get("x", F.lit(i)) for i in design.columns["unmitigated"]}
+        game = D.ExponentiatedGradient(out.filter("split = 'train'").withColumns(wide), cols, y, attr, eps=eps, rounds=4)
+        test = test.withColumns(wide).withColumn("reductions", game.mix.decision(cols))
+    return test.select(key, y, *attrs, *carry, *[m for m in METHODS if m in methods])
+
+
+def arm_inference(decisions: DataFrame, methods: list[str], groups: list[str], y: str, attr: str, weight: str, replicates: int = 200, alpha: float = 0.05) -> DataFrame:
+    """(method, metric, value, taylor_lo, taylor_hi, boot_lo, boot_hi) of balanced accuracy, DP and EO gaps for all methods.
+
+    The rows carry ``stratum`` and ``psu``.  PSU totals of all methods are one scan; both interval methods
+    run on them once.  Gaps of the linearised method are projections of simultaneous bands.
+    """
+    totals = materialize(I.psu_totals(decisions, groups, {m: F.col(m) for m in methods}, F.lit(True), y, attr, weight), "totals")
+    df = I.degrees_of_freedom(decisions)
+    band = I.bands(totals, I.bonferroni_t(alpha, len(methods) * (2 + 3 * len(groups)), df))
+    gaps = I.gap_projection(band)
+    ba = I.taylor_ba(totals, I.bonferroni_t(alpha, 1, df)).select("model", F.col("lo").alias("ba_lo"), F.col("hi").alias("ba_hi"))
+    flat = gaps.join(ba, "model")
+    names = ("ba", "dp", "eo")
+    taylor = flat.select("model", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"{n}_lo").alias("taylor_lo"), F.col(f"{n}_hi").alias("taylor_hi")) for n in names])))
+    points = materialize(I.point_metrics(totals), "points")
+    reps = I.bootstrap_metrics(totals, I.bootstrap_factors(decisions, replicates))
+    boot = I.bootstrap_inference(reps, points, list(names), replicates, df, alpha)
+    boot = boot.select("model", "metric", F.col("point").alias("value"), F.col("lo").alias("boot_lo"), F.col("hi").alias("boot_hi"))
+    out = boot.join(taylor, ["model", "metric"], "full")
+    return out.select(F.col("model").alias("method"), "metric", "value", "taylor_lo", "taylor_hi", "boot_lo", "boot_hi")
+
+
 AUDIT = "round int, feature string, change string, d double, utility double, gain double, reason string"
 
 

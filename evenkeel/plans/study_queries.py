@@ -6,12 +6,17 @@ from pyspark.sql import functions as F
 
 from ..cohort import order_cohort
 from ..functions.columns import rounded
+from ..operators import importance as N
 from ..operators import inference as I
+from ..operators import search as S
 from ..operators import study as Y
-from .inference_queries import _CAND, _GP, _SC, TJ, candidates, totals
+from ..operators.splits import stratified_split
+from ..sources.tabular import materialize
+from .inference_queries import _CAND, _GP, _SC, GROUPS, TJ, candidates, totals
 from .metric_queries import _AUC, _FG, _GROUPS, groups
 from .registry import COHORT, LONG, query
 
+ATTRS = ["seg", "bal_hi"]
 _SEEDS = "SELECT candidate AS method, seed, round(ba, 6) AS ba, round(eo, 6) AS eo FROM cs"
 
 
@@ -134,4 +139,43 @@ def mitigation_pipeline(spark, sf):
 
 @query()
 def benchmark_arm(spark, sf):
-    return _method(spark, sf, "unmitigated").unionByName(_method(spark, sf, "bm"))
+    """All methods of one arm on the same test rows, with both kinds of design-based intervals."""
+    cols = ["record_key", "y", "seg", "bal_hi", "prio", "price", "acctbal", "w", "stratum", "psu"]
+    df = order_cohort(spark, sf).select(*cols)
+    decided = materialize(Y.arm_decisions(df, "record_key", "seg", ["seg", "bal_hi"], ["prio"], ["price", "acctbal"], "y", carry=["w", "stratum", "psu"]), "decisions")
+    return rounded(Y.arm_inference(decided, list(Y.METHODS), GROUPS, "y", "seg", "w"))
+
+
+@query()
+def mitigation_checkpoints(spark, sf):
+    """Validation metrics of each state that the search went through, and the one that the Pareto rule takes."""
+    keep = ["record_key", "y", *ATTRS, "split"]
+    parts = materialize(stratified_split(order_cohort(spark, sf), ["y"], "record_key").select(*keep, "prio", "price", "acctbal"), "split")
+    search = S.Mitigation(parts.filter("split = 'train'"), ATTRS, ["prio"], ["price", "acctbal"], "y", [3.0, 1 / 3, 5.0, 1 / 5], mode="next")
+    search.run()
+    metrics = materialize(Y.checkpoint_metrics(parts, search.states, ATTRS, ["prio"], ["price", "acctbal"], keep, "y"), "metrics")
+    best = Y.pareto_checkpoint(metrics, 0.05).withColumnRenamed("state", "best")
+    return rounded(metrics.crossJoin(F.broadcast(best)).select("state", "accuracy", "dp", "eo", (F.col("state") == F.col("best")).alias("taken")))  # one row
+
+
+@query()
+def mitigation_weighted(spark, sf):
+    """The search by weighted shares, means and information."""
+    search = S.Mitigation(order_cohort(spark, sf), ATTRS, ["prio"], ["price", "acctbal"], "y", [3.0, 1 / 3, 5.0, 1 / 5], mode="next", weight="w")
+    search.run()
+    return rounded(search.trace_table().withColumn("ended", F.lit(search.status)))
+
+
+def _importance_parts(spark, sf):
+    return stratified_split(order_cohort(spark, sf), ["y"], "record_key").select("record_key", "y", "split", "prio", "seg", "price", "acctbal", "n_lines", "p1")
+
+
+@query()
+def importance_l1(spark, sf):
+    found, penalty = N.l1_importance(_importance_parts(spark, sf), "record_key", ["prio", "seg"], ["price", "acctbal", "n_lines", "p1"], "y")
+    return rounded(spark.createDataFrame([(f, v, penalty) for f, v in found.items()], "feature string, importance double, penalty double"))
+
+
+@query()
+def importance_permutation(spark, sf):
+    return rounded(N.permutation_importance(_importance_parts(spark, sf), "record_key", ["prio", "seg"], ["price", "acctbal", "n_lines", "p1"], "y"))
