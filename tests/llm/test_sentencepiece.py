@@ -115,3 +115,43 @@ def test_edges(spark, odd, none):
     assert decode_documents(encode_documents(none, MODEL), MODEL).collect() == []
     null = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in decode_documents(null, MODEL).collect()} == {1: None, 2: ""}
+
+
+def plain_viterbi(v, at, text):
+    """The best sum of scores over all segmentations of a text with markers, and the sum of given ids."""
+    word = (MARK + text.replace(MARK, " ").replace(" ", MARK)).encode()
+    best = [0.0] + [-np.inf] * len(word)
+    for i in range(len(word)):
+        if best[i] == -np.inf:
+            continue
+        c = word[i]
+        step = i + 1 + (c >= 0xC0) + (c >= 0xE0) + (c >= 0xF0)
+        best[step] = max(best[step], best[i] + v.unknown)
+        for j in range(i + 1, min(len(word), i + v.longest) + 1):
+            p = at.get(word[i:j])
+            if p is not None:
+                best[j] = max(best[j], best[i] + v.score[p])
+    return best[-1]
+
+
+def test_ids_of_the_query_are_the_best_path(spark, sf, vocab):
+    at = {(p.decode("utf-8", "replace").replace(" ", MARK)).encode(): i for i, p in enumerate(vocab.pieces) if p and not np.isin(i, vocab.byte_ids)}
+    docs = read(spark, sf, "documents").filter("length(text) between 1 and 1500").orderBy("doc_id").limit(25)
+    lowest = {int(b) for b in vocab.byte_ids}
+    for r in encode_documents(docs, MODEL).join(docs.select("doc_id", "text"), "doc_id").collect():
+        total, at_byte = 0.0, 0
+        for i in r.ids:
+            if i in lowest:
+                b = vocab.pieces[i][0]
+                total += vocab.unknown if (b < 0x80 or b >= 0xC0) else 0.0  # a character's bytes count once
+                at_byte += 1
+            else:
+                total += vocab.score[i]
+        assert total == pytest.approx(plain_viterbi(vocab, at, r.text)), r.doc_id
+
+
+def test_very_long_text_round_trip(spark):
+    text = "a long text of many words é 日本 " * 700_000 + "x" * 200_000
+    assert len(text) > 20_000_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert decode_documents(encode_documents(docs, MODEL), MODEL).first().text == text
