@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 import numpy as np
 from pyspark.ml.classification import (
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tabular import materialize
+from .neighbours import nearest
 
 
 def classifier(kind: str, width: int, seed: int = 0):
@@ -61,51 +61,22 @@ def fit_score(df: DataFrame, fit: DataFrame, cols: list[str], y: str, kind: str,
     return positive_probability(model.transform(b)).select(*df.columns, "p_event")
 
 
-def knn_score(df: DataFrame, fit: DataFrame, key: str, cols: list[str], y: str, k: int = 5, points: int = 4, rounds: int = 40) -> DataFrame:
+def knn_score(df: DataFrame, fit: DataFrame, key: str, cols: list[str], y: str, k: int = 5) -> DataFrame:
     """(key, p_event, neighbours): the share of class 1 among the k nearest rows of ``fit``, exactly, for every row.
 
-    Features are standardised; a row is not its own neighbour; of equally near ones the smaller key wins.
-    Grid rounds: each row looks into its cell and the ones around; what lies within a cell's width there is
-    all that is so near, so a row that has ``k`` of these is done and the others go on with cells of twice
-    the width.  The first width is where a cell holds about ``points`` rows if they were spread evenly; where
-    they are dense more rows meet, of which a task keeps the k nearest.  ``fit`` of k rows or fewer gives
-    what there is.  Three features at most, as cells around number 3 to their power.
+    Features are standardised; a row of the same key is not its own neighbour; of equally near ones the smaller
+    key wins.  ``fit`` of k rows or fewer gives what there is, null without any.  A null key is a row like any
+    other.  See ``neighbours.nearest``.
     """
-    if len(cols) > 3:
-        raise ValueError("three features at most")
     a, b = with_features(df, fit, cols, y)
     x = vector_to_array("features").alias("x")
-    fit_rows = materialize(a.select(F.col(key).alias("other"), F.col("label"), x), "fit")
-    todo = materialize(b.select(F.col(key).alias("key"), x), "todo")
-    n = fit_rows.count()
-    width = 2 * np.sqrt(3.0) * (points / max(n, 1)) ** (1 / len(cols))
-    around = F.array(*[F.array(*[F.lit(v) for v in move]) for move in product((-1, 0, 1), repeat=len(cols))])
-    dist = F.sqrt(F.aggregate(F.zip_with("x", "z", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    near = F.struct(F.col("d"), F.col("other"), F.col("label"))
-    done = None
-    for _ in range(rounds):
-        cell = F.transform("x", lambda v: F.floor(v / F.lit(float(width))))
-        there = fit_rows.select("other", "label", F.col("x").alias("z"), cell.alias("cell"))
-        here = todo.select("key", "x", cell.alias("home"), F.explode(around).alias("move"))
-        here = here.select("key", "x", F.zip_with("home", "move", lambda p, q: p + q).alias("cell"))
-        met = here.join(there, "cell").filter(F.col("key") != F.col("other")).withColumn("d", dist).filter(F.col("d") <= F.lit(float(width)))
-        # the k nearest of each cell, then of all cells
-        rank = F.row_number().over(Window.partitionBy("key", "cell").orderBy("d", "other"))
-        best = met.withColumn("r", rank).filter(F.col("r") <= k).groupBy("key").agg(F.slice(F.sort_array(F.collect_list(near)), 1, k).alias("near"))
-        got = materialize(todo.join(best, "key", "left"), "nearest")
-        full = F.coalesce(F.size("near") >= min(k, n - 1), F.lit(False))
-        part = got.filter(full).select("key", "near")
-        done = part if done is None else done.unionByName(part)
-        todo = got.filter(~full).select("key", "x")
-        if todo.isEmpty():
-            break
-        width *= 2
-    else:
-        raise RuntimeError(f"rows without k neighbours after {rounds} rounds")
-    return done.select(
+    rows = materialize(b.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), x), "queries")
+    near = nearest(rows, a.select(F.col(key).alias("key"), F.col("label"), x), len(cols), k, True)
+    out = rows.select("row", "key").join(near, "row", "left")
+    return out.select(
         F.col("key").alias(key),
         F.aggregate("near", F.lit(0.0), lambda s, v: s + v["label"], lambda s: s / F.nullif(F.size("near"), F.lit(0))).alias("p_event"),
-        F.size("near").cast("long").alias("neighbours"),
+        F.coalesce(F.array_size("near"), F.lit(0)).cast("long").alias("neighbours"),
     )
 
 

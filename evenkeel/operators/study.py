@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from . import reductions as D
 from . import search as S
 from . import thresholds as T
 from .batch_fit import BatchFit, Design, utilities
+from .neighbours import nearest
 from .splits import stratified_split
 from .transforms import apply_state, rebin_target_adjacent
 
@@ -84,45 +84,22 @@ def rank_protected_auto(df: DataFrame, candidates: list[str], nums: list[str], k
     return worst.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("worst"), "attr"))).filter(F.col("rank") <= k)  # a row per column
 
 
-def nearest_other_group(df: DataFrame, attr: str, a: str, b: str, cols: list[str], rounds: int = 40) -> DataFrame:
-    """(g): mean distance to the nearest row of the other group over up to three features; exact.
+def nearest_other_group(df: DataFrame, attr: str, a: str, b: str, cols: list[str]) -> DataFrame:
+    """(g): mean distance to the nearest row of the other group over any number of features; exact.
 
-    Equal points are one.  A round looks in the neighbouring cells of a grid, which holds every point
-    within a cell's width; points that found none that near go on with cells of twice the width.
+    Equal points of a group are one, with their count.  Rows with a null do not count; without rows in both
+    groups it is null.  See ``neighbours.nearest``.
     """
-    if len(cols) > 3:
-        raise ValueError("three features at most")
     x = F.array(*[F.col(c).cast("double") for c in cols])
     rows = df.filter(F.col(attr).cast("string").isin(a, b)).select(F.col(attr).cast("string").alias("o"), x.alias("x"))
-    rows = rows.filter(~F.exists("x", lambda v: v.isNull()))
-    todo = points = materialize(rows.groupBy("o", "x").agg(F.count("*").alias("n")), "points")
-    sides = F.array(*[F.struct(F.min(F.get("x", F.lit(i))).alias("lo"), F.max(F.get("x", F.lit(i))).alias("hi")) for i in range(len(cols))])
-    size = points.agg(F.count("*").alias("n"), F.count_distinct("o").alias("groups"), sides.alias("s")).first()
-    if size.groups < 2:
-        return points.agg(F.lit(None).cast("double").alias("g"))
-    volume = 1.0
-    for s in size.s:
-        volume *= max(s.hi - s.lo, 1e-9)
-    width = (volume / size.n) ** (1 / len(cols))
+    points = rows.filter(~F.exists("x", lambda v: v.isNull())).groupBy("o", "x").agg(F.count("*").cast("double").alias("label"))
+    points = materialize(points.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.col("row")), "points")
     found = None
-    steps = F.array(*[F.array(*[F.lit(v) for v in move]) for move in product((-1, 0, 1), repeat=len(cols))])
-    d = F.sqrt(F.aggregate(F.zip_with("x", "z", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    for _ in range(rounds):
-        cell = F.transform("x", lambda v: F.floor(v / width))
-        others = points.select(F.when(F.col("o") == a, b).otherwise(a).alias("o"), F.col("x").alias("z"), cell.alias("cell"))
-        around = todo.select("o", "x", "n", F.explode(steps).alias("move"), cell.alias("home"))
-        around = around.select("o", "x", "n", F.zip_with("home", "move", lambda p, q: p + q).alias("cell"))
-        near = around.join(others, ["o", "cell"]).groupBy("o", "x").agg(F.min(d).alias("d")).filter(F.col("d") <= width)
-        got = materialize(todo.join(near, ["o", "x"], "left"), "nearest")
-        hit = got.filter("d is not null")
-        found = hit if found is None else found.unionByName(hit)
-        todo = got.filter("d is null").drop("d")
-        if todo.isEmpty():
-            break
-        width *= 2
-    else:
-        raise RuntimeError(f"points without a neighbour after {rounds} rounds")
-    return found.agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("g"))
+    for mine, other in ((a, b), (b, a)):
+        near = nearest(points.filter(F.col("o") == mine), points.filter(F.col("o") == other), len(cols), 1, False)
+        found = near if found is None else found.unionByName(near)
+    both = points.join(found, "row").select(F.col("label").alias("n"), F.get("near", F.lit(0))["d"].alias("d"))
+    return both.agg(ratio(F.sum(F.col("d") * F.col("n")), F.sum("n")).alias("g"))
 
 
 def evaluate_predictions(df: DataFrame, attrs: list[str], y: str = "y", pred: str = "yhat", score: str = "p1") -> DataFrame:
