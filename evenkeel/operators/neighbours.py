@@ -23,7 +23,7 @@ from ..sources.package import ship
 from ..sources.tabular import materialize
 
 #: Cells at most, points of a cell that are wanted where that allows them, splits of a cell, and queries of a slice.
-CELLS, POINTS, WAYS, SLICE = 65_536, 64, 16, 8_192
+CELLS, POINTS, WAYS, SLICE = 65_536, 256, 16, 8_192
 
 
 class Boxes:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..cohort import order_cohort
@@ -86,15 +86,14 @@ def score_frozen_lr(spark, sf):
     return rounded(order_cohort(spark, sf).select("record_key", L.score_linear(model, -0.2).alias("p_event")))
 
 
-@query(f"WITH {COHORT} SELECT survey_year, count(*) AS n, CAST(0 AS BIGINT) AS not_probability, CAST(0 AS BIGINT) AS other_order FROM cohort GROUP BY 1")
+@query(f"WITH {COHORT} SELECT record_key, round(p1, 6) AS from_probability, round(1 / (1 + exp(-(4 * p2 - 2))), 6) AS from_margin FROM cohort")
 def positive_probability(spark, sf):
-    """Rows whose value is no probability, and rows on the other side of a half than their raw score, by year."""
-    df, fit = _frames(spark, sf)
-    a, b = L.with_features(df, fit, COLS, "y")
-    scored = L.positive_probability(L.classifier("lr", len(COLS)).fit(a).transform(b))
-    raw, p = vector_to_array("rawPrediction")[1], F.col("p_event")
-    bad = F.coalesce(F.isnan(p) | (p < 0) | (p > 1), F.lit(True))
-    return scored.groupBy("survey_year").agg(F.count("*").alias("n"), F.count_if(bad).alias("not_probability"), F.count_if((raw > 0) != (p > 0.5)).alias("other_order"))
+    """The class-1 probability of each row, of a model that gives probabilities and of one that gives margins."""
+    df = order_cohort(spark, sf).select("record_key", "p1", "p2")
+    one = df.withColumn("probability", array_to_vector(F.array(1 - F.col("p1"), F.col("p1"))))
+    margin = 4 * F.col("p2") - 2
+    two = L.positive_probability(one, "from_probability").drop("probability").withColumn("rawPrediction", array_to_vector(F.array(-margin, margin)))
+    return rounded(L.positive_probability(two, "from_margin").select("record_key", "from_probability", "from_margin"))
 
 
 @query(

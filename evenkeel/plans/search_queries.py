@@ -36,16 +36,30 @@ def search_categorical(spark, sf):
     return rounded(spark.createDataFrame(rows, "step int, change string, left int, d double, loss double, accepted boolean"))
 
 
-_POW = " UNION ALL ".join(f"SELECT {i} AS i, CAST({p!r} AS DOUBLE) AS power, seg, sign(acctbal) * pow(abs(acctbal), CAST({p!r} AS DOUBLE)) AS x FROM cohort" for i, p in enumerate(POWERS))
+#: The ninth power leaves the 32-bit float range, so that it stands for a drop.
+_STREAM = [3.0, 9.0, 1 / 3, 5.0, 1 / 5]
+_POW = " UNION ALL ".join(
+    f"SELECT {i} AS i, {p == 9.0} AS dropped, CAST({p!r} AS DOUBLE) AS power, seg, sign(price) * pow(abs(price), CAST({p!r} AS DOUBLE)) AS x FROM cohort" for i, p in enumerate(_STREAM)
+)
 
 
 @query(
-    f"""WITH {COHORT}, px AS ({_POW}), m AS (SELECT i, power, seg, avg(x) AS m, min(x) AS lo, max(x) AS hi FROM px GROUP BY 1, 2, 3),
-g AS (SELECT a.i, a.power, max(abs(a.m - b.m) / (greatest(a.hi, b.hi) - least(a.lo, b.lo))) AS g FROM m a JOIN m b ON a.i = b.i AND a.seg < b.seg GROUP BY 1, 2)
-SELECT CAST(i AS INT) AS i, round(power, 6) AS power, round(g, 6) AS g, coalesce(i = (SELECT min(i) FROM g WHERE g < 0.02), false) AS accepted FROM g"""
+    f"""WITH {COHORT}, px AS ({_POW}), m AS (SELECT i, dropped, power, seg, avg(x) AS m, min(x) AS lo, max(x) AS hi FROM px GROUP BY ALL),
+e AS (SELECT avg(abs(a.m - b.m) / (greatest(a.hi, b.hi) - least(a.lo, b.lo))) * 0.9 AS epsilon FROM
+ (SELECT seg, avg(price) AS m, min(price) AS lo, max(price) AS hi FROM cohort GROUP BY 1) a JOIN (SELECT seg, avg(price) AS m, min(price) AS lo, max(price) AS hi FROM cohort GROUP BY 1) b ON a.seg < b.seg),
+g AS (SELECT a.i, a.dropped, a.power, avg(abs(a.m - b.m) / (greatest(a.hi, b.hi) - least(a.lo, b.lo))) AS g FROM m a JOIN m b ON a.i = b.i AND a.seg < b.seg GROUP BY ALL),
+v AS (SELECT i, dropped, power, CASE WHEN dropped THEN 0 ELSE g END AS d, NOT dropped AND g < epsilon AS ok FROM g, e)
+SELECT CAST(i AS INT) AS i, round(power, 6) AS power, dropped, round(1000 * d, 6) AS d1000, coalesce(i = (SELECT min(i) FROM v WHERE ok), false) AS accepted FROM v"""
 )
 def search_numerical(spark, sf):
-    return rounded(S.search_numerical(order_cohort(spark, sf), ["seg"], "acctbal", POWERS, 0.02))
+    """The powers of a feature in stream order, as the search measures them: by the distance to the origin, a drop where it overflows."""
+    m = S.Mitigation(order_cohort(spark, sf), ["seg"], [], ["price"], "y", _STREAM, share=0.9, phi=0.5)
+    changes = ["dropped" if m._overflows("price", p) else {"power": p} for p in _STREAM]
+    found = m.measured("price", "seg", changes)
+    first = next((i for i, x in enumerate(found) if x[4]), None)
+    assert (None if first is None else changes[first]) == (m._search("price", "seg") or (None,))[0]
+    rows = [(i, p, c == "dropped", 1000 * d, i == first) for i, (p, (c, d, *_)) in enumerate(zip(_STREAM, found, strict=True))]
+    return rounded(spark.createDataFrame(rows, "i int, power double, dropped boolean, d1000 double, accepted boolean"))
 
 
 @query()
