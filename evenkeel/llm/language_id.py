@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources.package import ship
 from .ragged import slices
+from .scratch import small_batches
 
 BITS = 16
 UNDETERMINED = "und"
@@ -156,6 +157,7 @@ def detect_languages(
     ``sample_docs`` bounds the labelled documents learned from, per language.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     langs, logp = fit(docs, id_col, text_col, lang_col, sample_docs)
     model = docs.sparkSession.sparkContext.broadcast((langs, logp))  # 2**BITS floats a language
 

@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """At most so many rows in an Arrow batch of the session, for stages that send whole texts to Python: Spark's
+    default of 10,000 keeps several times the memory outside the heap, on both sides, for nothing."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The session's shared folder.  Where it is unset a local folder is made, for a local master only."""
     root = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)

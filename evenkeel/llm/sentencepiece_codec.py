@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..sources.package import ship
 from .ragged import gather, long_list, slices
+from .scratch import small_batches
 
 MARK = "▁"
 #: Words up to so many bytes are segmented side by side; longer ones one by one.
@@ -273,6 +274,7 @@ def decode_ids(v: Vocabulary, flat: np.ndarray, lens: np.ndarray) -> list[str]:
 
 def _with_model(docs: DataFrame, path: str):
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))  # bounded by the vocabulary
 
 
