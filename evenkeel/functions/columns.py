@@ -44,8 +44,14 @@ def all_of(cols: list[Column]) -> Column:
 
 
 def range_of(x: Column, low: float = 0.0, high: float = 1.0, buckets: int = 1024) -> Column:
-    """The equal range of [low, high] that holds x; what lies outside is in the first or last."""
-    return F.floor(F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0)) * buckets).cast("int")
+    """The range that holds x: one of ``buckets`` equal ones of [low, high], or, outside of it, one of 64 for each
+    doubling of the distance to its end.  A larger x has a range as large or larger; NaN is the largest."""
+    unit = (x - low) / (high - low)
+
+    def beyond(distance: Column) -> Column:
+        return F.floor(F.least(64 * F.log2(1 + distance * buckets), F.lit(131_072.0)))
+
+    return F.when(unit > 1, buckets + beyond(unit - 1)).when(unit < 0, -1 - beyond(-unit)).otherwise(F.floor(unit * buckets)).cast("int")
 
 
 def above(x: Column, cuts: list[float]) -> Column:
@@ -65,7 +71,7 @@ def running(
     """One row per (keys, by) with the sums and their running totals ``cum_*`` in ascending ``by``.
 
     Two levels: running sums inside ranges of ``by``, plus the totals of the ranges before, so that no
-    task sorts all values of a key.  Ranges are ``buckets`` equal ones of [low, high], or end at ``cuts``.
+    task sorts all values of a key.  Ranges are those of ``range_of``, or end at ``cuts``.
     """
     points = df.groupBy(*keys, by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     points = points.withColumn("_range", range_of(F.col(by), low, high, buckets) if cuts is None else above(F.col(by), cuts))

@@ -193,7 +193,20 @@ def pareto_checkpoint(spark, sf):
     return ok.groupBy("survey_year").agg(F.min_by("state", F.col("brier") * 1000 + F.col("state")).alias("state"))
 
 
-@query()
+_OVER = "OVER (PARTITION BY survey_year ORDER BY s{})"
+_REPRESENTED = f"""e AS (SELECT survey_year, seg, y, w, s, CASE WHEN s >= 0.5 THEN 1 ELSE 0 END AS q FROM st WHERE k = 2), p AS (SELECT survey_year, s, sum(y) AS pos, sum(1 - y) AS neg FROM e GROUP BY 1, 2),
+c AS (SELECT *, sum(neg) {_OVER.format('')} - neg AS below, sum(pos) {_OVER.format(' DESC')} AS tp, sum(neg) {_OVER.format(' DESC')} AS fp, sum(pos) OVER (PARTITION BY survey_year) AS ap FROM p),
+u AS (SELECT survey_year, sum(CAST(pos AS DOUBLE) * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auroc, sum((tp / (tp + fp)) * (pos / nullif(ap, 0))) AS ap FROM c GROUP BY 1),
+k AS (SELECT survey_year, sum(y * q) AS tp, sum((1 - y) * q) AS fp, sum(y * (1 - q)) AS fn, sum((1 - y) * (1 - q)) AS tn, sum(w * pow(y - s, 2)) / sum(w) AS brier FROM e GROUP BY 1),
+r AS (SELECT seg, sum(q) / count(*) AS sr, sum(y * q) / nullif(sum(y), 0) AS tpr, sum((1 - y) * q) / nullif(sum(1 - y), 0) AS fpr FROM e GROUP BY 1),
+f AS (SELECT max(sr) - min(sr) AS dp, max(tpr) - min(tpr) AS eopp, max(fpr) - min(fpr) AS fpr_gap FROM r), v AS (SELECT *, tp + fn > 0 AND tn + fp > 0 AS valid FROM k JOIN u USING (survey_year), f)"""
+
+
+@query(
+    f"""WITH {_STATES}, {_REPRESENTED} SELECT survey_year, CASE WHEN valid THEN round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) END AS ba, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1,
+ round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, CASE WHEN valid THEN 'VALID' ELSE 'SINGLE_CLASS' END AS status, CASE WHEN valid THEN round(auroc, 6) END AS auroc, CASE WHEN valid THEN round(ap, 6) END AS ap,
+ round(brier, 6) AS brier, round(dp, 6) AS dp, round(eopp, 6) AS eopp, round(fpr_gap, 6) AS fpr_gap, round(greatest(eopp, fpr_gap), 6) AS eo FROM v"""
+)
 def evaluate_representation(spark, sf):
     from ..operators.metrics import fairness_gaps, group_metrics
 

@@ -14,7 +14,8 @@ from ..operators import study as Y
 from ..operators.batch_fit import utilities
 from ..operators.splits import stratified_split
 from ..sources.tabular import materialize
-from .registry import COHORT, query
+from .geometry_queries import _M, _MEAN
+from .registry import COHORT, LONG, query
 
 POWERS = [3, 1 / 3, 5, 1 / 5]
 
@@ -69,7 +70,11 @@ def mitigate_step(spark, sf):
     return rounded(m.trace_table().withColumn("ended", F.lit(m.status)))
 
 
-@query()
+@query(
+    f"""WITH {LONG}, {_M}, g AS (SELECT attr, grp_a, grp_b, feature, g FROM num WHERE attr = 'seg'), {_MEAN},
+o AS (SELECT d, row_number() OVER (ORDER BY d DESC) AS i FROM dist WHERE node_b = 'origin'), b AS (SELECT max(CASE WHEN i = 1 THEN d END) AS before, max(CASE WHEN i = 2 THEN d END) AS after FROM o)
+SELECT CAST(0.5 AS DOUBLE) AS phi, CASE WHEN before <= 0 OR (before - after) / before < 0.1 THEN CAST(0.475 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS next_phi FROM b"""
+)
 def adaptive_phi(spark, sf):
     d = G.distances(G.div_num(G.moments(order_cohort(spark, sf), ["seg"], ["price", "acctbal", "avg_disc"])), ["attr"])
     worst = [r.d for r in d.filter(F.col("node_b") == G.ORIGIN).orderBy(F.desc("d")).limit(2).collect()]  # a top-k report

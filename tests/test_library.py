@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evenkeel.functions.columns import range_of
 from evenkeel.functions.special import kolmogorov_tail, t_cdf, t_ppf
 from evenkeel.operators import geometry as G
 from evenkeel.operators import inference as I
@@ -164,6 +165,24 @@ def test_rank_metrics_by_hand(spark):
     assert best.ba == pytest.approx(max(ba.values())) and ba[min(grid, key=lambda t: abs(t - best.threshold))] == pytest.approx(best.ba)
 
 
+def test_rank_metrics_of_scores_of_any_range(spark):
+    """Margins keep their order and are dealt over many ranges; infinite and undefined ones are in the last."""
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(2)), float(x)) for x in [*rng.normal(scale=30, size=150).round(), *rng.random(30).round(2), -1e300, 1e300, 0.0, 1.0]]
+    df = spark.createDataFrame(rows, "y int, p1 double")
+    pos, neg = [p for y, p in rows if y], [p for y, p in rows if not y]
+    assert R.auroc(df, []).first().auroc == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg]))
+    points = sorted({p for _, p in rows})
+    want = max(abs(np.mean([a <= t for a in pos]) - np.mean([b <= t for b in neg])) for t in points)
+    assert R.ks_two_sample(df, []).first().ks == pytest.approx(want)
+    best = R.threshold_search_ba(df.withColumn("all", F.lit(1)), ["all"]).first()
+    grid = [0.0, 1.0, *[(a + b) / 2 for a, b in zip(points, points[1:], strict=False)]]
+    assert best.ba == pytest.approx(max((np.mean([p >= t for p in pos]) + np.mean([p < t for p in neg])) / 2 for t in grid))
+    x = spark.createDataFrame([(v,) for v in sorted([*points, -math.inf, math.inf])] + [(math.nan,)], "x double")
+    ranges = [r[0] for r in x.select(range_of(F.col("x"))).collect()]
+    assert ranges == sorted(ranges) and len(set(ranges)) > 60 and ranges[-1] == ranges[-2]
+
+
 def test_splits(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("s"))
     out = S.stratified_split(df, ["s"], "k")
