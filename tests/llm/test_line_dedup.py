@@ -30,6 +30,14 @@ def test_edge_cases(odd):
         assert sorted(got, key=str) == brute([(r.doc_id, r.text) for r in odd.collect()])
 
 
+def test_a_dozen_batches(spark):
+    """Runs are compacted over several levels, and each line is kept where its smallest document lies."""
+    rows = [(i, "\n".join(f"a line of number {j}" for j in (i * i % 17, i % 5, i))) for i in range(60)]
+    found = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), batches=12, fanout=3)
+    got = [tuple(r) for r in found.select("doc_id", "n_lines", "n_dropped", "text").collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
 def test_empty(none):
     assert line_dedup(none).collect() == []
 
