@@ -64,5 +64,12 @@ def columns_check(df: DataFrame, required: list[str]) -> DataFrame:
 
 
 def cohort_digest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(n, digest): a fingerprint of the rows' keys that does not depend on their order."""
-    return df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*keys)).alias("digest"))
+    """(n, digest): a fingerprint of the rows' keys that does not depend on their order.
+
+    The digest is the sum over rows of the first 60 bits of the SHA-256 of the keys, so that repeated rows count
+    (they would cancel in an exclusive or).  A key is its length and text, so that no two rows of keys read alike;
+    a null is a key of its own.  No rows sum to 0.
+    """
+    parts = [F.coalesce(F.concat_ws(":", F.length(F.col(k).cast("string")), F.when(F.col(k).isNotNull(), F.col(k).cast("string"))), F.lit("")) for k in keys]
+    bits = F.conv(F.substring(F.sha2(F.concat(*parts), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(bits), F.lit(0)).cast("decimal(38,0)").cast("string").alias("digest"))

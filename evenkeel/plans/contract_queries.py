@@ -117,7 +117,10 @@ def harmonized_columns_check(spark, sf):
     return C.columns_check(order_cohort(spark, sf), ["y", "w", "psu", "gone"])
 
 
-@query()
+@query(
+    f"""WITH {COHORT}, k AS (SELECT length(CAST(survey_year AS VARCHAR)) || ':' || survey_year || length(CAST(record_key AS VARCHAR)) || ':' || record_key AS k FROM cohort)
+SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(k), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM k"""
+)
 def cohort_digest(spark, sf):
     return C.cohort_digest(order_cohort(spark, sf), ["survey_year", "record_key"])
 

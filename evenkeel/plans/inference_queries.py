@@ -103,9 +103,11 @@ dr AS (SELECT r.b AS replicate, s.stratum, s.n, CAST(floor((({_H1} * {_H1} + d.d
  FROM sz s, (SELECT unnest(range(1, {B + 1})) AS b) r, (SELECT unnest(range(1, 100)) AS d) d WHERE d.d <= s.n - 1),
 fa AS (SELECT replicate, stratum, psu, n / (n - 1) * count(*) AS factor FROM dr JOIN ps USING (stratum, i) GROUP BY replicate, stratum, psu, n)"""
 _REP = f"""{_TOT}, {_FAC}, rv AS (SELECT replicate, model, rate, sum(factor * num) / nullif(sum(factor * den), 0) AS v FROM fa JOIN tot USING (stratum, psu) GROUP BY 1, 2, 3),
+rk AS (SELECT count(DISTINCT rate) FILTER (rate LIKE 'SR:%') AS sr, count(DISTINCT rate) FILTER (rate LIKE 'TPR:%' OR rate LIKE 'FPR:%') AS pr FROM tot),
 rm AS (SELECT replicate, model, (max(CASE WHEN rate = 'TPR' THEN v END) + 1 - max(CASE WHEN rate = 'FPR' THEN v END)) / 2 AS ba,
- max(CASE WHEN rate LIKE 'SR:%' THEN v END) - min(CASE WHEN rate LIKE 'SR:%' THEN v END) AS dp,
- greatest(max(CASE WHEN rate LIKE 'TPR:%' THEN v END) - min(CASE WHEN rate LIKE 'TPR:%' THEN v END), max(CASE WHEN rate LIKE 'FPR:%' THEN v END) - min(CASE WHEN rate LIKE 'FPR:%' THEN v END)) AS eo FROM rv GROUP BY 1, 2),
+ CASE WHEN count(v) FILTER (rate LIKE 'SR:%') = any_value(sr) THEN max(CASE WHEN rate LIKE 'SR:%' THEN v END) - min(CASE WHEN rate LIKE 'SR:%' THEN v END) END AS dp,
+ CASE WHEN count(v) FILTER (rate LIKE 'TPR:%' OR rate LIKE 'FPR:%') = any_value(pr) THEN greatest(max(CASE WHEN rate LIKE 'TPR:%' THEN v END) - min(CASE WHEN rate LIKE 'TPR:%' THEN v END),
+ max(CASE WHEN rate LIKE 'FPR:%' THEN v END) - min(CASE WHEN rate LIKE 'FPR:%' THEN v END)) END AS eo FROM rv, rk GROUP BY 1, 2),
 pm AS (SELECT model, (max(CASE WHEN rate = 'TPR' THEN value END) + 1 - max(CASE WHEN rate = 'FPR' THEN value END)) / 2 AS ba,
  max(CASE WHEN rate LIKE 'SR:%' THEN value END) - min(CASE WHEN rate LIKE 'SR:%' THEN value END) AS dp,
  greatest(max(CASE WHEN rate LIKE 'TPR:%' THEN value END) - min(CASE WHEN rate LIKE 'TPR:%' THEN value END), max(CASE WHEN rate LIKE 'FPR:%' THEN value END) - min(CASE WHEN rate LIKE 'FPR:%' THEN value END)) AS eo FROM ra GROUP BY 1)"""
@@ -221,10 +223,11 @@ def holm_adjust(spark, sf):
     return rounded(I.holm_adjust(pv, ["family"], "p", "label"))
 
 
-_SIM = f"""{_REP}, {_LR}, st AS (SELECT model || ':' || metric AS label, stddev_samp(v) AS se, avg(v) AS m FROM lr GROUP BY 1),
-wz AS (SELECT replicate, max(abs(v - m) / se) AS z FROM lr JOIN st ON st.label = model || ':' || metric GROUP BY 1), cr AS (SELECT greatest(quantile_disc(z, 0.95), {t_ppf(0.975, B - 1)!r}) AS c0 FROM wz),
-zz AS (SELECT list_sort(list(z)) AS zs FROM wz), c1 AS (SELECT greatest(zs[CAST(ceil((len(zs) - 1) * CAST(0.95 AS DOUBLE) - 1e-12) AS BIGINT) + 1], {t_ppf(0.975, B - 1)!r}) AS c FROM zz),
-si AS (SELECT label, point, se, point - {t_ppf(0.975, B - 1)!r} * se AS lo, point + {t_ppf(0.975, B - 1)!r} * se AS hi, point - c * se AS sim_lo, point + c * se AS sim_hi FROM lp JOIN st ON st.label = model || ':' || metric, c1)"""
+_SIM = f"""{_REP}, {_LR}, lg AS (SELECT replicate, model || ':' || metric AS label, v FROM lr WHERE replicate NOT IN (SELECT replicate FROM lr WHERE v IS NULL)),
+st AS (SELECT label, stddev_samp(v) AS se, avg(v) AS m FROM lg GROUP BY 1), wz AS (SELECT replicate, max(abs(v - m) / se) AS z FROM lg JOIN st USING (label) GROUP BY 1),
+zz AS (SELECT list_sort(list(z)) AS zs FROM wz), c0 AS (SELECT zs, {[t_ppf(0.975, k) for k in range(1, B)]!r}[len(zs) - 1] AS t FROM zz),
+c1 AS (SELECT t, greatest(zs[CAST(ceil((len(zs) - 1) * CAST(0.95 AS DOUBLE) - 1e-12) AS BIGINT) + 1], t) AS c FROM c0),
+si AS (SELECT label, point, se, point - t * se AS lo, point + t * se AS hi, point - c * se AS sim_lo, point + c * se AS sim_hi FROM lp JOIN st ON st.label = model || ':' || metric, c1)"""
 
 
 def _simultaneous(spark, sf):

@@ -29,8 +29,22 @@ def _summary(scored):
     return base.join(R.auroc(scored, ["survey_year"], "y", "p_event").withColumn("auroc", F.round("auroc", 4)), "survey_year")
 
 
+#: The same from a table p (survey_year, y, p).
+_SUMMARY = """r AS (SELECT survey_year, y, p, rank() OVER (PARTITION BY survey_year ORDER BY p) + (count(*) OVER (PARTITION BY survey_year, p) - 1) / 2 AS r FROM p)
+SELECT survey_year, count(*) AS n, round(avg(p), 4) AS mean, round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0), 4) AS auroc FROM r GROUP BY survey_year"""
+
+
+def _naive_bayes() -> str:
+    """Posterior of class 1 under independent normal features, from the moments of the years up to 1997."""
+    x = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in COLS)
+    m = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in COLS)
+    terms = " - ".join(f"(x.{c} - m_{c}) * (x.{c} - m_{c}) / (2 * v_{c}) - ln(v_{c}) / 2" for c in COLS)
+    return f"""WITH {COHORT}, x AS (SELECT record_key, survey_year, y, {x} FROM cohort), m AS (SELECT y AS c, count(*) AS n, {m} FROM x WHERE survey_year <= 1997 GROUP BY y),
+p AS (SELECT survey_year, y, 1 / (1 + exp(-sum((2 * c - 1) * (ln(n) - {terms})))) AS p FROM x, m GROUP BY record_key, survey_year, y), {_SUMMARY}"""
+
+
 def _register(kind: str) -> None:
-    @query(name=f"clf_{kind}")
+    @query(_naive_bayes() if kind == "nb" else None, name=f"clf_{kind}")
     def run(spark, sf):
         return _summary(L.fit_score(*_frames(spark, sf), COLS, "y", kind))
 
@@ -45,7 +59,12 @@ def baseline_unmitigated(spark, sf):
     return rounded(M.fairness_gaps(M.group_metrics(scored.withColumn("yhat", (F.col("p_event") >= 0.33).cast("int")), ["seg", "bal_hi"])))
 
 
-@query()
+@query(
+    f"""WITH {COHORT}, f AS (SELECT avg(CAST(price AS DOUBLE)) AS m1, stddev_samp(CAST(price AS DOUBLE)) AS s1, avg(CAST(acctbal AS DOUBLE)) AS m2, stddev_samp(CAST(acctbal AS DOUBLE)) AS s2 FROM cohort WHERE survey_year <= 1997),
+x AS (SELECT record_key, survey_year, y, (price - m1) / s1 AS a, (acctbal - m2) / s2 AS b FROM cohort, f),
+p AS (SELECT q.survey_year, q.y, list_avg(arg_min(t.y, (q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b), 5)) AS p
+ FROM x q JOIN x t ON t.survey_year <= 1997 AND t.record_key <> q.record_key GROUP BY q.record_key, q.survey_year, q.y), {_SUMMARY}"""
+)
 def clf_knn(spark, sf):
     df, fit = _frames(spark, sf)
     out = L.knn_score(df, fit, "record_key", ["price", "acctbal"], "y")
@@ -130,7 +149,30 @@ def group_threshold_grid(spark, sf):
     return rounded(T.group_threshold_grid(rates, "seg", 0.05))
 
 
-@query()
+#: Hulls by the slopes to all points on either side; the common point among all corners and crossings of the hulls.
+_MEET = """sc AS (SELECT seg, p1 AS t, sum(y) AS pos, count(*) - sum(y) AS neg FROM cohort GROUP BY 1, 2),
+rc AS (SELECT seg, t, sum(neg) OVER d / sum(neg) OVER g AS fpr, sum(pos) OVER d / sum(pos) OVER g AS tpr FROM sc WINDOW d AS (PARTITION BY seg ORDER BY t DESC), g AS (PARTITION BY seg)
+ UNION ALL SELECT DISTINCT seg, CAST('inf' AS DOUBLE), 0, 0 FROM sc),
+tp AS (SELECT * FROM rc QUALIFY row_number() OVER (PARTITION BY seg, fpr ORDER BY tpr DESC) = 1),
+sl AS (SELECT k.seg, k.t, k.fpr, k.tpr, min(CASE WHEN o.fpr < k.fpr THEN (k.tpr - o.tpr) / (k.fpr - o.fpr) END) AS before, max(CASE WHEN o.fpr > k.fpr THEN (o.tpr - k.tpr) / (o.fpr - k.fpr) END) AS after
+ FROM tp k JOIN tp o ON o.seg = k.seg GROUP BY 1, 2, 3, 4),
+hv AS (SELECT seg, t, fpr, tpr, lead(t, 1, t) OVER w AS t1, lead(fpr, 1, fpr) OVER w AS fpr1, lead(tpr, 1, tpr) OVER w AS tpr1 FROM sl
+ WHERE before IS NULL OR after IS NULL OR before > after + 1e-12 WINDOW w AS (PARTITION BY seg ORDER BY fpr)),
+xs AS (SELECT DISTINCT fpr AS x FROM hv), sg AS (SELECT DISTINCT seg FROM hv),
+ht AS (SELECT seg, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM (SELECT q.seg, x, CASE WHEN fpr1 > fpr THEN tpr + (x - fpr) / (fpr1 - fpr) * (tpr1 - tpr) ELSE tpr END AS y
+ FROM (SELECT seg, x FROM sg, xs) q ASOF JOIN hv ON q.seg = hv.seg AND q.x >= hv.fpr) WINDOW w AS (PARTITION BY seg ORDER BY x)),
+cr AS (SELECT x FROM xs UNION SELECT a.x + (a.y - b.y) / (a.y - b.y - a.ny + b.ny) * (a.nx - a.x) FROM ht a JOIN ht b ON a.x = b.x AND a.seg < b.seg AND (a.y - b.y) * (a.ny - b.ny) < 0),
+hc AS (SELECT q.seg, x, t, t1, CASE WHEN fpr1 > fpr THEN (x - fpr) / (fpr1 - fpr) ELSE 0 END AS mix, CASE WHEN fpr1 > fpr THEN tpr + (x - fpr) / (fpr1 - fpr) * (tpr1 - tpr) ELSE tpr END AS y
+ FROM (SELECT seg, x FROM sg, cr) q ASOF JOIN hv ON q.seg = hv.seg AND q.x >= hv.fpr),
+cp AS (SELECT x, min(y) AS common FROM hc GROUP BY x ORDER BY round(min(y) - x, 12) DESC, x LIMIT 1),
+po AS (SELECT seg, x AS fpr, common AS tpr, t1 AS t_low, t AS t_high, mix, CASE WHEN y - common > 1e-12 THEN (y - common) / (y - x) ELSE 0 END AS ignore FROM hc JOIN cp USING (x)),
+de AS (SELECT po.*, y, ignore * fpr + (1 - ignore) * (mix * CAST(p1 >= t_low AS INT) + (1 - mix) * CAST(p1 >= t_high AS INT)) AS q FROM cohort JOIN po USING (seg))"""
+
+
+@query(
+    f"""WITH {COHORT}, {_MEET} SELECT seg, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round(t_low, 6) AS t_low, round(t_high, 6) AS t_high, round(mix, 6) AS mix, round(ignore, 6) AS ignore,
+ round(avg(q) FILTER (y = 1), 6) AS reached_tpr, round(avg(q) FILTER (y = 0), 6) AS reached_fpr FROM de GROUP BY seg, fpr, tpr, t_low, t_high, mix, ignore"""
+)
 def group_threshold_eo(spark, sf):
     """The policy of each group, and the rates that its decisions reach on the rows."""
     df = order_cohort(spark, sf)

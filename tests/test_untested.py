@@ -77,6 +77,11 @@ def test_digest_is_free_of_order(spark):
     assert one == C.cohort_digest(df.orderBy(F.desc("key")).repartition(7), ["year", "key"]).first()
     other = C.cohort_digest(df.withColumn("key", F.when(F.col("key") == 7, 99).otherwise(F.col("key"))), ["year", "key"]).first()
     assert other.n == one.n == 50 and other.digest != one.digest
+    twice = C.cohort_digest(df.unionByName(df), ["year", "key"]).first()
+    assert twice.n == 2 * one.n and int(twice.digest) == 2 * int(one.digest)
+    assert tuple(C.cohort_digest(df.limit(0), ["year", "key"]).first()) == (0, "0")
+    apart = [C.cohort_digest(df.sparkSession.createDataFrame([r], "a string, b string"), ["a", "b"]).first().digest for r in (("12", "3"), ("1", "23"), (None, "123"), ("123", None), ("", "123"))]
+    assert len(set(apart)) == 5
 
 
 def test_rank_protected_auto_takes_each_column_in_turn(spark):
