@@ -70,6 +70,7 @@ def cohort_digest(df: DataFrame, keys: list[str]) -> DataFrame:
     (they would cancel in an exclusive or).  A key is its length and text, so that no two rows of keys read alike;
     a null is a key of its own.  No rows sum to 0.
     """
-    parts = [F.coalesce(F.concat_ws(":", F.length(F.col(k).cast("string")), F.when(F.col(k).isNotNull(), F.col(k).cast("string"))), F.lit("")) for k in keys]
+    text = [F.col(k).cast("string") for k in keys]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]
     bits = F.conv(F.substring(F.sha2(F.concat(*parts), 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(bits), F.lit(0)).cast("decimal(38,0)").cast("string").alias("digest"))
