@@ -9,6 +9,7 @@ components follow by label propagation with pointer jumping.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -63,24 +64,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(run, f"d {kind}, fp long")
 
 
-def link_group(fp: np.ndarray, most: int = 3) -> list[tuple[int, int]]:
-    """Star edges (member, smallest of its component) among distinct signed fingerprints."""
+def link_group(fp: np.ndarray, most: int = 3, tally: Counter | None = None) -> list[tuple[int, int]]:
+    """Star edges (member, smallest of its component) among distinct signed fingerprints.
+
+    ``tally`` counts the pairs: of the group, left by the first coordinate, not linked yet, left by all coordinates
+    (these are verified), linked.
+    """
     bits = fp.view(np.uint64)
     table = np.bitwise_count(bits[:, None] ^ REFERENCES[None, :]).astype(np.int8)
     order = np.argsort(table[:, 0], kind="stable")
     fp, bits, table = fp[order], bits[order], table[order]
     m = len(fp)
     label = np.arange(m)
+    tally = Counter() if tally is None else tally
+    tally["pairs"] += m * (m - 1) // 2
     for shift in range(1, m):
         near = np.flatnonzero(table[shift:, 0] - table[:-shift, 0] <= most)
         if not len(near):
             break
         a, b = near, near + shift
         open_ = label[a] != label[b]
+        tally["first"] += len(a)
         a, b = a[open_], b[open_]
+        tally["open"] += len(a)
         good = np.abs(table[a] - table[b]).max(1, initial=0) <= most
         a, b = a[good], b[good]
         sure = np.bitwise_count(bits[a] ^ bits[b]) <= most
+        tally["verified"] += len(a)
+        tally["linked"] += int(sure.sum())
         for i, j in zip(a[sure].tolist(), b[sure].tolist(), strict=True):
             x, y = label[i], label[j]
             if x != y:
@@ -138,7 +149,11 @@ def near_edges(fps: DataFrame, most: int = 3, chunk: int = CHUNK) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of each component, for nodes with an edge."""
+    """(node, root): the smallest node of each component, for nodes with an edge.
+
+    Labels jump, so the rounds grow with the logarithm of a component's longest path; a component that is not
+    settled after ``rounds`` of them is an error.
+    """
     edges = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     label = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     for _ in range(rounds):

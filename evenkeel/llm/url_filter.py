@@ -104,7 +104,9 @@ def filter_urls(
     base = base.select("id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canon"))
     rule, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
     base = base.withColumn("rule", rule).withColumn("ruled", verdict)
-    base = base.withColumn("block", F.when(F.col("canon") != "", _block(F.col("canon"), blocks)))
+    # a page without host asks no block; it has a number below 0 of its own, so that such pages do not meet in one task
+    nowhere = -1 - F.pmod(F.xxhash64("id", "path"), F.lit(1 << 20))
+    base = base.withColumn("block", F.when(F.col("canon") != "", _block(F.col("canon"), blocks)).otherwise(nowhere))
     probed = base.join(bloom, "block", "left")
     hit = F.coalesce(
         F.expr(" AND ".join(f"(l{i} & m{i}) = m{i}" for i in range(LANES))),
@@ -112,7 +114,8 @@ def filter_urls(
     )
     probed = probed.withColumns({f"m{i}": m for i, m in enumerate(_masks(F.col("canon")))}).withColumn("possible", hit)
     probed = materialize(probed.select("id", "host", "path", "canon", "rule", "ruled", "possible"), "probed")
-    # Only possible hits carry a key into the exact join; the rest match nothing and stay where they are.
+    # Only possible hits carry a key into the exact join; the rest match nothing and stay where they are.  The list's
+    # names are distinct and the join keeps the left side, so that AQE may split the pages of one hot URL.
     names = names.select(F.col("canon").alias("name"), F.lit(True).alias("yes")).hint("shuffle_hash")
     sure = probed.filter(~F.col("possible")).withColumn("listed", F.lit(False))
     maybe = probed.filter("possible").join(names, F.col("canon") == F.col("name"), "left")

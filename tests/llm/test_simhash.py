@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import xxhash
 
@@ -62,6 +64,19 @@ def test_edges_keep_every_component(spark):
     assert [star.get(s, s) for s in signed] == want
 
 
+def test_references_discard_pairs_that_share_a_block():
+    rng, tally = np.random.default_rng(5), Counter()
+    # 26 bits in common, as in a group, and the others at random but for some copies
+    group = rng.integers(0, 2**63, 2000, dtype=np.uint64) & ~np.uint64((1 << 26) - 1)
+    group = np.unique(np.concatenate([group, group[:50] ^ np.uint64(1 << 40)]))
+    edges = link_group(group.view(np.int64), 3, tally)
+    near = np.argwhere(np.triu(np.bitwise_count(group[:, None] ^ group[None, :]) <= 3, 1))
+    assert set(edges) == {(int(group[j]), int(group[i])) for i, j in near} and len(edges) >= 50
+    assert tally["pairs"] == len(group) * (len(group) - 1) // 2
+    assert tally["verified"] < tally["open"] / 20  # what the other 31 coordinates leave
+    assert tally["open"] <= tally["first"] < tally["pairs"] and tally["linked"] == len(edges)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}

@@ -62,3 +62,15 @@ def test_filter_has_false_positives_removed(spark):
     assert {r.page_id for r in rows if r.listed} == {i for i in range(3000) if i % 7 == 0}
     assert sum(r.possible for r in rows) > sum(r.listed for r in rows)
     assert many.limit(1).select(canonical(many.url)).first()[0] == "h.org/0"
+
+
+def test_filter_too_large_to_broadcast(spark, monkeypatch):
+    from evenkeel.llm import url_filter
+
+    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", 0)
+    urls = [*URLS, *["http://a.org/p"] * 300, *[None] * 300]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    bad = spark.createDataFrame([("http://a.org/p",), (None,)], "url string")
+    got = filter_urls(pages, bad, RULES)
+    want = sorted(str((i, *verdict(u, {canon("http://a.org/p")}))) for i, u in enumerate(urls))
+    assert sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got.collect()) == want
