@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import ratio, unpivot
 from ..functions.quantiles import exact_quantiles
+from ..sources.tabular import materialize
 
 
 def infer_types(df: DataFrame, cols: list[str], legacy: bool = False, approximate: bool = False) -> DataFrame:
@@ -76,9 +77,17 @@ def qcut(df: DataFrame, fit: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 
 def levels(fit: DataFrame, col: str) -> DataFrame:
-    """(level, code): sorted levels of the fit partition from 0; as many rows as levels."""
+    """(level, code): sorted levels of the fit partition from 0; as many rows as levels.
+
+    Levels are numbered inside ranges of them, after the totals of the ranges before, so that no task sees all.
+    """
     distinct = fit.select(F.col(col).cast("string").alias("level")).filter("level is not null").distinct()
-    return distinct.withColumn("code", (F.row_number().over(Window.orderBy("level")) - 1).cast("int"))
+    # written, so that a range is the same one wherever it is read
+    placed = materialize(distinct.repartitionByRange("level").withColumn("_r", F.spark_partition_id()), "levels")
+    upto = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = placed.groupBy("_r").agg(F.count("*").alias("n")).select("_r", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_r").orderBy("level")) - 1
+    return placed.withColumn("_i", inside).join(before, "_r").select("level", (F.col("_before") + F.col("_i")).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, fit: DataFrame, col: str) -> DataFrame:
@@ -89,6 +98,12 @@ def label_encode(df: DataFrame, fit: DataFrame, col: str) -> DataFrame:
     return out.withColumn(f"{col}_code", F.coalesce("code", "_k")).drop("level", "code", "_k")
 
 
+def label_decode(df: DataFrame, fit: DataFrame, col: str, code: str) -> DataFrame:
+    """Adds ``<col>_level``: the level of the fit partition that a code stands for; null for the sentinel, or a null code."""
+    lv = levels(fit, col).select(F.col("level").alias("_level"), F.col("code").alias("_code"))
+    return df.join(lv, F.col(code) == F.col("_code"), "left").withColumnRenamed("_level", f"{col}_level").drop("_code")
+
+
 def partition_encode(df: DataFrame, fit: DataFrame, cats: list[str], nums: list[str]) -> DataFrame:
     """Fitted codes for categories; numbers that do not parse become 0."""
     for c in cats:

@@ -79,6 +79,15 @@ def label_encode(spark, sf):
     return P.label_encode(df, _fit(df).filter("seg <> 'BUILDING'"), "seg").select("record_key", "seg_code")
 
 
+@query(f"WITH {COHORT}, {_LEVELS} SELECT record_key, level AS seg_level FROM cohort LEFT JOIN lv ON seg = level")
+def label_decode(spark, sf):
+    """Codes of the fitted levels and back: a level that was not fitted has none."""
+    df = order_cohort(spark, sf)
+    fit = _fit(df).filter("seg <> 'BUILDING'")
+    coded = P.label_encode(df, fit, "seg").select("record_key", "seg_code")
+    return P.label_decode(coded, fit, "seg", "seg_code").select("record_key", "seg_level")
+
+
 @query(f"WITH {COHORT}, {_LEVELS} SELECT record_key, coalesce(code, (SELECT count(*) FROM lv)) AS seg_code, round(coalesce(avg_disc, 0), 6) AS avg_disc_num FROM cohort LEFT JOIN lv ON seg = level")
 def partition_encode(spark, sf):
     df = order_cohort(spark, sf)

@@ -210,6 +210,18 @@ def test_transform_states(spark):
     assert spark.range(1).select(X.overflows(F.lit(10.0), 39), X.overflows(F.lit(10.0), 37), X.power(F.lit(-2.0), 3)).first()[:] == (True, False, -8.0)
 
 
+def test_levels_are_numbered_over_ranges(spark):
+    df = spark.range(4000).select(F.concat(F.lit("v"), (F.col("id") * 37 % 1500).cast("string")).alias("c")).unionByName(spark.createDataFrame([(None,)], "c string"))
+    names = sorted({f"v{i}" for i in range(1500)})
+    assert {r.level: r.code for r in P.levels(df, "c").collect()} == {x: i for i, x in enumerate(names)}
+    seen = df.filter("c < 'v5'")
+    coded = P.label_encode(df, seen, "c")
+    known = [x for x in names if x < "v5"]
+    got = {(r.c, r.c_code, r.c_level) for r in P.label_decode(coded, seen, "c", "c_code").collect()}
+    assert got == {(x, known.index(x), x) if x in known else (x, len(known), None) for x in [*names, None]}
+    assert P.levels(df.limit(0), "c").collect() == [] and {r.c_code for r in P.label_encode(df, df.limit(0), "c").collect()} == {0}
+
+
 def test_prep(spark):
     df = spark.createDataFrame([(i, float(i), "ab"[i % 2]) for i in range(10)], "k int, x double, c string")
     assert {r.c: r.c_code for r in P.label_encode(df, df.filter("c = 'a'"), "c").collect()} == {"a": 0, "b": 1}
