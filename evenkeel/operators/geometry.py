@@ -92,7 +92,8 @@ def div_nearest(df: DataFrame, attr: str, x: str, a: str, b: str, ranges: int =
     # at most ``ranges`` rows
     border = per.select("r", *[F.min(f"mn{s}").over(first).alias(f"next{s}") for s in (1, 0)], *[F.max(f"mx{s}").over(last).alias(f"prev{s}") for s in (1, 0)])
     rows = rows.join(F.broadcast(border), "r")
-    up, down = Window.partitionBy("r").orderBy("x").rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy("r").orderBy("x").rangeBetween(0, Window.unboundedFollowing)
+    # both frames begin with the partition, as one that ends with it is taken anew for each row
+    up, down = (Window.partitionBy("r").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow) for order in (F.asc("x"), F.desc("x")))
     other = lambda s: F.when(F.col("ga") != s, F.col("x"))
     cols = {}
     for s, n in ((True, 0), (False, 1)):
