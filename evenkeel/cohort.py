@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.columns import ratio
+
 
 @dataclass(frozen=True)
 class Cohort:
@@ -30,11 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived survey cohort: one row per order."""
+    """The derived survey cohort: one row per order.
+
+    ``avg_disc`` sums whole millionths, so that it is the same double in any order of the lines; a discount that is
+    null or not finite does not count.
+    """
+    units = F.round(F.col("l_discount") * 1e6).try_cast("bigint")
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.count("*").alias("n_lines"), F.avg("l_discount").alias("avg_disc"))
+        .agg(F.count("*").alias("n_lines"), ratio(F.sum(units), 1_000_000 * F.count(units)).alias("avg_disc"))
     )
     customer = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
