@@ -41,3 +41,14 @@ def test_mean_discount_has_no_order(spark, sf, turned):
 
 def test_geometry_diagnostics_on_other_orders(spark, sf, turned):
     same_as_sql(spark, "geometry_diagnostics", turned, f"{sf}/lineitem.parquet")
+
+
+def test_median_impute_at_a_bound(spark, sf, tmp_path):
+    """Added in ascending order these four discounts have a mean above 0.08, in descending order 0.08."""
+    for name in ("orders", "customer", "nation"):
+        os.symlink(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    odd, even = "array(0.05D, 0.07D, 0.1D, 0.1D)", "array(0.03D, 0.03D, 0.03D, 0.03D)"
+    discounts = f"posexplode(if(o_orderkey % 3 = 0, {even}, {odd})) AS (l_linenumber, l_discount)"
+    lines = table(spark, sf, "orders").selectExpr("o_orderkey AS l_orderkey", discounts)
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    same_as_sql(spark, "median_impute", str(tmp_path), f"{tmp_path}/lineitem.parquet/*.parquet")
