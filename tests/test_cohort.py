@@ -52,3 +52,7 @@ def test_median_impute_at_a_bound(spark, sf, tmp_path):
     lines = table(spark, sf, "orders").selectExpr("o_orderkey AS l_orderkey", discounts)
     lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     same_as_sql(spark, "median_impute", str(tmp_path), f"{tmp_path}/lineitem.parquet/*.parquet")
+
+
+def test_qcut_bins_on_other_orders(spark, sf, turned):
+    same_as_sql(spark, "qcut_bins", turned, f"{sf}/lineitem.parquet")
