@@ -56,3 +56,7 @@ def test_median_impute_at_a_bound(spark, sf, tmp_path):
 
 def test_qcut_bins_on_other_orders(spark, sf, turned):
     same_as_sql(spark, "qcut_bins", turned, f"{sf}/lineitem.parquet")
+
+
+def test_select_roles_on_other_orders(spark, sf, turned):
+    same_as_sql(spark, "select_roles", turned, f"{sf}/lineitem.parquet")
