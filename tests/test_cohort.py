@@ -60,3 +60,7 @@ def test_qcut_bins_on_other_orders(spark, sf, turned):
 
 def test_select_roles_on_other_orders(spark, sf, turned):
     same_as_sql(spark, "select_roles", turned, f"{sf}/lineitem.parquet")
+
+
+def test_validity_check_on_other_orders(spark, sf, turned):
+    same_as_sql(spark, "validity_check", turned, f"{sf}/lineitem.parquet")
