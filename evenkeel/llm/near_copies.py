@@ -4,9 +4,10 @@ Sets of that similarity share one of the first hashes of either in any order of
 of the set (and one more) is taken: these are equi-join keys that miss no pair, where blocks of a fingerprint
 would have to be a few bits wide.  The order is by hash, but keys that very many sets turn out to have are put
 last, so that what is common does not bring texts together that share nothing else.  Pairs that share a key
-are held against each other by size and, from 16 shingles on, by 128-bit SimHash; a distance of 40 is beyond
-what sets of the similarity have, so that it discards unrelated texts only (distances to references would
-discard nothing at that width).  Components of what is left hold every group whole, and inside them the sets
+are held against each other by size and, from 16 shingles on, by 128-bit SimHash, with the pivot table of
+``simhash``: each fingerprint has its distances to 32 reference fingerprints, a pair is discarded if any of them
+differs by more than 40, and survivors are verified on their bits.  A distance of 40 is beyond
+what sets of the similarity have, so that it discards unrelated texts only.  Components of what is left hold every group whole, and inside them the sets
 themselves decide.
 """
 
@@ -38,6 +39,8 @@ CHUNK, TEXTS = 4096, 256
 #: Rows that may be broadcast: a row number or a key, and two more numbers at most.
 BROADCAST_ROWS = 1_000_000
 _ODD = np.array([xxhash.xxh64_intdigest(f"w{i}", 0) | 1 for i in range(WORDS)], np.uint64)
+#: The reference fingerprints of the pivot table.
+REFERENCES = np.array([[xxhash.xxh64_intdigest(f"r{i}.{j}", 0) for j in range(PARTS)] for i in range(32)], np.uint64)
 _ADD = np.array([xxhash.xxh64_intdigest(f"p{i}", 0) for i in range(PARTS)], np.uint64)
 
 
@@ -130,19 +133,28 @@ def stars(label: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
     return [(x, r) for x, r in zip(names.tolist(), root.tolist(), strict=True) if x != r]
 
 
-def possible(block: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the sizes and fingerprints of rows (name, size, fp...) allow the similarity."""
+def pivots(block: np.ndarray) -> np.ndarray:
+    """Distances of each row's fingerprint to the references."""
+    fp = block[:, 2:].view(np.uint64)
+    return sum(np.bitwise_count(fp[:, None, j] ^ REFERENCES[None, :, j]).astype(np.int16) for j in range(PARTS))
+
+
+def possible(block: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sizes and fingerprints of rows (name, size, fp...) with their pivot table allow the similarity."""
     s, t = block[a, 1], block[b, 1]
     fits = np.minimum(s, t) * SHARE[1] >= np.maximum(s, t) * SHARE[0]
+    wide = np.flatnonzero(fits & (np.minimum(s, t) >= LEAST))
+    fits[wide] = False
+    wide = wide[np.abs(table[a[wide]] - table[b[wide]]).max(1, initial=0) <= MOST]
     fp = block[:, 2:].view(np.uint64)
-    fits[fits] = (np.bitwise_count(fp[a[fits]] ^ fp[b[fits]]).sum(1) <= MOST) | (np.minimum(s, t)[fits] < LEAST)
+    fits[wide] = np.bitwise_count(fp[a[wide]] ^ fp[b[wide]]).sum(1) <= MOST
     return fits
 
 
 def link_possible(block: np.ndarray) -> list[tuple[int, int]]:
     """Star edges among the rows of one group."""
     block = np.ascontiguousarray(block[np.argsort(block[:, 1], kind="stable")])
-    m, label = len(block), np.arange(len(block))
+    m, label, table = len(block), np.arange(len(block)), pivots(block)
     for shift in range(1, m):
         a = np.flatnonzero(block[shift:, 1] * SHARE[0] <= block[:-shift, 1] * SHARE[1])
         a = a[label[a] != label[a + shift]]
@@ -150,7 +162,7 @@ def link_possible(block: np.ndarray) -> list[tuple[int, int]]:
             if (label == label[0]).all() or not (block[shift:, 1] * SHARE[0] <= block[:-shift, 1] * SHARE[1]).any():
                 break
             continue
-        a = a[possible(block, a, a + shift)]
+        a = a[possible(block, table, a, a + shift)]
         for i in a.tolist():
             unite(label, i, i + shift)
     return stars(label, block[:, 0])
@@ -202,9 +214,10 @@ def possible_edges(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
             group, size = np.repeat(np.arange(len(cut) - 1), np.diff(cut)), np.diff(cut)
             small = np.flatnonzero(size[group] <= 8)
             some, of, found = np.ascontiguousarray(block[small, 3:]), group[small], []
+            table = pivots(some)
             for shift in range(1, 8):
                 a = np.flatnonzero(of[shift:] == of[:-shift])
-                a = a[possible(some, a, a + shift)]
+                a = a[possible(some, table, a, a + shift)]
                 found.append(np.stack([some[a + shift, 0], some[a, 0]], 1))
             pairs = [tuple(e) for e in np.unique(np.concatenate(found), axis=0).tolist()]
             for g in np.flatnonzero(size > 8).tolist():

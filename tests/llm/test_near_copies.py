@@ -4,6 +4,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
+from evenkeel.llm import near_copies
 from evenkeel.llm.near_copies import LEAST, MOST, components, fingerprint, one_of_each, possible_edges, prefix, shingle_set, sure_edges, uncrowded, with_sets
 from evenkeel.llm.queries import read
 
@@ -118,3 +119,24 @@ def test_ids(spark, none):
     kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (1, b), (0, c), (3, "")])
     assert one_of_each(none).collect() == []
+
+
+def test_pivots_discard_before_bits_are_compared():
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 2**64, (40, near_copies.PARTS), np.uint64)
+    bits = np.unpackbits(fp.view(np.uint8).reshape(40, -1), axis=1)
+    for i in range(20):  # the later half are copies of the first, some bits apart
+        flip = rng.choice(bits.shape[1], 4 * i, replace=False)
+        bits[20 + i] = bits[i]
+        bits[20 + i, flip] ^= 1
+    fp = np.packbits(bits, axis=1).view(np.uint64)
+    block = np.ascontiguousarray(np.concatenate([np.stack([np.arange(40), np.full(40, 50)], 1), fp.view(np.int64)], 1))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    table = near_copies.pivots(block)
+    apart = np.bitwise_count(fp[a] ^ fp[b]).sum(1)
+    assert (np.abs(table[a] - table[b]).max(1) <= apart).all()
+    assert (near_copies.possible(block, table, a, b) == (apart <= near_copies.MOST)).all()
+    # a pair that the table tells apart is discarded, whatever its bits
+    table[0, 7] += 200
+    got = near_copies.possible(block, table, a, b)
+    assert not got[(a == 0) != (b == 0)].any() and got[a == b].all()
