@@ -1,9 +1,9 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio.
 
-Words and word pairs hash into ``2**bits`` buckets.  One multinomial is counted over a bounded sample of
-trusted documents, one over all documents.  A document's score is the mean log ratio of its n-grams.  A
-quarter of the trusted sample is not counted: the threshold is a fixed quantile of its scores, as they are
-like those of any other document as good.
+Words and word pairs hash into ``2**bits`` buckets.  One multinomial is counted over the trusted documents, one
+over all documents.  A document's score is the mean log ratio of its n-grams.  Every trusted document is used: three
+quarters, by hash of the id, are counted, and the threshold is a fixed quantile of the scores of all others, as
+these are like those of any other document as good.
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..sources.package import ship
 from .ragged import slices
 from .scratch import materialize
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Trusted ids that may be broadcast; with more of them, documents are joined by id.
+BROADCAST_IDS = 4_000_000
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -76,15 +79,13 @@ def score_documents(
     trusted: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    sample_docs: int = 20_000,
     bits: int = 18,
     quantile: float = 0.002,
     smoothing: float = 1.0,
 ) -> DataFrame:
     """One row per input row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, threshold.
 
-    ``trusted`` is a table of ids; ``sample_docs`` bounds how many of them are learned from (taken by hash
-    of the id).  The raw counts are over all documents.  Null or empty text has no words, counts of 0 and
+    ``trusted`` is a table of ids, all of which are learned from.  The raw counts are over all documents.  Null or empty text has no words, counts of 0 and
     score null, and a null id is never trusted.  A bucket's weight is the log of its share in the target
     over its share in the raw corpus; raw counts are smoothed by ``smoothing`` and target counts by as much
     in proportion to their total, so that a bucket that neither has is even at every size.  Without a trusted document every score is 0 and the
@@ -93,11 +94,10 @@ def score_documents(
     spark = docs.sparkSession
     ship(spark)
     ids = trusted.select(F.col(id_col).alias("d")).filter(F.col("d").isNotNull()).distinct()
-    n = max(1, ids.count())
-    ids = ids.filter(F.pmod(F.xxhash64("d"), F.lit(2**20)) < int(min(1.0, sample_docs / n) * 2**20))
     # 1: counted, 2: the threshold is taken from these
     ids = materialize(ids.withColumn("trusted", F.when(F.pmod(F.xxhash64("d", F.lit(1)), F.lit(4)) == 0, 2).otherwise(1)), "trusted")
-    base = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).join(F.broadcast(ids), "d", "left")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    base = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).join(ids, "d", "left")
     base = base.select("d", "t", F.coalesce("trusted", F.lit(0)).alias("trusted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,8 @@ def score_documents(
     kind = docs.schema[id_col].dataType.simpleString()
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     scored = materialize(base.mapInArrow(score, f"d {kind}, trusted int, {counts}, score double"), "scores")
-    threshold = scored.filter("trusted = 2").agg(F.percentile("score", quantile)).first()[0] if known else None
+    threshold = exact_quantiles(scored.filter("trusted = 2"), [], F.col("score"), [quantile]).first()[0] if known else None
+    threshold = threshold[0] if threshold else None
     return scored.withColumn("threshold", F.lit(threshold).cast("double")).withColumnRenamed("d", id_col)
 
 

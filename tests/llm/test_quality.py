@@ -90,3 +90,16 @@ def test_very_long_text(spark):
     docs = spark.range(1).selectExpr("id doc_id", "concat(repeat('one two three four five six seven eight nine ', 500000), 'end') text")
     row = apply_rules(score_documents(docs, docs)).first()
     assert (row.n_words, row.n_repeat_words, row.kept) == (4_500_001, 4_500_000, False)
+
+
+def test_every_trusted_document_counts(spark):
+    """Of 24,000 trusted documents with a word each of their own, all that are not held back raise their word."""
+    good = spark.range(24_000).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    docs = good.unionByName(spark.range(24_000, 48_000).selectExpr("id AS doc_id", "concat('u', id) AS text"))
+    got = score_documents(docs, good.select("doc_id"), quantile=0.5)
+    counted = got.filter("doc_id < 24000 AND pmod(xxhash64(doc_id, 1), 4) <> 0")
+    # in a few buckets several words meet
+    assert counted.filter("score > 0").count() >= 0.97 * counted.count()
+    held = sorted(r.score for r in got.filter("doc_id < 24000 AND pmod(xxhash64(doc_id, 1), 4) = 0").collect())
+    middle = (held[(len(held) - 1) // 2] + held[len(held) // 2]) / 2
+    assert abs(got.first().threshold - middle) < 1e-12
