@@ -19,7 +19,8 @@ COLS = ["price", "acctbal", "p1", "p2", "n_lines"]
 
 
 def _frames(spark, sf):
-    df = order_cohort(spark, sf)
+    # written once: fits and scores go over the rows many times, and would join and group the tables anew each time
+    df = materialize(order_cohort(spark, sf), "cohort")
     return df, df.filter("survey_year <= 1997")
 
 
