@@ -18,13 +18,16 @@ RANGES = 256
 BROADCAST_KEYS = 10_000
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: list[float], name: str = "q", most: int = 50_000, rounds: int = 6) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: list[float], name: str = "q", most: int = 50_000, rounds: int = 6, count: Column | None = None) -> DataFrame:
     """(keys, ``name``: array of the quantiles), interpolated linearly between ranks; nulls do not count.
 
+    With ``count`` a row stands for so many equal ones.
     A key without a value has no row; without ``keys`` there is always one row.  Null keys are a key.
     """
     key = F.struct(*keys) if keys else F.lit(0)
-    rows = materialize(df.select(key.alias("k"), value.cast("double").alias("v")).filter("v is not null"), "values")
+    rows = df.select(key.alias("k"), value.cast("double").alias("v"), *([] if count is None else [count.alias("c")]))
+    rows = materialize(rows.filter("v is not null"), "values")
+    size = F.count("*") if count is None else F.sum("c")
     grid = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     approximate = F.percentile_approx("v", grid, 10 * RANGES).alias("cuts")
 
@@ -40,7 +43,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: list[f
         low, high = F.get("cuts", F.col("r") - 1), F.get("cuts", F.col("r"))
         if "lo" in inside.columns:
             low, high = F.coalesce(low, "lo"), F.coalesce(high, "hi")
-        hist = joined.groupBy(*at, *keep, "r", low.alias("low"), high.alias("high")).agg(F.count("*").alias("n"))
+        hist = joined.groupBy(*at, *keep, "r", low.alias("low"), high.alias("high")).agg(size.alias("n"), F.count("*").alias("m"))
         before = Window.partitionBy(*at).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
         return hist.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
@@ -52,18 +55,18 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: list[f
     hist = hist.withColumn("t", F.explode(F.array(*wanted)))
     held = (F.col("before") <= F.col("t.rank")) & (F.col("t.rank") < F.col("before") + F.col("n"))
     place = ["k", "j", "s"]
-    target = hist.filter(held).select("k", "t.*", F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("before").alias("below"), "n")
+    target = hist.filter(held).select("k", "t.*", F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("before").alias("below"), "m")
     for _ in range(rounds):
         target = materialize(target, "brackets")
         within = (F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") <= F.col("hi")))
-        other = checked(target.drop("n").withColumnRenamed("k", "of"))
+        other = checked(target.drop("m").withColumnRenamed("k", "of"))
         inside = rows.join(other, (F.col("k") == F.col("of")) & within).drop("of")
-        if not (target.agg(F.max("n")).first()[0] or 0) > most:
+        if not (target.agg(F.max("m")).first()[0] or 0) > most:
             break
         hist = narrowed(inside, place, ["pos", "rank", "lo", "hi", "below"])
         held = (F.col("below") + F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("before") + F.col("n"))
-        target = hist.filter(held).select(*place, "pos", "rank", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("below") + F.col("before")).alias("below"), "n")
-    points = inside.groupBy(*place, "pos", "rank", "below", "v").agg(F.count("*").alias("n"))
+        target = hist.filter(held).select(*place, "pos", "rank", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("below") + F.col("before")).alias("below"), "m")
+    points = inside.groupBy(*place, "pos", "rank", "below", "v").agg(size.alias("n"))
     upto = Window.partitionBy(*place).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     points = points.withColumn("end", F.col("below") + F.sum("n").over(upto)).filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n")))
     pair = points.groupBy("k", "j", "pos").agg(F.max(F.when(F.col("s") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("s") == 1, F.col("v"))).alias("b"))
@@ -74,9 +77,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: list[f
     return out.select(*[F.col("k")[c].alias(c) for c in keys], name) if keys else out.agg(F.first(name).alias(name))
 
 
-def with_quantiles(out: DataFrame, df: DataFrame, keys: list[str], value: Column, probs: list[float], names: list[str]) -> DataFrame:
+def with_quantiles(out: DataFrame, df: DataFrame, keys: list[str], value: Column, probs: list[float], names: list[str], count: Column | None = None) -> DataFrame:
     """``out``, a row per key, with the quantiles of ``value`` in ``df`` as columns; null where a key has no value."""
-    q = exact_quantiles(df, keys, value, probs, "_q")
+    q = exact_quantiles(df, keys, value, probs, "_q", count=count)
     other = q.withColumnsRenamed({c: f"_{c}" for c in keys})
     on = all_of([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]) if keys else F.lit(True)
     joined = out.join(other, on, "left") if keys else out.crossJoin(F.broadcast(other))  # a row per key, or one row

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by_attr, ratio, unpivot
 from ..functions.quantiles import with_quantiles
+from ..sources.tabular import materialize
 from .metrics import kish
 from .recode import positive_weight
 
@@ -161,14 +162,19 @@ def eligibility_summary(df: DataFrame, year: str, y_ok: Column, a_ok: Column, w:
 
 
 def weight_diagnostics(df: DataFrame, part: str, grp: str, w: str) -> DataFrame:
-    """(part, grp) and (part): n, sum, min, median, max, distinct and non-positive weights; grp null is the part."""
-    out = df.groupingSets([[part], [part, grp]], part, grp).agg(
-        F.count("*").alias("n"), F.sum(w).alias("w_sum"), F.min(w).alias("w_min"), F.max(w).alias("w_max"),
-        F.count_distinct(w).alias("w_distinct"), F.count_if(F.col(w) <= 0).alias("w_nonpositive"), F.grouping(grp).alias("_whole"),
+    """(part, grp) and (part): n, sum, min, median, max, distinct and non-positive weights; grp null is the part.
+
+    Rows are counted by weight once, so that what follows grows with the distinct weights of a group.
+    """
+    cells = materialize(df.groupBy(part, grp, F.col(w).alias("_v")).agg(F.count("*").alias("_n")), "weights")
+    both = cells.select(part, grp, "_v", "_n", F.explode(F.array(F.lit(0).cast("tinyint"), F.lit(1).cast("tinyint"))).alias("_whole"))  # each cell in its group and in its part
+    both = both.withColumn(grp, F.when(F.col("_whole") == 0, F.col(grp))).groupBy(part, grp, "_whole", "_v").agg(F.sum("_n").alias("_n"))
+    both = materialize(both, "weights")
+    out = both.groupBy(part, grp, "_whole").agg(
+        F.sum("_n").alias("n"), F.sum(F.col("_v") * F.col("_n")).alias("w_sum"), F.min("_v").alias("w_min"), F.max("_v").alias("w_max"),
+        F.count("_v").alias("w_distinct"), F.coalesce(F.sum(F.when(F.col("_v") <= 0, F.col("_n"))), F.lit(0)).alias("w_nonpositive"),
     )
-    both = df.select(part, grp, w, F.explode(F.array(F.lit(0).cast("tinyint"), F.lit(1).cast("tinyint"))).alias("_whole"))  # each row in its group and in its part
-    both = both.withColumn(grp, F.when(F.col("_whole") == 0, F.col(grp)))
-    out = with_quantiles(out, both, [part, grp, "_whole"], F.col(w), [0.5], ["w_median"]).drop("_whole")
+    out = with_quantiles(out, both, [part, grp, "_whole"], F.col("_v"), [0.5], ["w_median"], F.col("_n")).drop("_whole")
     return out.withColumn("status", F.when(F.col("w_nonpositive") == 0, "PASS").otherwise("FAIL"))
 
 
