@@ -142,10 +142,15 @@ def nearest(queries: DataFrame, points: DataFrame, dims: int, k: int, own: bool)
             d = np.sqrt((diff * diff).sum(2))
             if own:
                 d[part.key.to_numpy()[:, None] == keys[None, :]] = np.inf
-            pick = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows, best = np.repeat(part.row.to_numpy(), pick.shape[1]), np.take_along_axis(d, pick, 1).ravel()
-            ok = np.isfinite(best)
-            found.append(pd.DataFrame({"row": rows[ok], "d": best[ok], "other": keys[pick.ravel()][ok], "label": labels[pick.ravel()][ok]}))
+            # what is no farther than the k-th, in order of distance and key, k of each
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+            q, c = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+            order = np.lexsort((c, d[q, c], q))
+            q, c = q[order], c[order]
+            first = np.searchsorted(q, q)
+            ok = np.arange(len(q)) - first < k
+            q, c = q[ok], c[ok]
+            found.append(pd.DataFrame({"row": part.row.to_numpy()[q], "d": d[q, c], "other": keys[c], "label": labels[c]}))
         return pd.concat(found)
 
     other = points.schema["key"].dataType.simpleString()
