@@ -31,18 +31,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived survey cohort: one row per order.
+def mean_discounts(lines: DataFrame) -> DataFrame:
+    """(o_orderkey, n_lines, avg_disc): the mean of an order's discounts, the same double in any order of the lines.
 
-    ``avg_disc`` sums whole millionths, so that it is the same double in any order of the lines; a discount that is
-    null or not finite does not count.
+    Whole millionths are summed as integers, so that the mean of discounts of up to six decimals is exact but for one
+    rounding.  What a discount has beyond them is added in ascending order, as is all of one that is not finite or
+    from a million on; only orders with such discounts are in that second sum.
     """
-    units = F.round(F.col("l_discount") * 1e6).try_cast("bigint")
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.count("*").alias("n_lines"), ratio(F.sum(units), 1_000_000 * F.count(units)).alias("avg_disc"))
-    )
+    x = F.col("l_discount").cast("double")
+    units = F.when(F.abs(x) < 1e6, F.round(x * 1e6)).when(x.isNotNull(), 0.0).cast("bigint")
+    lines = lines.select(F.col("l_orderkey").alias("o_orderkey"), units.alias("u"), (x - units / 1e6).alias("r"))
+    finer = lines.filter("r <> 0").groupBy(F.col("o_orderkey").alias("_k")).agg(F.sort_array(F.collect_list("r")).alias("_r"))
+    finer = finer.select("_k", F.aggregate("_r", F.lit(0.0), lambda a, r: a + r).alias("_r"))
+    sums = lines.groupBy("o_orderkey").agg(F.count("*").alias("n_lines"), F.count("u").alias("_n"), F.sum("u").alias("_u"))
+    mean = ratio(F.col("_u"), 1_000_000 * F.col("_n")) + ratio(F.coalesce("_r", F.lit(0.0)), F.col("_n"))
+    return sums.join(finer, F.col("o_orderkey") == F.col("_k"), "left").select("o_orderkey", "n_lines", mean.alias("avg_disc"))
+
+
+def order_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived survey cohort: one row per order."""
+    lines = mean_discounts(table(spark, sf_dir, "lineitem"))
     customer = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )

@@ -1,6 +1,8 @@
 """The derived cohort on layouts that add the same lines in different orders."""
 
+import math
 import os
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -64,3 +66,55 @@ def test_select_roles_on_other_orders(spark, sf, turned):
 
 def test_validity_check_on_other_orders(spark, sf, turned):
     same_as_sql(spark, "validity_check", turned, f"{sf}/lineitem.parquet")
+
+
+@pytest.fixture(scope="session")
+def odd(spark, sf, tmp_path_factory):
+    """Orders with discounts of more than six decimals, from a million on, null or not finite."""
+    at = str(tmp_path_factory.mktemp("odd"))
+    for name in ("orders", "customer", "nation"):
+        os.symlink(f"{sf}/{name}.parquet", f"{at}/{name}.parquet")
+    kinds = [
+        "array(0.0800004D, 0.0800004D)",
+        "array(o_orderkey * 1e-10, o_orderkey * 3e-10, 0.03D, 0.0312345678912D)",
+        "array(2.5e6, 1e15, 0.05D, null)",
+        "array(double('Infinity'), 0.04D)",
+        "array(double('NaN'), 0.04D, double('-Infinity'))",
+        "array(double(null), double(null))",
+    ]
+    which = " ".join(f"WHEN {i} THEN {k}" for i, k in enumerate(kinds[2:], 100))
+    discounts = f"posexplode(CASE o_orderkey {which} ELSE if(o_orderkey % 2 = 0, {kinds[0]}, {kinds[1]}) END) AS (l_linenumber, l_discount)"
+    lines = table(spark, sf, "orders").selectExpr("o_orderkey AS l_orderkey", discounts)
+    lines.repartition(3).write.parquet(f"{at}/lineitem.parquet")
+    return at
+
+
+def same_as_sql_with_nan(spark, name, at):
+    """The query's rows, and that they are those of its SQL, NaN being like NaN."""
+    con = duckdb.connect()
+    for t in ("orders", "customer", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/lineitem.parquet/*.parquet'")
+    got = __spark_entry__.queries()[name](spark, at)
+    sql = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in got.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    rows = got.collect()
+    assert sorted(repr(tuple(r)) for r in rows) == sorted(repr(r) for r in sql)
+    return rows
+
+
+def test_select_roles_of_odd_discounts(spark, odd):
+    """No digit of a discount is cut, and none that is not finite is left out."""
+    lines = {}
+    for k, x in table(spark, odd, "lineitem").select("l_orderkey", "l_discount").collect():
+        lines.setdefault(k, []).append(x)
+    got = {r["record_key"]: r for r in order_cohort(spark, odd).select("record_key", "n_lines", "avg_disc").collect()}
+    for k, r in got.items():
+        xs = [x for x in lines[k] if x is not None]
+        assert r["n_lines"] == len(lines[k])
+        if not xs:
+            assert r["avg_disc"] is None
+        elif all(map(math.isfinite, xs)):
+            assert r["avg_disc"] == pytest.approx(float(sum(map(Fraction, xs)) / len(xs)), rel=1e-15)
+        else:
+            assert repr(r["avg_disc"]) == repr(sum(xs) / len(xs))
+    same_as_sql_with_nan(spark, "select_roles", odd)
