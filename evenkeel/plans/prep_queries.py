@@ -257,10 +257,13 @@ def apply_state(spark, sf):
     return rounded(X.apply_state(df, {"p1": {"power": 3}, "prio": {"merge": _MERGE}, "acctbal": "dropped"}))
 
 
-@query(
-    f"""WITH {COHORT} SELECT 'avg_disc' AS feature, count(*) FILTER (avg_disc IS NULL) AS n_null, CAST(0 AS BIGINT) AS n_inf, count(DISTINCT avg_disc) AS n_distinct, CASE WHEN count(*) > count(avg_disc) THEN 'NULLS' ELSE 'VALID' END AS status FROM cohort
- UNION ALL SELECT 'price', 0, 0, count(DISTINCT price), 'VALID' FROM cohort UNION ALL SELECT 'one', 0, 0, 1, 'COLLAPSED'"""
-)
+def _validity(col: str) -> str:
+    n_null, n_inf, n_distinct = f"count(*) FILTER ({col} IS NULL)", f"count(*) FILTER (isinf(CAST({col} AS DOUBLE)))", f"count(DISTINCT {col})"
+    status = f"CASE WHEN {n_null} > 0 THEN 'NULLS' WHEN {n_inf} > 0 THEN 'INFINITE' WHEN {n_distinct} < 2 THEN 'COLLAPSED' ELSE 'VALID' END"
+    return f"SELECT '{col}' AS feature, {n_null} AS n_null, {n_inf} AS n_inf, {n_distinct} AS n_distinct, {status} AS status FROM features"
+
+
+@query(f"WITH {COHORT}, features AS (SELECT *, 1 AS one FROM cohort) " + " UNION ALL ".join(map(_validity, ["avg_disc", "price", "one"])))
 def validity_check(spark, sf):
     return X.validity_check(order_cohort(spark, sf).withColumn("one", F.lit(1)), ["avg_disc", "price", "one"])
 

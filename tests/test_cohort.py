@@ -118,3 +118,20 @@ def test_select_roles_of_odd_discounts(spark, odd):
         else:
             assert repr(r["avg_disc"]) == repr(sum(xs) / len(xs))
     same_as_sql_with_nan(spark, "select_roles", odd)
+
+
+def test_validity_check_of_odd_discounts(spark, odd):
+    """The SQL counts infinite means as the query does; means that differ below a millionth stay apart."""
+    got = {r["feature"]: r for r in same_as_sql_with_nan(spark, "validity_check", odd)}
+    assert (got["avg_disc"]["n_inf"], got["avg_disc"]["status"]) == (1, "NULLS")
+    assert got["avg_disc"]["n_distinct"] > 500
+
+
+def test_validity_check_of_an_infinite_price(spark, sf, tmp_path):
+    for name in ("lineitem", "customer", "nation"):
+        os.symlink(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    price = "if(o_orderkey = 5, double('Infinity'), o_totalprice) AS o_totalprice"
+    table(spark, sf, "orders").selectExpr("* EXCEPT (o_totalprice)", price).coalesce(1).write.parquet(str(tmp_path / "orders"))
+    (part,) = (tmp_path / "orders").glob("*.parquet")
+    part.rename(tmp_path / "orders.parquet")
+    same_as_sql(spark, "validity_check", str(tmp_path), f"{sf}/lineitem.parquet")
