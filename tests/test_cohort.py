@@ -76,7 +76,7 @@ def odd(spark, sf, tmp_path_factory):
         os.symlink(f"{sf}/{name}.parquet", f"{at}/{name}.parquet")
     kinds = [
         "array(0.0800004D, 0.0800004D)",
-        "array(o_orderkey * 1e-10, o_orderkey * 3e-10, 0.03D, 0.0312345678912D)",
+        "array(o_orderkey * 1e-10, o_orderkey * 3e-10, 0.03D, 0.0712345678912D)",
         "array(2.5e6, 1e15, 0.05D, null)",
         "array(double('Infinity'), 0.04D)",
         "array(double('NaN'), 0.04D, double('-Infinity'))",
@@ -135,3 +135,9 @@ def test_validity_check_of_an_infinite_price(spark, sf, tmp_path):
     (part,) = (tmp_path / "orders").glob("*.parquet")
     part.rename(tmp_path / "orders.parquet")
     same_as_sql(spark, "validity_check", str(tmp_path), f"{sf}/lineitem.parquet")
+
+
+def test_median_impute_just_above_the_bound(spark, odd):
+    """A mean of 0.0800004 is out of the range up to 0.08, and gets the median of the valid rows."""
+    rows = {r["record_key"]: r["avg_disc_imp"] for r in same_as_sql_with_nan(spark, "median_impute", odd)}
+    assert 0.0 < rows[2] < 0.08 and {rows[k] for k in range(100, 104)} == {rows[2]}
