@@ -141,3 +141,15 @@ def test_median_impute_just_above_the_bound(spark, odd):
     """A mean of 0.0800004 is out of the range up to 0.08, and gets the median of the valid rows."""
     rows = {r["record_key"]: r["avg_disc_imp"] for r in same_as_sql_with_nan(spark, "median_impute", odd)}
     assert 0.0 < rows[2] < 0.08 and {rows[k] for k in range(100, 104)} == {rows[2]}
+
+
+def test_qcut_bins_of_discounts_that_differ_below_a_millionth(spark, sf, tmp_path):
+    """Ten bins of about as many fitted rows each, though the means are all 0.05 to six decimals."""
+    for name in ("orders", "customer", "nation"):
+        os.symlink(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    lines = table(spark, sf, "orders").selectExpr("o_orderkey AS l_orderkey", "1 AS l_linenumber", "0.05D + (o_orderkey * 7919) % 1500 * 1e-10 AS l_discount")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    sizes = [0] * 10
+    for r in same_as_sql_with_nan(spark, "qcut_bins", str(tmp_path)):
+        sizes[r["avg_disc_bin"]] += 1
+    assert min(sizes) > 100
