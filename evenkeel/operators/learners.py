@@ -13,7 +13,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tabular import materialize
 from .neighbours import nearest
 
 
@@ -61,8 +60,8 @@ def fit_score(df: DataFrame, fit: DataFrame, cols: list[str], y: str, kind: str,
     return positive_probability(model.transform(b)).select(*df.columns, "p_event")
 
 
-def knn_score(df: DataFrame, fit: DataFrame, key: str, cols: list[str], y: str, k: int = 5) -> DataFrame:
-    """(key, p_event, neighbours): the share of class 1 among the k nearest rows of ``fit``, exactly, for every row.
+def knn_score(df: DataFrame, fit: DataFrame, key: str, cols: list[str], y: str, k: int = 5, keep: list[str] | None = None) -> DataFrame:
+    """(key, p_event, neighbours, keep): the share of class 1 among the k nearest rows of ``fit``, exactly, for every row.
 
     Features are standardised; a row of the same key is not its own neighbour; of equally near ones the smaller
     key wins.  ``fit`` of k rows or fewer gives what there is, null without any.  A null key is a row like any
@@ -70,13 +69,14 @@ def knn_score(df: DataFrame, fit: DataFrame, key: str, cols: list[str], y: str,
     """
     a, b = with_features(df, fit, cols, y)
     x = vector_to_array("features").alias("x")
-    rows = materialize(b.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), x), "queries")
-    near = nearest(rows, a.select(F.col(key).alias("key"), F.col("label"), x), len(cols), k, True)
-    out = rows.select("row", "key").join(near, "row", "left")
-    return out.select(
-        F.col("key").alias(key),
+    about = F.struct(F.col(key).alias("key"), *[F.col(c).alias(c) for c in keep or []]).alias("about")
+    rows = b.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), x, about)
+    near = nearest(rows, a.select(F.col(key).alias("key"), F.col("label"), x), len(cols), k, True, ["about"])
+    return near.select(
+        F.col("about.key").alias(key),
         F.aggregate("near", F.lit(0.0), lambda s, v: s + v["label"], lambda s: s / F.nullif(F.size("near"), F.lit(0))).alias("p_event"),
-        F.coalesce(F.array_size("near"), F.lit(0)).cast("long").alias("neighbours"),
+        F.size("near").cast("long").alias("neighbours"),
+        *[F.col("about")[c].alias(c) for c in keep or []],
     )
 
 

@@ -68,8 +68,7 @@ p AS (SELECT q.survey_year, q.y, list_avg(arg_min(t.y, (q.a - t.a) * (q.a - t.a)
 )
 def clf_knn(spark, sf):
     df, fit = _frames(spark, sf)
-    out = L.knn_score(df, fit, "record_key", ["price", "acctbal"], "y")
-    return _summary(df.select("record_key", "survey_year", "y").join(out, "record_key"))
+    return _summary(materialize(L.knn_score(df, fit, "record_key", ["price", "acctbal"], "y", keep=["survey_year", "y"]), "scored"))
 
 
 @query()
