@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -27,9 +27,9 @@ from ..sources.package import ship
 from ..sources.tabular import materialize
 
 #: Cells at most, points of a cell that are wanted where that allows them, splits of a cell, and queries of a slice.
-CELLS, POINTS, WAYS, SLICE = 65_536, 8_192, 16, 16_384
-#: Points of a leaf inside a cell, and queries that are taken side by side.
-LEAF, SIDE = 16, 4_096
+CELLS, POINTS, WAYS, SLICE = 65_536, 8_192, 32, 16_384
+#: Points of a leaf inside a cell, splits there, and queries that are taken side by side.
+LEAF, FORKS, SIDE = 16, 16, 4_096
 
 
 def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -37,66 +37,60 @@ def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
-def distance(x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    diff = x - z
-    return np.sqrt((diff * diff).sum(-1))
+def norm(parts: Iterator[np.ndarray]) -> np.ndarray:
+    """Euclidean norm of vectors whose coordinates come one after the other."""
+    return np.sqrt(reduce(np.add, (v * v for v in parts)))
 
 
 class Boxes:
     """Levels of boxes: per level arrays lo, hi (cells, dimensions), n, and the first child of each in the next level.
 
-    Made of the lowest level and, for each level above it, the first lowest box of each of its boxes.
+    Made of the lowest level and, for each level above it, the first lowest box of each of its boxes.  Coordinates are
+    kept by dimension.
     """
 
     def __init__(self, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, leaf: np.ndarray, above: list[np.ndarray]):
         self.leaf = leaf
-        self.levels = [(np.minimum.reduceat(lo, b), np.maximum.reduceat(hi, b), np.add.reduceat(n, b)) for b in above] + [(lo, hi, n)]
-        below = [*above[1:], np.arange(len(lo))]
-        self.child = [np.searchsorted(c, np.append(b, len(lo))) for b, c in zip(above, below, strict=False)]
+        lo, hi = np.ascontiguousarray(lo.T), np.ascontiguousarray(hi.T)
+        self.levels = [(np.minimum.reduceat(lo, b, 1), np.maximum.reduceat(hi, b, 1), np.add.reduceat(n, b)) for b in above] + [(lo, hi, n)]
+        below = [*above[1:], np.arange(len(n))]
+        self.child = [np.searchsorted(c, np.append(b, len(n))) for b, c in zip(above, below, strict=False)]
 
     def home(self, x: np.ndarray) -> np.ndarray:
         """The lowest box of each query, by its nearest box level by level."""
-        lo, hi, _ = self.levels[0]
-        at = np.zeros(len(x), np.int64)
-        if len(lo) > 1:
-            at = self._nearest(x, lo, hi, at, np.full(len(x), len(lo)))
-        for (lo, hi, _), child in zip(self.levels[1:], self.child, strict=True):
-            at = self._nearest(x, lo, hi, child[at], child[at + 1])
+        x = np.ascontiguousarray(x.T)
+        at = begin = np.zeros(x.shape[1], np.int64)
+        end = begin + len(self.levels[0][2])
+        for level, (lo, hi, _) in enumerate(self.levels):
+            if level:
+                begin, end = self.child[level - 1][at], self.child[level - 1][at + 1]
+            at, least = begin, np.full(x.shape[1], np.inf)
+            for j in range((end - begin).max(initial=0)):
+                other = np.minimum(begin + j, end - 1)
+                d = norm(np.maximum(np.maximum(a[other] - v, v - b[other]), 0) for v, a, b in zip(x, lo, hi, strict=True))
+                at, least = np.where(d < least, other, at), np.fmin(d, least)
         return at
 
-    @staticmethod
-    def _nearest(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        best, least = begin.copy(), np.full(len(x), np.inf)
-        for j in range((end - begin).max(initial=0)):
-            at = np.minimum(begin + j, end - 1)
-            d = np.maximum(np.maximum(lo[at] - x, x - hi[at]), 0)
-            d = (d * d).sum(1)
-            nearer = d < least
-            best[nearer], least[nearer] = at[nearer], d[nearer]
-        return best
-
     def reach(self, x: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, leaf) of the cells that may hold one of the ``k`` nearest points of each query, no farther than its bound if there is one."""
         q, at = self.lowest(x, k, bound)
         return q, self.leaf[at]
 
     def lowest(self, x: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        lo = self.levels[0][0]
-        q, at = np.repeat(np.arange(len(x)), len(lo)), np.tile(np.arange(len(lo)), len(x))
-        bound = np.full(len(x), np.inf) if bound is None else bound.copy()
+        x, top = np.ascontiguousarray(x.T), len(self.levels[0][2])
+        queries = np.arange(x.shape[1])
+        q, at = np.repeat(queries, top), np.tile(np.arange(top), len(queries))
+        bound = np.full(len(queries), np.inf) if bound is None else bound.copy()
         open_ = np.isinf(bound).any()
         for level, (lo, hi, n) in enumerate(self.levels):
-            y = x[q]
-            below, over = lo[at] - y, y - hi[at]
-            near = np.maximum(np.maximum(below, over), 0)
-            near = np.sqrt((near * near).sum(1))
+            sides = [(a[at] - v, v - b[at]) for v, a, b in ((v[q], a, b) for v, a, b in zip(x, lo, hi, strict=True))]
+            near = norm(np.maximum(np.maximum(below, over), 0) for below, over in sides)
             if open_:
-                far = np.maximum(np.abs(below), np.abs(over))
-                far = np.sqrt((far * far).sum(1))
+                far = norm(np.maximum(np.abs(below), np.abs(over)) for below, over in sides)
                 # boxes by their farthest point, until they hold k: all k nearest lie within that
                 order = np.lexsort((far, q))
                 held = np.cumsum(n[at][order])
-                first = np.searchsorted(q[order], np.arange(len(x)))
+                first = np.searchsorted(q[order], queries)
                 held -= np.where(first > 0, held[np.maximum(first - 1, 0)], 0)[q[order]]
                 enough = np.flatnonzero(held >= k)
                 np.minimum.at(bound, q[order][enough], far[order][enough])
@@ -116,14 +110,15 @@ class Leaves:
         order, begin, above = np.arange(len(z)), np.zeros(1, np.int64), []
         while (longest := (count := np.diff(np.append(begin, len(z)))).max()) > size:
             above.append(begin)
-            ways = min(WAYS, -(-longest // size))
+            ways = min(FORKS, -(-longest // size))
             block = np.repeat(np.arange(len(begin)), count)
             widest = (np.maximum.reduceat(z[order], begin) - np.minimum.reduceat(z[order], begin)).argmax(1)
             order = order[np.lexsort((z[order, widest[block]], block))]
             branch = (np.arange(len(z)) - begin[block]) * ways // count[block]
             begin = np.concatenate([[0], np.flatnonzero(np.diff(block * ways + branch)) + 1])
-        self.order, self.z, self.begin, self.count = order, z[order], begin, count
-        lo, hi = np.minimum.reduceat(self.z, begin), np.maximum.reduceat(self.z, begin)
+        z = z[order]
+        self.order, self.z, self.begin, self.count = order, np.ascontiguousarray(z.T), begin, count
+        lo, hi = np.minimum.reduceat(z, begin), np.maximum.reduceat(z, begin)
         self.boxes = Boxes(lo, hi, count, np.arange(len(begin)), [np.searchsorted(begin, b) for b in above])
 
     def nearest(self, x: np.ndarray, k: int, wanted: int, bound: np.ndarray, mine: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,14 +130,15 @@ class Leaves:
         home = self.boxes.home(x)
         p = self.begin[home][:, None] + np.arange(self.count.max())
         inside = p < (self.begin + self.count)[home][:, None]
-        p = np.minimum(p, len(self.z) - 1)
-        d = np.where(inside & (own[p] != mine[:, None]), distance(x[:, None, :], self.z[p]), np.inf)
+        p = np.minimum(p, len(own) - 1)
+        by = np.ascontiguousarray(x.T)
+        d = np.where(inside & (own[p] != mine[:, None]), norm(v[:, None] - z[p] for v, z in zip(by, self.z, strict=True)), np.inf)
         if d.shape[1] >= k:
             bound = np.fmin(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
         q, at = self.boxes.lowest(x, wanted, bound)
         p = ragged(self.begin[at], self.count[at])
         q = np.repeat(q, self.count[at])
-        d = distance(x[q], self.z[p])
+        d = norm(v[q] - z[p] for v, z in zip(by, self.z, strict=True))
         keep = (d <= bound[q] * (1 + 1e-12)) & np.isfinite(d) & (own[p] != mine[q])
         q, p, d = q[keep], self.order[p[keep]], d[keep]
         order = np.lexsort((p, d, q))
@@ -207,7 +203,7 @@ def nearest(queries: DataFrame, points: DataFrame, dims: int, k: int, own: bool,
         return none.limit(0) if keep is None else none
     wanted = k + copies if own else k
     # a query leaves out as many points as there are copies of a key, so no place needs more than these
-    place = Window.partitionBy("x").orderBy("key", "label")
+    place = Window.partitionBy(*[F.get("x", F.lit(i)) for i in range(dims)]).orderBy("key", "label")
     points = materialize(points.withColumn("_rank", F.row_number().over(place)).filter(F.col("_rank") <= wanted).drop("_rank"), "places")
     points, boxes = cells_of(points, dims, points.count())
     tree = spark.sparkContext.broadcast(boxes)
