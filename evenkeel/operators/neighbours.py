@@ -28,8 +28,8 @@ from ..sources.tabular import materialize
 
 #: Cells at most, points of a cell that are wanted where that allows them, splits of a cell, and queries of a slice.
 CELLS, POINTS, WAYS, SLICE = 65_536, 8_192, 32, 16_384
-#: Points of a leaf inside a cell, splits there, and queries that are taken side by side.
-LEAF, FORKS, SIDE = 16, 16, 4_096
+#: Points of a leaf inside a cell, splits there, and queries that are taken side by side, with as many pairs at most (one query may have more).
+LEAF, FORKS, SIDE, PAIRS = 16, 16, 4_096, 2_000_000
 
 
 def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -73,14 +73,14 @@ class Boxes:
 
     def reach(self, x: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, leaf) of the cells that may hold one of the ``k`` nearest points of each query, no farther than its bound if there is one."""
-        q, at = self.lowest(x, k, bound)
+        q, at = self.lowest(np.ascontiguousarray(x.T), k, np.full(len(x), np.inf) if bound is None else bound)
         return q, self.leaf[at]
 
-    def lowest(self, x: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        x, top = np.ascontiguousarray(x.T), len(self.levels[0][2])
-        queries = np.arange(x.shape[1])
+    def lowest(self, x: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by number of the lowest box, in order of the queries; ``x`` is by dimension."""
+        top, queries = len(self.levels[0][2]), np.arange(x.shape[1])
         q, at = np.repeat(queries, top), np.tile(np.arange(top), len(queries))
-        bound = np.full(len(queries), np.inf) if bound is None else bound.copy()
+        bound = bound.copy()
         open_ = np.isinf(bound).any()
         for level, (lo, hi, n) in enumerate(self.levels):
             sides = [(a[at] - v, v - b[at]) for v, a, b in ((v[q], a, b) for v, a, b in zip(x, lo, hi, strict=True))]
@@ -99,6 +99,10 @@ class Boxes:
             if level < len(self.child):
                 begin = self.child[level][at]
                 count = self.child[level][at + 1] - begin
+                if count.sum() > PAIRS and len(queries) > 1:
+                    half = len(queries) // 2
+                    (q, at), (q1, at1) = self.lowest(x[:, :half], k, bound[:half]), self.lowest(x[:, half:], k, bound[half:])
+                    return np.concatenate([q, q1 + half]), np.concatenate([at, at1])
                 q, at = np.repeat(q, count), ragged(begin, count)
         return q, at
 
@@ -135,7 +139,19 @@ class Leaves:
         d = np.where(inside & (own[p] != mine[:, None]), norm(v[:, None] - z[p] for v, z in zip(by, self.z, strict=True)), np.inf)
         if d.shape[1] >= k:
             bound = np.fmin(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
-        q, at = self.boxes.lowest(x, wanted, bound)
+        q, at = self.boxes.lowest(by, wanted, bound)
+        ends = np.searchsorted(q, np.arange(len(x)), "right")
+        pairs = np.append(0, np.cumsum(self.count[at]))[ends]
+        found, begin = [], 0
+        while begin < len(x):
+            done = pairs[begin - 1] if begin else 0
+            end = max(begin + 1, np.searchsorted(pairs, done + PAIRS, "right"))
+            part = slice(ends[begin - 1] if begin else 0, ends[end - 1])
+            found.append(self._select(by, q[part], at[part], k, bound, mine, own))
+            begin = end
+        return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
+    def _select(self, by: np.ndarray, q: np.ndarray, at: np.ndarray, k: int, bound: np.ndarray, mine: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = ragged(self.begin[at], self.count[at])
         q = np.repeat(q, self.count[at])
         d = norm(v[q] - z[p] for v, z in zip(by, self.z, strict=True))
@@ -224,10 +240,11 @@ def nearest(queries: DataFrame, points: DataFrame, dims: int, k: int, own: bool,
         right = right.slice(0, right.num_rows if rows else 0)
         right = right.take(pc.sort_indices(right, [("key", "ascending"), ("label", "ascending")], null_placement="at_start"))
         x, bound = coordinates(left.column("x"), dims), left.column("bound").to_numpy()
-        codes = pa.chunked_array([*right.column("key").chunks, *left.column("key").cast(right.schema.field("key").type).chunks], right.schema.field("key").type)
-        codes = codes.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        theirs, mine = codes[: right.num_rows], codes[right.num_rows :]
-        mine = np.where(mine < 0, -2, mine) if own else np.full(rows, -2)
+        theirs, mine = np.full(right.num_rows, -1), np.full(rows, -2)  # numbers of the keys; null and without own: never equal
+        if own:
+            keys = pa.chunked_array([*right.column("key").chunks, *left.column("key").cast(right.schema.field("key").type).chunks], right.schema.field("key").type)
+            codes = keys.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            theirs, mine = codes[: right.num_rows], np.where(codes[right.num_rows :] < 0, -2, codes[right.num_rows :])
         leaves = Leaves(coordinates(right.column("x"), dims), max(LEAF, 2 * k)) if right.num_rows else None
         q, p, d, further, count = [], [], [], [], np.zeros(rows, np.int64)
         for at in range(0, rows if leaves else 0, SIDE):

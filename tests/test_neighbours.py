@@ -92,7 +92,10 @@ def test_bound_of_the_home_cell_leaves_few_cells(spark, monkeypatch):
         assert {cell[j] for j in np.argsort(d)[:6]} <= set(leaf[q == i])
 
 
-def test_leaves_of_a_cell_are_exact():
+@pytest.mark.parametrize("pairs", [1, 700, 2_000_000])
+def test_leaves_of_a_cell_are_exact(monkeypatch, pairs):
+    """However few pairs are taken side by side."""
+    monkeypatch.setattr(B, "PAIRS", pairs)
     rng = np.random.default_rng(6)
     z = rng.integers(0, 12, (500, 2)).astype(float)  # ties
     x = np.vstack([z[:100], rng.normal(size=(50, 2)) * 30])
